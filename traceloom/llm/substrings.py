@@ -283,9 +283,9 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     by_array = small.mapInArrow(_arrays(length), f"gram long, seg long, spans {SPANS}")
     # grams with more: each string by itself
     strings = cut.where("large").select("gram", "seg", "many", F.posexplode(F.expr(f"transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length}))")).alias("s", "string"))
-    strings = staged(strings.select("gram", "seg", "many", "s", F.xxhash64("string").alias("h"), F.xxhash64(F.lit(1), "string").alias("h2")), "strings")
-    again = strings.groupBy("gram", "h", "h2").agg(F.sum("many").alias("t"), F.count("*").alias("k")).where("t > 1 and k > 1").select("gram", "h", "h2")
-    hit = strings.where("many = 1").join(again, ["gram", "h", "h2"])
+    strings = strings.select("gram", "seg", "many", "s", F.xxhash64("string").alias("h"))
+    again = staged(strings.groupBy("gram", "h").agg(F.count("*").alias("k")).where("k > 1").select("gram", "h"), "again")
+    hit = strings.where("many = 1").drop("many").join(again, ["gram", "h"])
     by_string = hit.groupBy("gram", "seg").agg(F.transform(F.sort_array(F.collect_list("s")), lambda i: F.struct(i.alias("s"), (i + 1).alias("e"))).alias("spans"))
     # segments that occur more than once repeat all their strings
     full = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))
