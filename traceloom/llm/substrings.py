@@ -269,8 +269,9 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
             yield b.set_column(4, "start", b.column("start").cast(pa.int32()))
 
     runs = staged(rows.select("a", "b", "text").mapInArrow(narrowed, kind), "runs")
-    met = runs.groupBy("gram").agg(F.count("*").alias("c"), (F.min("seg") == F.max("seg")).alias("alike")).where("c > 1").drop("c")
-    met = staged(runs.join(met, "gram"), "met")
+    # the counts are a table of their own, so that the join with them can split a hot gram
+    grams = runs.groupBy("gram").agg(F.count("*").alias("c"), (F.min("seg") == F.max("seg")).alias("alike")).where("c > 1").drop("c")
+    met = staged(runs.join(staged(grams, "grams"), "gram"), "met")
     differ = met.where("not alike").drop("alike")
     some = differ.groupBy("gram", "seg").agg(F.count("*").alias("many"), F.min(F.struct("a", "b", "start", "n")).alias("at"))
     some = staged(some.select("gram", "seg", "many", "at.*"), "segments")
@@ -291,7 +292,7 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     full = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))
     several = some.where("many > 1").select("gram", "seg", full.alias("spans"))
     once = by_array.unionByName(by_string).join(some.where("many = 1").select("gram", "seg"), ["gram", "seg"])
-    marked = once.unionByName(several)
+    marked = staged(once.unionByName(several), "marked")
     own = lambda c: F.transform(c, lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))
     parts = differ.join(marked, ["gram", "seg"]).select("a", "b", own(F.col("spans")).alias("spans"))
     alike = met.where("alike").select("a", "b", own(full).alias("spans"))
