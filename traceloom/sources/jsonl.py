@@ -79,21 +79,14 @@ def mapped(rows: DataFrame, mapping: dict[str, str] | None) -> DataFrame:
 
 #: Keys that a trace may have.
 TOP = ("trace_id", "input", "output", "ground_truth", "metadata", "source_id")
-RAW_CALL = "struct<name:string,arguments:variant,call_id:string,node:string,result:variant,error:string>"
 
 
 def to_traces(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(traces, errors) from (source_id, data)."""
     ship(rows.sparkSession)
-    v = F.try_parse_json("data")
-    part = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
-    raw_out = OUTPUT.replace("arguments:string", "arguments:variant").replace("result:string", "result:variant")
-    raw_in = INPUT.replace("tools_available:string", "tools_available:variant")
-    base = rows.select("source_id", "data", F.try_variant_get(v, "$.trace_id", "string").alias("trace_id"),
-                       F.from_json(F.coalesce(F.to_json(part("input")), F.lit("{}")), raw_in).alias("i"),
-                       F.from_json(F.coalesce(F.to_json(part("output")), F.lit("{}")), raw_out).alias("o"),
-                       F.to_json(part("ground_truth")).alias("ground_truth"), F.to_json(part("metadata")).alias("metadata"),
-                       F.try_variant_get(v, "$.source_id", "string").alias("own"))
+    raw_out = OUTPUT.replace("result:string", "result:variant")
+    d = F.from_json("data", f"trace_id string, input {INPUT}, output {raw_out}, ground_truth string, metadata string, source_id string")
+    base = rows.withColumn("d", d).select("source_id", "data", "d.trace_id", F.col("d.input").alias("i"), F.col("d.output").alias("o"), "d.ground_truth", "d.metadata", F.col("d.source_id").alias("own"))
     bad_role = F.exists("i.messages", lambda m: ~F.coalesce(m["role"].isin(*ROLES), F.lit(False)))
     bad_uri = F.exists("o.artifacts", lambda a: F.coalesce(F.trim(a["uri"]) == "", F.lit(True)) | a["uri"].startswith("data:"))
     bad_type = F.exists("o.artifacts", lambda a: ~F.coalesce(a["type"].isin(*ARTIFACT_TYPES), F.lit(False)))
@@ -106,11 +99,11 @@ def to_traces(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.coalesce(bad_type, F.lit(False)), f"output.artifacts: type must be one of {', '.join(ARTIFACT_TYPES)}")
     )
     checked = base.withColumn("why", why)
-    calls = F.transform("o.tool_calls", lambda c: F.struct(c["name"].alias("name"), F.coalesce(F.to_json(c["arguments"]), F.lit("{}")).alias("arguments"), c["call_id"].alias("call_id"), c["node"].alias("node"), F.to_json(c["result"]).alias("result"), c["error"].alias("error")))
+    calls = F.transform("o.tool_calls", lambda c: F.struct(c["name"].alias("name"), F.coalesce(c["arguments"], F.lit("{}")).alias("arguments"), c["call_id"].alias("call_id"), c["node"].alias("node"), F.to_json(c["result"]).alias("result"), c["error"].alias("error")))
     empty = F.array().cast(T._parse_datatype_string(OUTPUT)["tool_calls"].dataType)
     output = F.struct(F.col("o.text").alias("text"), F.coalesce(calls, empty).alias("tool_calls"), F.col("o.artifacts").alias("artifacts"))
-    given = F.struct(F.col("i.messages").alias("messages"), F.col("i.user_request").alias("user_request"), F.col("i.system_prompt").alias("system_prompt"), F.to_json("i.tools_available").alias("tools_available"))
-    identity = F.concat(F.lit("["), F.to_json(F.col("trace_id").cast("variant")), F.lit(","), *[x for n in ("input", "output", "ground_truth", "metadata") for x in (F.coalesce(F.to_json(part(n)), F.lit("{}")), F.lit("," if n != "metadata" else "]"))])
+    given = F.struct(F.col("i.messages").alias("messages"), F.col("i.user_request").alias("user_request"), F.col("i.system_prompt").alias("system_prompt"), F.col("i.tools_available").alias("tools_available"))
+    identity = F.concat(F.lit("["), F.to_json(F.col("trace_id").cast("variant")), F.lit(","), *[x for n in ("input", "output", "ground_truth", "metadata") for x in (F.coalesce(F.get_json_object("data", f"$.{n}"), F.lit("{}")), F.lit("," if n != "metadata" else "]"))])
     good = checked.where("why is null").select("trace_id", given.alias("input"), output.alias("output"), "ground_truth", "metadata", F.coalesce("own", "source_id").alias("source_id"), content_hash(canonical_json(identity)).alias("content_hash"))
     errors = checked.where("why is not null").select("source_id", F.concat_ws(": ", "source_id", "why").alias("message"))
     return good, errors

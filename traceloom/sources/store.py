@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonical, version_of
@@ -43,7 +43,7 @@ class Store:
         fs, at = self._fs(path)
         return fs.exists(at)
 
-    def write_snapshot(self, project: str, traces: DataFrame, source: dict, split=F.lit("train")) -> tuple[str, bool]:
+    def write_snapshot(self, project: str, traces: DataFrame, source: dict, split: Column | None = None) -> tuple[str, bool]:
         """(fingerprint, whether it is new).  Duplicate trace ids raise before anything is written."""
         twice = [r["trace_id"] for r in duplicate_ids(traces).orderBy("trace_id").limit(5).collect()]
         if twice:
@@ -52,7 +52,7 @@ class Store:
         path = self._path("snapshots", f"project={project}", f"fingerprint={print_}")
         if self.exists(path):
             return print_, False
-        body = traces.withColumn("split", split)
+        body = traces.withColumn("split", F.lit("train") if split is None else split)
         if body.where(~F.col("split").isin(*SPLITS) | F.col("split").isNull()).limit(1).count():
             raise ValueError(f"a split must be one of {', '.join(SPLITS)}")
         body.write.mode("errorifexists").option("compression", "zstd").partitionBy("split").parquet(path)
