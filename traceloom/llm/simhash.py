@@ -186,5 +186,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     own = least.join(parts.withColumnRenamed("node", "fp"), "fp")
     of = own.groupBy("component").agg(F.min("id").alias("component_id"))
     named = parts.withColumnRenamed("node", "fp").join(of, "component").select("fp", "component_id")
-    each = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    # a table of its own, so that the join can split a fingerprint that many rows have
+    each = staged(least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), "components")
     return prints.join(each, "fp", "left").select(F.col("id").alias(key), "fp", "component_id")

@@ -40,6 +40,7 @@ def with_types(pages: DataFrame, key: str = "page_id", payload: str = "html", sm
     )
     light = base.where(F.col("payload_bytes") >= smallest).select("key", "payload_bytes", "payload_digest")
     last = light.groupBy("payload_bytes", "payload_digest").agg(F.max("key").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    last = staged(last, "copied")  # a table of its own, so that the join can split a hot payload
     revisit = F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last"))
     return base.join(last, ["payload_bytes", "payload_digest"], "left").select(
         "key", "payload", "payload_bytes", "payload_digest",
@@ -161,12 +162,13 @@ def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", sm
         F.regexp_extract("head", r"(?i)(?:^|\r\n)WARC-Type: ([a-z]+)", 1).alias("record_type"),
         number("WARC-Refers-To").alias("refers_to"),
         body.alias("body"),
-    ).select(key, "record_type", "refers_to", F.octet_length("body").cast("long").alias("n"), F.sha1(F.col("body").cast("binary")).alias("d"))
+        F.regexp_extract("head", r"(?i)\r\nWARC-Payload-Digest: sha1:([0-9a-f]+)", 1).alias("says"),
+    ).select(key, "record_type", "refers_to", "says", F.octet_length("body").cast("long").alias("n"), F.sha1(F.col("body").cast("binary")).alias("d"))
     rows = staged(rows, "records")
-    of = rows.where("record_type = 'response'").select(F.col(key).alias("refers_to"), F.col("n").alias("rn"), F.col("d").alias("rd"))
-    wanted = rows.where("record_type = 'revisit'").select("refers_to").distinct()
-    of = of.join(wanted, "refers_to", "left_semi").distinct()
-    out = rows.join(of, "refers_to", "left")
+    of = rows.where("record_type = 'response'").select(F.col(key).alias("refers_to"), F.col("d").alias("says"), F.col("n").alias("rn"), F.col("d").alias("rd"))
+    wanted = rows.where("record_type = 'revisit'").select("refers_to", "says").distinct()
+    of = staged(of.join(wanted, ["refers_to", "says"], "left_semi").distinct(), "originals")
+    out = rows.join(of, ["refers_to", "says"], "left")
     return out.select(key, F.coalesce("rn", "n").alias("payload_bytes"), F.coalesce("rd", "d").alias("payload_digest"), "record_type", "refers_to")
 
 
