@@ -70,6 +70,8 @@ class Loom:
 
     def judge(self, limit: int | None = None) -> Report:
         traces = self.traces if limit is None else self.traces.limit(limit)
+        if len(self.checks) > 1:  # parse the source once for all checks
+            traces = staged(traces, "traces")
         return Report(staged(suite.run_suite(traces, self.checks), "results"), self.checks)
 
     def dataset(self, done: Report, sealed: DataFrame | None = None) -> feedback.Dataset:
