@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import discard, staged
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -25,8 +25,9 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         stepped = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         fresh = staged(stepped.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        moved = fresh.where("label <> old").limit(1).count()
-        labels = fresh.select("node", "label")
-        if not moved:
-            return labels.withColumnRenamed("label", "component")
+        discard(labels)
+        labels = fresh
+        if not fresh.where("label <> old").limit(1).count():
+            discard(both)
+            return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import has, ship, staged, text_of
+from .shared import discard, has, ship, staged, text_of
 
 BYTES = 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     least = prints.groupBy("fp").agg(F.min("id").alias("id"))
     joined = staged(links(least, limit), "near")
     parts = components(joined)
+    discard(joined)
     # smallest key of a component: over its fingerprints' smallest keys
     own = least.join(parts.withColumnRenamed("node", "fp"), "fp")
     of = own.groupBy("component").agg(F.min("id").alias("component_id"))

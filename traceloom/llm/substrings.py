@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import has, ship, staged, text_of
+from .shared import discard, has, ship, staged, text_of
 from .suffixes import ranges, suffix_arrays
 
 GRAM = 32
@@ -271,7 +271,9 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     runs = staged(rows.select("a", "b", "text").mapInArrow(narrowed, kind), "runs")
     # the counts are a table of their own, so that the join with them can split a hot gram
     grams = runs.groupBy("gram").agg(F.count("*").alias("c"), (F.min("seg") == F.max("seg")).alias("alike")).where("c > 1").drop("c")
-    met = staged(runs.join(staged(grams, "grams"), "gram"), "met")
+    grams = staged(grams, "grams")
+    met = staged(runs.join(grams, "gram"), "met")
+    discard(runs, grams)
     differ = met.where("not alike").drop("alike")
     some = differ.groupBy("gram", "seg").agg(F.count("*").alias("many"), F.min(F.struct("a", "b", "start", "n")).alias("at"))
     some = staged(some.select("gram", "seg", "many", "at.*"), "segments")
@@ -293,10 +295,13 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     several = some.where("many > 1").select("gram", "seg", full.alias("spans"))
     once = by_array.unionByName(by_string).join(some.where("many = 1").select("gram", "seg"), ["gram", "seg"])
     marked = staged(once.unionByName(several), "marked")
+    discard(cut, again, some)
     own = lambda c: F.transform(c, lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))
     parts = differ.join(marked, ["gram", "seg"]).select("a", "b", own(F.col("spans")).alias("spans"))
     alike = met.where("alike").select("a", "b", own(full).alias("spans"))
-    return parts.unionByName(alike).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = staged(parts.unionByName(alike).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats")
+    discard(met, marked)
+    return found
 
 
 def repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bound: int = 4096) -> DataFrame:
@@ -304,7 +309,7 @@ def repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str
     has(docs, key, text)
     ship(docs.sparkSession)
     rows = _rows(docs, key, text)
-    found = staged(_repeats(rows, length, bound), "repeats")
+    found = _repeats(rows, length, bound)
     kind = docs.schema[key].dataType.simpleString()
     joined = rows.join(found, ["a", "b"], "left").select(F.col("key").alias("row"), "text", "spans")
     out = joined.mapInArrow(_finish(length, False), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -316,7 +321,7 @@ def without_repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", te
     has(docs, key, text)
     ship(docs.sparkSession)
     rows = _rows(docs, key, text)
-    found = staged(_repeats(rows, length, bound), "repeats")
+    found = _repeats(rows, length, bound)
     whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]))
     k, t = F.col(f"`{key}`"), text_of(text)
     marked = whole.select("_row", t.alias("text"), F.xxhash64(k).alias("a"), F.xxhash64(t, k).alias("b")).join(found, ["a", "b"], "left")

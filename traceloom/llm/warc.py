@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import has, shared_path, staged
+from .shared import discard, has, shared_path, staged
 
 CRLF = "\r\n"
 MAGIC = "WARC/1.0" + CRLF
