@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urls.oracle_sql(), "op10_warc": warc.ORACLE}
+    return {"op2_url_filter": urls.oracle_sql(), "op7_neighbours": neighbours.ORACLE, "op9_substrings": substrings.ORACLE, "op10_warc": warc.ORACLE}

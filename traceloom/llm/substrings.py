@@ -328,3 +328,19 @@ def without_repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", te
     kind = marked.schema["_row"].dataType.simpleString()
     cut = marked.select(F.col("_row").alias("row"), "text", "spans").mapInArrow(_finish(length, True), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return cut.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+#: The same rows from DuckDB, over every string; strings are told apart by a hash.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, i, hash(b[i:i + 199]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+again AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS opens FROM s JOIN again USING (h)),
+run AS (SELECT r, k, min(i) AS lo, max(i) + 199 AS hi FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+cut AS (SELECT r, coalesce(lag(hi) OVER w, 0) + 1 AS a, lo - 1 AS z FROM run WINDOW w AS (PARTITION BY r ORDER BY lo)
+  UNION ALL SELECT d.r, coalesce(max(hi), 0) + 1, octet_length(any_value(b)) FROM d LEFT JOIN run USING (r) GROUP BY d.r),
+kept AS (SELECT r, string_agg(CASE WHEN z >= a THEN hex(b[a:z]) ELSE '' END, '' ORDER BY a) AS x FROM cut JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans FROM run GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
