@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import has, ship, text_of
+from .shared import has, ship, text_of, tidy
 
 #: Window sizes in words, largest first; an item has the largest that it fills.
 CLASSES = (12, 6, 3, 1)
@@ -202,7 +202,7 @@ def _leaks(docs: DataFrame, rows: list[tuple], item_kind: str, similarity: float
                 names=[key, item_key, "item_words", "distance", "similarity"],
             )
 
-    return docs.select(F.col(key), text_of(text).alias("text")).mapInArrow(searched, f"`{key}` {kind}, `{item_key}` {item_kind}, item_words int, distance int, similarity double")
+    return docs.select(F.col(key), text_of(text).alias("text")).mapInArrow(tidy(searched), f"`{key}` {kind}, `{item_key}` {item_kind}, item_words int, distance int, similarity double")
 
 
 def _arrow(kind: str) -> pa.DataType:

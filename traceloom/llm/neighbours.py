@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import has, ship, staged
+from .shared import has, ship, staged, tidy
 
 
 class Books:
@@ -142,7 +142,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_i
             yield pd.DataFrame({"h": p["h"], "v": p["v"], "ids": p["ids"], "code": [c.tobytes() for c in codes], "norm": norms})
 
     n_blocks, n_query = -(-distinct.count() // block), max(1, -(-asked.count() // query_block))
-    index = staged(distinct.mapInPandas(coded, f"h long, v {kind}, ids array<long>, code binary, norm float"), "index")
+    index = staged(distinct.mapInPandas(tidy(coded), f"h long, v {kind}, ids array<long>, code binary, norm float"), "index")
     # each block of rows meets each block of queries in one task
     left = index.withColumn("b", F.pmod("h", F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
     right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import has, ship, text_of
+from .shared import has, ship, text_of, tidy
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -193,4 +193,4 @@ def pack(docs: DataFrame, path: str, size: int = 1024, separator: int = 0, key:
                     window = []
         yield flush()
 
-    return docs.select(F.col(key), text_of(text).alias("text")).mapInArrow(packed, f"`{key}` {kind.simpleString()}, {PIECES}")
+    return docs.select(F.col(key), text_of(text).alias("text")).mapInArrow(tidy(packed), f"`{key}` {kind.simpleString()}, {PIECES}")

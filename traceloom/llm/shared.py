@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,22 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(out)
 
 
+def tidy(made: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``made``, with freed memory given back when a task's rows end.
+
+    Workers live on between tasks; else each keeps the most that any task needed.
+    """
+
+    @wraps(made)
+    def run(batches):
+        yield from made(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only where the C library has it
+            trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, has, ship, staged, text_of
+from .shared import discard, has, ship, staged, text_of, tidy
 
 BYTES = 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -77,6 +77,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 4, name:
     ship(docs.sparkSession)
 
     @F.pandas_udf("long")
+    @tidy
     def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series(np.array([fingerprint(shingle_hashes(x.encode("utf-8", "surrogatepass"), words)) for x in part], np.uint64).view(np.int64))
@@ -169,7 +170,7 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
         if len(held_k):
             yield batch(_links(held_k, held_f, shared, limit))
 
-    return parts.select("k", "fp").mapInArrow(met, "a long, b long")
+    return parts.select("k", "fp").mapInArrow(tidy(met), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, limit: int = 4) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, has, ship, staged, text_of
+from .shared import discard, has, ship, staged, text_of, tidy
 from .suffixes import ranges, suffix_arrays
 
 GRAM = 32
@@ -268,7 +268,7 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
         for b in _runs(length)(batches):
             yield b.set_column(4, "start", b.column("start").cast(pa.int32()))
 
-    runs = staged(rows.select("a", "b", "text").mapInArrow(narrowed, kind), "runs")
+    runs = staged(rows.select("a", "b", "text").mapInArrow(tidy(narrowed), kind), "runs")
     # the counts are a table of their own, so that the join with them can split a hot gram
     grams = runs.groupBy("gram").agg(F.count("*").alias("c"), (F.min("seg") == F.max("seg")).alias("alike")).where("c > 1").drop("c")
     grams = staged(grams, "grams")
@@ -279,11 +279,11 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     some = staged(some.select("gram", "seg", "many", "at.*"), "segments")
     large = some.groupBy("gram").agg((F.sum(F.col("n") + length) > bound).alias("large"))
     wanted = some.join(large, "gram").groupBy("a", "b").agg(F.collect_list(F.struct("gram", "seg", "many", "large", "start", "n")).alias("w"))
-    cut = rows.select("a", "b", "text").join(wanted, ["a", "b"]).select("text", "w").mapInArrow(_cut(length), "gram long, seg long, many long, large boolean, bytes binary")
+    cut = rows.select("a", "b", "text").join(wanted, ["a", "b"]).select("text", "w").mapInArrow(tidy(_cut(length)), "gram long, seg long, many long, large boolean, bytes binary")
     cut = staged(cut, "cut")
     # bounded grams: suffix arrays
     small = cut.where("not large").select("gram", "seg", "bytes").repartition("gram").sortWithinPartitions("gram")
-    by_array = small.mapInArrow(_arrays(length), f"gram long, seg long, spans {SPANS}")
+    by_array = small.mapInArrow(tidy(_arrays(length)), f"gram long, seg long, spans {SPANS}")
     # grams with more: each string by itself
     strings = cut.where("large").select("gram", "seg", "many", F.posexplode(F.expr(f"transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length}))")).alias("s", "string"))
     strings = strings.select("gram", "seg", "many", "s", F.xxhash64("string").alias("h"))
@@ -312,7 +312,7 @@ def repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str
     found = _repeats(rows, length, bound)
     kind = docs.schema[key].dataType.simpleString()
     joined = rows.join(found, ["a", "b"], "left").select(F.col("key").alias("row"), "text", "spans")
-    out = joined.mapInArrow(_finish(length, False), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.mapInArrow(tidy(_finish(length, False)), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("row", key)
 
 
@@ -326,7 +326,7 @@ def without_repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", te
     k, t = F.col(f"`{key}`"), text_of(text)
     marked = whole.select("_row", t.alias("text"), F.xxhash64(k).alias("a"), F.xxhash64(t, k).alias("b")).join(found, ["a", "b"], "left")
     kind = marked.schema["_row"].dataType.simpleString()
-    cut = marked.select(F.col("_row").alias("row"), "text", "spans").mapInArrow(_finish(length, True), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = marked.select(F.col("_row").alias("row"), "text", "spans").mapInArrow(tidy(_finish(length, True)), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return cut.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 

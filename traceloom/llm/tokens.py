@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import has, ship, text_of
+from .shared import has, ship, text_of, tidy
 
 #: Words whose counts a worker remembers; the generation before is kept too.
 REMEMBERED = 400_000
@@ -148,6 +148,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     ship(docs.sparkSession)
 
     @F.pandas_udf("long")
+    @tidy
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = merger(path)
         for part in parts:

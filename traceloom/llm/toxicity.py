@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import held_out, learning_rows, sigmoid
-from .shared import has, ship, text_of
+from .shared import has, ship, text_of, tidy
 
 BITS = 20
 SIZES = (5, 6, 8)
@@ -114,6 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     """Fit on at most ``sample`` labelled rows; only their hashed n-grams reach the driver."""
 
     @F.pandas_udf("array<int>")
+    @tidy
     def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([grams(t.encode("utf-8", "surrogatepass")) for t in part])
@@ -138,6 +139,7 @@ def scorer(model: NaiveBayesLinear):
     """The model as a column function."""
 
     @F.pandas_udf("double")
+    @tidy
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([model.score(t.encode("utf-8", "surrogatepass")) for t in part], dtype="float64")
