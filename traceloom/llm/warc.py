@@ -19,6 +19,8 @@ Null payloads are empty.  Pages with a null key are written and read with it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -71,21 +73,28 @@ def write_warc(typed: DataFrame, path: str, records_per_file: int = 4096) -> Non
     typed.select(record_text().alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _header(value: Column, name: str) -> Column:
-    """A header line's value in the first part of a split."""
-    return F.regexp_extract(value, rf"(?i)(?:^|\r\n){name}: ([^\r\n]*)\r\n", 1)
-
-
 def _splits(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, i, value): what follows each magic, numbered in the order of each block of a file."""
     at = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     return spark.read.option("lineSep", MAGIC).text(path).select(*at, F.monotonically_increasing_id().alias("i"), "value")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, head, block): the verified records of the archives below ``path``.
+def _parts(value: Column) -> list[Column]:
+    """(head, block) of a whole record's text; the two line ends after it are not its own."""
+    cut = F.instr(value, END)
+    return [F.substring(value, F.lit(1), cut + 1), F.substring(value, cut + 4, F.greatest(F.length(value) - cut - 7, F.lit(0)))]
+
 
-    head is the record's header; block its content, magic inside included.
+def _as_it_is(head: Column, block: Column) -> list[Column]:
+    return [head.alias("head"), block.alias("block")]
+
+
+def read_warc(spark: SparkSession, path: str, wanted: Callable[[Column, Column], list[Column]] = _as_it_is) -> DataFrame:
+    """(file, offset, ...): the verified records of the archives below ``path``.
+
+    ``wanted`` makes columns of a record's header and its content, magic inside
+    included; by default it gives both as head and block.  They are made where
+    an archive is scanned, so that contents move only if they are wanted.
     """
     raw = _splits(spark, path)
     magic = len(MAGIC)
@@ -103,23 +112,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # a split's text starts at base + off; its magic ends there; the file's first split, ahead of any magic, is empty
     start = F.col("base") + F.col("off") - magic
     cand = staged(placed.select("file", "i", start.alias("at"), (start + magic + F.col("takes") + len(END)).alias("next")).where("at >= 0"), "candidates")
-    records = staged(chain(cand), "chain")
+    discard(light)
+    records = chain(cand)
     # a split that is no record belongs to the record ahead of it
     marked = cand.join(records.withColumn("real", F.lit(True)), ["file", "at"], "left")
     owner = F.last(F.when(F.col("real"), F.col("at")), True).over(W.partitionBy("file").orderBy("at"))
-    owned = marked.select("file", "i", "at", owner.alias("offset"))
-    body = raw.select("file", "i", "value").join(owned.where("offset is not null"), ["file", "i"])
-    alone = F.col("n_parts") == 1
-    counts = owned.groupBy("file", "offset").agg(F.count("*").alias("n_parts"))
-    parted = body.join(counts, ["file", "offset"])
-    single = parted.where(alone).select("file", "offset", "value")
-    several = parted.where(~alone).groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("p"))
-    several = several.select("file", "offset", F.concat_ws(MAGIC, F.col("p.value")).alias("value"))
-    both = single.unionByName(several)
-    head = F.expr(f"substring(value, 1, instr(value, '{CRLF}{CRLF}') + 1)")
-    block = F.expr(f"substring(value, instr(value, '{CRLF}{CRLF}') + 4)")
-    # the two line ends after a record are not its own
-    return both.select("file", "offset", head.alias("head"), block.alias("b")).select("file", "offset", "head", F.expr("left(b, length(b) - 4)").alias("block"))
+    owned = marked.select("file", "i", "at", owner.alias("offset")).where("offset is not null")
+    owned = staged(owned.withColumn("n_parts", F.count("*").over(W.partitionBy("file", "offset"))), "owned")
+    discard(cand, records)
+    alone = owned.where("n_parts = 1").select("file", "i", "offset")
+    split = staged(owned.where("n_parts > 1").select("file", "i", "at", "offset"), "split")  # a table of its own: mostly small
+    single = raw.select("file", "i", *wanted(*_parts(F.col("value")))).join(alone, ["file", "i"]).drop("i")
+    several = raw.select("file", "i", "value").join(split, ["file", "i"]).groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("p"))
+    several = several.select("file", "offset", F.concat_ws(MAGIC, F.col("p.value")).alias("value")).select("file", "offset", *wanted(*_parts(F.col("value"))))
+    return single.unionByName(several)
 
 
 def chain(cand: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -131,15 +137,17 @@ def chain(cand: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     reached = cand.where("at = 0").select("file", "at")
     jump = cand.where("next is not null").select("file", "at", "next").join(cand.select("file", F.col("at").alias("next")), ["file", "next"], "left_semi").select("file", "at", "next")
-    known = reached.count()
+    known, before = reached.count(), None
     for _ in range(max_rounds):
         jump = staged(jump, "jump")
         found = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
         more = staged(reached.union(found).distinct(), "reached")
         now = more.count()
+        discard(reached, *([before] if before is not None else []))
         if now == known:
+            discard(jump)
             return more
-        reached, known = more, now
+        reached, known, before = more, now, jump
         jump = jump.join(jump.select("file", F.col("at").alias("next"), F.col("next").alias("far")), ["file", "next"]).select("file", "at", F.col("far").alias("next"))
     raise RuntimeError("the chain is longer than its rounds")
 
@@ -154,16 +162,20 @@ def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", sm
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_warc(with_types(pages, key, payload, smallest), path)
-    got = read_warc(spark, path)
-    number = lambda name: F.expr(f"try_cast(regexp_extract(head, '(?i)\\r\\n{name}: <urn:page:(-?[0-9]+)>', 1) as bigint)")
-    body = F.expr(f"substring(block, instr(block, '{CRLF}{CRLF}') + 4)")
-    rows = got.select(
-        number("WARC-Record-ID").alias(key),
-        F.regexp_extract("head", r"(?i)(?:^|\r\n)WARC-Type: ([a-z]+)", 1).alias("record_type"),
-        number("WARC-Refers-To").alias("refers_to"),
-        body.alias("body"),
-        F.regexp_extract("head", r"(?i)\r\nWARC-Payload-Digest: sha1:([0-9a-f]+)", 1).alias("says"),
-    ).select(key, "record_type", "refers_to", "says", F.octet_length("body").cast("long").alias("n"), F.sha1(F.col("body").cast("binary")).alias("d"))
+
+    def wanted(head: Column, block: Column) -> list[Column]:
+        number = lambda name: F.regexp_extract(head, rf"(?i)\r\n{name}: <urn:page:(-?[0-9]+)>", 1).try_cast("long")
+        body = F.substring(block, F.instr(block, END) + 4, F.length(block))
+        return [
+            number("WARC-Record-ID").alias(key),
+            F.regexp_extract(head, r"(?i)(?:^|\r\n)WARC-Type: ([a-z]+)", 1).alias("record_type"),
+            number("WARC-Refers-To").alias("refers_to"),
+            F.regexp_extract(head, r"(?i)\r\nWARC-Payload-Digest: sha1:([0-9a-f]+)", 1).alias("says"),
+            F.octet_length(body).cast("long").alias("n"),
+            F.sha1(body.cast("binary")).alias("d"),
+        ]
+
+    rows = read_warc(spark, path, wanted).drop("file", "offset")
     rows = staged(rows, "records")
     of = rows.where("record_type = 'response'").select(F.col(key).alias("refers_to"), F.col("d").alias("says"), F.col("n").alias("rn"), F.col("d").alias("rd"))
     wanted = rows.where("record_type = 'revisit'").select("refers_to", "says").distinct()
