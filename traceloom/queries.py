@@ -71,12 +71,12 @@ def path_typed_field(spark, sf):
 # deterministic checks
 
 
-@query(f"""{WITH} SELECT trace_id, CASE WHEN user_id % 5 > 0 THEN true END AS passed, CASE WHEN user_id % 5 > 0 THEN 1.0 END AS score FROM calls WHERE pos = 0""")
+@query(f"""{WITH} SELECT trace_id, CASE WHEN user_id % 5 > 0 THEN true END AS passed, CASE WHEN user_id % 5 > 0 THEN 1::DOUBLE END AS score FROM calls WHERE pos = 0""")
 def exact_match_norm(spark, sf):
     return verdicts(ExactMatch("first", "output.tool_calls[0].name", "ground_truth.first", lower=True).apply(d.traces(spark, sf)))
 
 
-@query(f"""{WITH} SELECT trace_id, CASE WHEN user_id % 5 > 0 THEN false END AS passed, CASE WHEN user_id % 5 > 0 THEN 0.0 END AS score,
+@query(f"""{WITH} SELECT trace_id, CASE WHEN user_id % 5 > 0 THEN false END AS passed, CASE WHEN user_id % 5 > 0 THEN 0::DOUBLE END AS score,
 CASE WHEN user_id % 5 = 0 THEN 'not applicable: no value at ground_truth.first' ELSE 'expected ''' || upper(name) || ''', got ''' || name || '''' END AS explanation FROM calls WHERE pos = 0""")
 def exact_match_case(spark, sf):
     return verdicts(ExactMatch("first", "output.tool_calls[0].name", "ground_truth.first").apply(d.traces(spark, sf)), "explanation")
@@ -98,7 +98,7 @@ def _match_sql(got: str, want: str, ordered: bool) -> str:
       regexp_replace(arguments, '"k":(-?[0-9]+)', '"k":"\\1"') AS as_text FROM calls),
     s AS (SELECT trace_id, any_value(user_id) AS u, list({a} ORDER BY {order_a}) AS got,
       coalesce(list({b} ORDER BY {order_b}) FILTER (user_id % 5 <> 4 OR r < c), []) AS want FROM n GROUP BY trace_id)
-    SELECT trace_id, CASE WHEN u % 5 = 0 THEN NULL WHEN u % 5 = 1 THEN false ELSE got = want END AS passed, CASE WHEN u % 5 = 0 THEN NULL WHEN u % 5 = 1 THEN 0.0 WHEN got = want THEN 1.0 ELSE 0.0 END AS score FROM s"""
+    SELECT trace_id, CASE WHEN u % 5 = 0 THEN NULL WHEN u % 5 = 1 THEN false ELSE got = want END AS passed, CASE WHEN u % 5 = 0 THEN NULL WHEN u % 5 = 1 THEN 0::DOUBLE WHEN got = want THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM s"""
 
 
 IGNORED = ("node", "error", "result")
@@ -145,7 +145,7 @@ def _registry(traces: DataFrame) -> DataFrame:
     return ToolRegistryCheck("registry", d.REGISTRY).apply(traces)
 
 
-@query(f"{_VIOLATIONS}, t AS (SELECT trace_id, count(*) FILTER (code <> 'duplicate_undeclared') AS bad, count(*) AS n FROM v GROUP BY trace_id) SELECT DISTINCT c.trace_id, coalesce(bad, 0) = 0 AS passed, CASE WHEN coalesce(bad, 0) = 0 THEN 1.0 ELSE 0.0 END AS score, coalesce(n, 0) AS violations FROM calls c LEFT JOIN t USING (trace_id)")
+@query(f"{_VIOLATIONS}, t AS (SELECT trace_id, count(*) FILTER (code <> 'duplicate_undeclared') AS bad, count(*) AS n FROM v GROUP BY trace_id) SELECT DISTINCT c.trace_id, coalesce(bad, 0) = 0 AS passed, CASE WHEN coalesce(bad, 0) = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS score, coalesce(n, 0) AS violations FROM calls c LEFT JOIN t USING (trace_id)")
 def registry_verdicts(spark, sf):
     found = F.from_json("raw_output", "violations array<struct<code:string>>")["violations"]
     return _registry(d.traces(spark, sf)).select("trace_id", "passed", "score", F.coalesce(F.size(found), F.lit(0)).cast("long").alias("violations"))
@@ -163,13 +163,13 @@ def report_violations(spark, sf):
 
 
 @query(f"""{WITH} SELECT trace_id, CASE WHEN count(error) > 0 THEN count(*) FILTER (error <> '') = 0 END AS passed,
-CASE WHEN count(error) = 0 THEN NULL WHEN count(*) FILTER (error <> '') = 0 THEN 1.0 ELSE 0.0 END AS score FROM calls GROUP BY trace_id""")
+CASE WHEN count(error) = 0 THEN NULL WHEN count(*) FILTER (error <> '') = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM calls GROUP BY trace_id""")
 def outcome_verdicts(spark, sf):
     return verdicts(ToolCallOutcome("outcome").apply(d.traces(spark, sf)))
 
 
 @query(f"""{WITH} SELECT trace_id, CASE WHEN count(status) > 0 THEN count(*) FILTER (status = 'failed') = 0 END AS passed,
-CASE WHEN count(status) = 0 THEN NULL WHEN count(*) FILTER (status = 'failed') = 0 THEN 1.0 ELSE 0.0 END AS score FROM calls GROUP BY trace_id""")
+CASE WHEN count(status) = 0 THEN NULL WHEN count(*) FILTER (status = 'failed') = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM calls GROUP BY trace_id""")
 def outcome_failure_values(spark, sf):
     return verdicts(ToolCallOutcome("status", error_field="result.status", failure_values=("failed", "error")).apply(d.traces(spark, sf)))
 
@@ -189,7 +189,7 @@ def _selection(**more) -> ToolSelection:
 _SELECTED = f"""{WITH}, s AS (SELECT trace_id, any_value(node) AS node, string_agg(DISTINCT name, ', ') AS names, count(*) FILTER (name <> 'click') = 0 AS passed FROM calls GROUP BY trace_id)"""
 
 
-@query(f"{_SELECTED} SELECT trace_id, CASE WHEN node IS DISTINCT FROM 'nowhere' THEN passed END AS passed, CASE WHEN node = 'nowhere' THEN NULL WHEN passed THEN 1.0 ELSE 0.0 END AS score, CASE WHEN node IS DISTINCT FROM 'nowhere' THEN '\"click\"' END AS ground_truth FROM s")
+@query(f"{_SELECTED} SELECT trace_id, CASE WHEN node IS DISTINCT FROM 'nowhere' THEN passed END AS passed, CASE WHEN node = 'nowhere' THEN NULL WHEN passed THEN 1::DOUBLE ELSE 0::DOUBLE END AS score, CASE WHEN node IS DISTINCT FROM 'nowhere' THEN '\"click\"' END AS ground_truth FROM s")
 def selection_mock(spark, sf):
     return verdicts(_selection().apply(d.traces(spark, sf)), "ground_truth")
 
@@ -206,7 +206,7 @@ def report_selection(spark, sf):
 _CHATS = "WITH" + d.CHATS_SQL
 
 
-@query(f"{_CHATS} SELECT trace_id, CASE WHEN coalesce(trim(reply), '') <> '' THEN true END AS passed, CASE WHEN coalesce(trim(reply), '') <> '' THEN 1.0 END AS score FROM chats")
+@query(f"{_CHATS} SELECT trace_id, CASE WHEN coalesce(trim(reply), '') <> '' THEN true END AS passed, CASE WHEN coalesce(trim(reply), '') <> '' THEN 1::DOUBLE END AS score FROM chats")
 def consistency_mock(spark, sf):
     return verdicts(TextMatchesTools("consistent", JUDGE).apply(d.chats(spark, sf)))
 
@@ -215,18 +215,18 @@ def _question(**more) -> LlmQuestion:
     return LlmQuestion("question", "Is this polite? {{ request }}", {"request": "input.user_request"}, JUDGE, **more)
 
 
-@query(f"{_CHATS} SELECT trace_id, toxic = 0 AS passed, CASE WHEN toxic = 0 THEN 1.0 WHEN toxic = 1 THEN 0.0 END AS score, 'true' AS normalized_prediction FROM chats")
+@query(f"{_CHATS} SELECT trace_id, toxic = 0 AS passed, CASE WHEN toxic = 0 THEN 1::DOUBLE WHEN toxic = 1 THEN 0::DOUBLE END AS score, 'true' AS normalized_prediction FROM chats")
 def question_boolean(spark, sf):
     return verdicts(_question(ground_truth="ground_truth.clean").apply(d.chats(spark, sf)), "normalized_prediction")
 
 
-@query(f"{_CHATS} SELECT trace_id, CASE WHEN toxic IS NOT NULL THEN false END AS passed, CASE WHEN toxic IS NOT NULL THEN 0.0 END AS score, '\"true\"' AS normalized_prediction FROM chats")
+@query(f"{_CHATS} SELECT trace_id, CASE WHEN toxic IS NOT NULL THEN false END AS passed, CASE WHEN toxic IS NOT NULL THEN 0::DOUBLE END AS score, '\"true\"' AS normalized_prediction FROM chats")
 def question_label_map(spark, sf):
     """The first choice, mapped to a text, is no boolean."""
     return verdicts(_question(matcher="label_map", choices=("yes", "no"), labels={"yes": "true"}, ground_truth="ground_truth.clean").apply(d.chats(spark, sf)), "normalized_prediction")
 
 
-@query(f"{_CHATS} SELECT trace_id, quality = 0 AS passed, CASE WHEN quality = 0 THEN 1.0 WHEN quality = 1 THEN 0.0 END AS score FROM chats")
+@query(f"{_CHATS} SELECT trace_id, quality = 0 AS passed, CASE WHEN quality = 0 THEN 1::DOUBLE WHEN quality = 1 THEN 0::DOUBLE END AS score FROM chats")
 def question_numeric(spark, sf):
     return verdicts(_question(matcher="numeric_tolerance", ground_truth="ground_truth.quality").apply(d.chats(spark, sf)))
 
@@ -236,7 +236,7 @@ def question_uncalibrated(spark, sf):
     return verdicts(_question().apply(d.chats(spark, sf)), "explanation")
 
 
-@query(f"{_CHATS}, p AS (SELECT user_request FROM chats) SELECT count(*) AS prompts, count(DISTINCT coalesce(user_request, 'None')) AS asked, 0.001 * count(DISTINCT coalesce(user_request, 'None')) AS cost_usd, count(*) AS hits_on_second_run FROM p")
+@query(f"{_CHATS}, p AS (SELECT user_request FROM chats) SELECT count(*) AS prompts, count(DISTINCT coalesce(user_request, 'None')) AS asked, 0.001::DOUBLE * count(DISTINCT coalesce(user_request, 'None')) AS cost_usd, count(*) AS hits_on_second_run FROM p")
 def judge_cache(spark, sf):
     """A prompt is asked once; on a second run all are known."""
     traces = d.chats(spark, sf)
@@ -281,7 +281,7 @@ def failed_rows(spark, sf):
     return suite.failures(suite.run_suite(d.traces(spark, sf), CHECKS())).select("trace_id", "evaluator_id")
 
 
-@query(f"{_CHATS}, q AS (SELECT DISTINCT coalesce(user_request, 'None') AS r FROM chats) SELECT (SELECT count(*) FROM chats) AS rows, 0.001 * count(*) AS cost_usd, 100 * count(*) AS tokens_in, 20 * count(*) AS tokens_out, (SELECT count(*) FROM chats) - count(*) AS cache_hits FROM q")
+@query(f"{_CHATS}, q AS (SELECT DISTINCT coalesce(user_request, 'None') AS r FROM chats) SELECT (SELECT count(*) FROM chats) AS rows, 0.001::DOUBLE * count(*) AS cost_usd, 100 * count(*) AS tokens_in, 20 * count(*) AS tokens_out, (SELECT count(*) FROM chats) - count(*) AS cache_hits FROM q")
 def run_totals(spark, sf):
     return suite.run_totals(_question().apply(d.chats(spark, sf)))
 
