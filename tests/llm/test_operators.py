@@ -320,6 +320,39 @@ def test_leaks_are_found_and_others_left_alone(spark):
     assert decontaminate.leaks(table, bench.limit(0)).count() == 0
 
 
+def edited(rng, words, n):
+    """``words`` with n words changed, added or removed, at most one edit to a place."""
+    out = [[w] for w in words]
+    for i in rng.sample(range(len(words)), n):
+        out[i] = rng.choice([["changed"], [words[i], "added"], []])
+    return [w for part in out for w in part]
+
+
+def test_leaks_of_any_length_offset_and_allowed_edits(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(5000)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in range(3, 21)]
+    rows, want = [], set()
+    for i, w in enumerate(items):
+        for k in range(40):
+            t = [rng.choice(vocab) for _ in range(40)]
+            at = 2 * rng.randrange(20) + 1
+            # as many edits as 0.8 allows; every fourth is an exact copy
+            t[at:at] = edited(rng, w, len(w) // 5 if k % 4 else 0)
+            want.add((len(rows), i))
+            rows.append((len(rows), " ".join(t)))
+            # a leak whose start lies several short texts ahead, and one edit too many
+            if k % 10 == 0 and len(w) >= 15:
+                rows += [(len(rows) + x, "a") for x in range(4)]
+                want.add((len(rows), i))
+                rows.append((len(rows), " ".join(w[len(w) // 5 :])))
+                rows += [(len(rows) + x, "a") for x in range(4)]
+                rows.append((len(rows), " ".join(w[len(w) // 5 + 1 :])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs_of(spark, rows).coalesce(1), bench).collect()}
+    assert got == want
+
+
 # 5 and 6: classifiers
 
 

@@ -1,4 +1,4 @@
-"""Operator 1: benchmark decontamination by CGK embedding and bit sampling.
+"""Operator 1: benchmark decontamination by CGK embedding, bit sampling and pieces.
 
 Texts are sequences of words (runs of letters and digits, A-Z lowered).  A CGK
 random walk reads a window: at each step it puts out the word under it and, by a
@@ -6,9 +6,14 @@ random bit of that word and step, stays or goes on by one.  Windows at small
 edit distance give embeddings at small Hamming distance.  Sampling a few steps
 gives a key; windows of documents (from every ``stride``-th word) and of items
 (from every word, so that any alignment meets) that share a key are candidates.
-Several walks, each sampled several times, reach the recall wanted.  A candidate
-is then verified exactly: the item's edit distance to the best-fitting stretch
-of the document, in words, against (1 - similarity) times the item's words.
+Walks find a leak with some probability only.  What makes the search whole is
+that an item is also cut into one piece more than it may have edits: at least
+one piece is then unchanged, and pieces are looked up at every word of a
+document.  Every stretch within the allowed edits is thus a candidate.
+
+Of a candidate, the words near it that the item has too are counted first; it is
+then verified exactly: the item's edit distance to the best-fitting stretch of
+the document, in words, against (1 - similarity) times the item's words.
 
 Windows are item-sized: items fall into size classes, and documents are read
 with the windows of every class that the benchmark has.  The benchmark goes to
@@ -101,19 +106,56 @@ def keys_of(words: np.ndarray, at: np.ndarray, end: np.ndarray, width: int) -> I
         yield from keys
 
 
+def runs(words: np.ndarray, width: int) -> np.ndarray:
+    """A key of the ``width`` words from each place; zeros follow the last."""
+    key = np.full(len(words), width, np.uint64)
+    for j in range(width):
+        key[: max(len(words) - j, 0)] ^= words[j:]
+        key *= np.uint64(0x9FB21C651E98DF25)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def table_of(keys: np.ndarray, item: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, whose they are, and which leading bits occur."""
+    order = np.argsort(keys)
+    seen = np.zeros(1 << 20, bool)
+    seen[keys >> np.uint64(44)] = True
+    return keys[order], item[order], offset[order], seen
+
+
+def met(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place among ``keys``, item, offset) of all equal keys."""
+    theirs, item, offset, seen = table
+    hit = np.flatnonzero(seen[keys >> np.uint64(44)])
+    lo, hi = np.searchsorted(theirs, keys[hit]), np.searchsorted(theirs, keys[hit], "right")
+    n = hi - lo
+    x = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(hit, n), item[x], offset[x]
+
+
 class Items:
-    """The windows of a block of benchmark items under their keys."""
+    """The windows and pieces of a block of benchmark items under their keys."""
 
     def __init__(self, rows: list[tuple], similarity: float):
         self.similarity = similarity
         self.items: list[tuple[object, np.ndarray, int]] = []  # id, words, width
         by_width: dict[int, list[tuple[int, int]]] = {}
+        pieces: dict[int, list[tuple[int, int, int]]] = {}  # key, item, offset
         for ident, text in rows:
             w, _ = words_of(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
             if len(w):
                 width = next(c for c in CLASSES if len(w) >= c)
                 by_width.setdefault(width, []).extend((len(self.items), o) for o in range(len(w) - width + 1))
+                n = min(self.most(len(w)) + 1, len(w))
+                cut = [len(w) * j // n for j in range(n + 1)]
+                for a, b in zip(cut, cut[1:]):
+                    pieces.setdefault(b - a, []).append((int(runs(w[a:b], b - a)[0]), len(self.items), a))
                 self.items.append((ident, w, width))
+        self.pieces = {}
+        for width, found in pieces.items():
+            keys, item, offset = zip(*found)
+            self.pieces[width] = table_of(np.array(keys, np.uint64), np.array(item), np.array(offset))
         self.plain = [w.tolist() for _, w, _ in self.items]
         self.index: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
         starts = np.cumsum([0] + [len(w) + 1 for _, w, _ in self.items])
@@ -123,34 +165,53 @@ class Items:
             at, end = starts[item] + offset, starts[item + 1] - 1
             self.index[width] = []
             for k in keys_of(flat, at, end, width):
-                order = np.argsort(k)
-                seen = np.zeros(1 << 20, bool)
-                seen[k >> np.uint64(44)] = True
-                self.index[width].append((k[order], item[order], offset[order], seen))
+                self.index[width].append(table_of(k, item, offset))
+
+    def most(self, n: int) -> int:
+        """Edits that an item of n words may have."""
+        return int((1 - self.similarity) * n + 1e-9)
 
-    def candidates(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, stride: int) -> set[tuple[int, int]]:
-        """(item, word at which it would start) of texts in ``words``; text t has first[t]..last[t]-1, and last[t] follows it."""
+    def candidates(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, stride: int) -> np.ndarray:
+        """Rows (text, item, word at which it would start) for texts in ``words``; text t has first[t]..last[t]-1, and last[t] follows it."""
         n = -(-(last - first) // stride)
         text = np.repeat(np.arange(len(first)), n)
         at = first[text] + stride * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
         end = last[text]
-        out: set[tuple[int, int]] = set()
+        out = [np.empty((0, 3), np.int64)]
         for width, tables in self.index.items():
             # short windows have no other word to share, so each word starts one
             if width < stride:
                 return self.candidates(words, first, last, 1)
-            for k, (keys, item, offset, seen) in zip(keys_of(words, at, end, width), tables):
-                hit = np.flatnonzero(seen[k >> np.uint64(44)])
-                lo, hi = np.searchsorted(keys, k[hit]), np.searchsorted(keys, k[hit], "right")
-                for j in np.flatnonzero(hi > lo).tolist():
-                    for x in range(lo[j], hi[j]):
-                        out.add((int(item[x]), int(at[hit[j]] - offset[x])))
-        return out
+            for k, table in zip(keys_of(words, at, end, width), tables):
+                place, item, offset = met(k, table)
+                out.append(np.c_[text[place], item, at[place] - offset])
+        for width, table in self.pieces.items():
+            # no item has the zero word between texts, so a piece lies in one
+            place, item, offset = met(runs(words, width), table)
+            out.append(np.c_[np.searchsorted(first, place, "right") - 1, item, place - offset])
+        return self.likely(words, first, last, np.unique(np.concatenate(out), axis=0))
+
+    def likely(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The candidates with enough words of the item near them."""
+        keep = np.zeros(len(found), bool)
+        order = np.argsort(found[:, 1], kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(found[order, 1])) + 1) if len(order) else []:
+            w = self.items[found[rows[0], 1]][1]
+            own, most = np.sort(w), self.most(len(w))
+            span = np.arange(-most, len(w) + most)
+            for part in np.split(rows, range(4096, len(rows), 4096)):
+                t = found[part, 0]
+                x = found[part, 2][:, None] + span
+                inside = (x >= first[t][:, None]) & (x < last[t][:, None])
+                there = words[np.clip(x, 0, len(words) - 1)]
+                same = own[np.minimum(np.searchsorted(own, there), len(own) - 1)] == there
+                keep[part] = (same & inside).sum(1) >= len(w) - most
+        return found[keep]
 
     def verify(self, item: int, words: np.ndarray) -> tuple[int, int] | None:
         """(edit distance, last word) of the item in a stretch of words, if near enough."""
         w = self.items[item][1]
-        most = int((1 - self.similarity) * len(w) + 1e-9)
+        most = self.most(len(w))
         there = set(words.tolist())
         if sum(map(there.__contains__, self.plain[item])) < len(w) - most:
             return None
@@ -225,11 +286,8 @@ def find(items: Items, texts: pa.Array, stride: int) -> list[tuple[int, int, int
         spaced = np.insert(w, cut[1:], np.uint64(0))
         first, last = cut[:-1] + np.arange(len(held)), cut[1:] + np.arange(len(held))
         near: dict[tuple[int, int], list[int]] = {}
-        for item, start in items.candidates(spaced, first, last, stride):
-            t = int(np.searchsorted(first, start + len(items.items[item][1]) - 1, "right")) - 1
-            # the candidate's window lies in one text; its start may be ahead of it
-            for x in {t, max(t - 1, 0), min(t + 1, len(held) - 1)} if not first[t] <= start < last[t] else {t}:
-                near.setdefault((x, item), []).append(start)
+        for t, item, start in items.candidates(spaced, first, last, stride).tolist():
+            near.setdefault((t, item), []).append(start)
         for (t, item), starts in near.items():
             n = len(items.items[item][1])
             slack = int((1 - items.similarity) * n) + 2
