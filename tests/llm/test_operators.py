@@ -259,6 +259,26 @@ def test_warc_round_trip_with_magic_inside(spark):
     assert warc.round_trip(rows.limit(0)).count() == 0
 
 
+def test_warc_when_scans_are_cut_otherwise_later(spark, monkeypatch):
+    rng = random.Random(4)
+    html = [prose(rng, rng.randrange(1, 400)) + ("WARC/1.0\r\n" if n % 7 == 0 else "") + prose(rng, 9) for n in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    name, chain = "spark.sql.files.maxPartitionBytes", warc.chain
+
+    def cut_anew(cand):
+        # as if the cores had changed: all later scans are cut otherwise
+        out = chain(cand)
+        spark.conf.set(name, "50k")
+        return out
+
+    monkeypatch.setattr(warc, "chain", cut_anew)
+    try:
+        got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.round_trip(rows).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, h in enumerate(html)}
+
+
 # 7: neighbours
 
 

@@ -6,8 +6,9 @@ are revisits that refer to it.  Records are text and are written by Spark's text
 writer, whose commit survives lost tasks; an archive is a part file.
 
 Reading: archives are split at the magic ``WARC/1.0`` + CRLF by Spark's
-splittable text reader, so that no archive is held whole.  Each split is a
-candidate record: its offset in the file, and the successor offset that its
+splittable text reader, so that no archive is held whole.  The splits are
+numbered and written once, since another scan may cut and number them otherwise
+when executors come or go.  Each split is a candidate record: its offset in the file, and the successor offset that its
 header's length gives.  Payloads may hold the magic too; only candidates that
 the chain from the file's start reaches are records.  Pointer jumping finds
 them: a candidate's pointer doubles in length each round, and the reached set
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import discard, has, shared_path, staged
+from .shared import _remove, discard, has, shared_path, staged
 
 CRLF = "\r\n"
 MAGIC = "WARC/1.0" + CRLF
@@ -79,6 +80,11 @@ def _splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path).select(*at, F.monotonically_increasing_id().alias("i"), "value")
 
 
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """The splits as a table; it has all contents, so it is packed tighter than others."""
+    return staged(_splits(spark, path), "raw", compression="zstd")
+
+
 def _parts(value: Column) -> list[Column]:
     """(head, block) of a whole record's text; the two line ends after it are not its own."""
     cut = F.instr(value, END)
@@ -94,9 +100,13 @@ def read_warc(spark: SparkSession, path: str, wanted: Callable[[Column, Column],
 
     ``wanted`` makes columns of a record's header and its content, magic inside
     included; by default it gives both as head and block.  They are made where
-    an archive is scanned, so that contents move only if they are wanted.
+    the splits are scanned, so that contents move only if they are wanted.
     """
-    raw = _splits(spark, path)
+    return _records(_raw(spark, path), wanted)
+
+
+def _records(raw: DataFrame, wanted: Callable[[Column, Column], list[Column]]) -> DataFrame:
+    """read_warc of the staged splits of all archives."""
     magic = len(MAGIC)
     cut = F.instr("value", END)
     head = F.when(cut > 0, F.expr(f"substring(value, 1, instr(value, '{CRLF}{CRLF}') + 1)")).otherwise(F.col("value"))
@@ -175,8 +185,12 @@ def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", sm
             F.sha1(body.cast("binary")).alias("d"),
         ]
 
-    rows = read_warc(spark, path, wanted).drop("file", "offset")
-    rows = staged(rows, "records")
+    raw = _raw(spark, path)
+    _remove(spark, path)
+    rows = staged(_records(raw, wanted).drop("file", "offset"), "records")
+    discard(raw)
+    if (found := rows.count()) != (written := pages.count()):
+        raise RuntimeError(f"{written} pages were written as records, but {found} records were read back")
     of = rows.where("record_type = 'response'").select(F.col(key).alias("refers_to"), F.col("d").alias("says"), F.col("n").alias("rn"), F.col("d").alias("rd"))
     wanted = rows.where("record_type = 'revisit'").select("refers_to", "says").distinct()
     of = staged(of.join(wanted, ["refers_to", "says"], "left_semi").distinct(), "originals")
