@@ -12,8 +12,8 @@ that the stage before it kept.  All stages but the last return the columns of
 4. decontamination: documents that leak a benchmark item go.
 5. packing: documents become pieces of sequences of 1024 tokens.
 
-Rows with a null doc_id stay through all filters that go by doc_id.  Null texts
-count as empty.
+Filters decide by row, also where rows share a doc_id; near_duplicates keeps all
+rows with a null doc_id.  Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -34,15 +34,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest doc_id, one row of it."""
-    found = simhash.near_duplicates(docs, words=4, limit=4).select("doc_id", "component_id")
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    stay = docs.join(keep, "doc_id", "left_semi")
-    again = stay.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    # rows that repeat a doc_id are rare; only they are brought together to keep one
-    single = stay.join(again, "doc_id", "left_anti")
-    first = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(first).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each component: of those with the smallest doc_id that with the least text hash."""
+    # a doc_id may stand on rows with different texts, which are in groups of their own
+    rows = docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(text_of("text")).alias("text"))))
+    found = simhash.near_duplicates(rows, key="row", words=4, limit=4).select("row", "component_id")
+    keep = found.where(F.col("row") == F.col("component_id")).select("row").distinct()
+    stay = rows.join(keep, "row", "left_semi")
+    again = stay.groupBy("row").count().where("count > 1").select("row")
+    # rows that repeat a doc_id and text are rare; only they are brought together to keep one
+    single = stay.join(again, "row", "left_anti")
+    first = stay.join(again, "row", "left_semi").dropDuplicates(["row"])
+    return single.unionByName(first).unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +53,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaked = staged(decontaminate.leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds no benchmark item."""
+    rows = docs.withColumn("row", F.sha2(text_of("text").cast("binary"), 256))
+    leaked = staged(decontaminate.leaks(rows, read(spark, sf_dir, "benchmark"), key="row").select("row").distinct(), "leaked")
+    return rows.join(leaked, "row", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,15 @@ def test_odd_rows(spark):
     for stage in (cp.cut_repeated_passages, cp.drop_leaks):
         assert stage(spark, docs, SF).count() == 5
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark):
+    words = [f"word{i}" for i in range(80)]
+    one, two = " ".join(words[:40]), " ".join(words[40:])
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(1, one), (5, one), (5, two), (1, two), (7, one), (7, leak), (None, leak)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, one), (1, two), (7, leak), (0, leak)])
+    kept = cp.drop_leaks(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(rows[:5])
