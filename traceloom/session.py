@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,12 +60,33 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+#: Where each staged table lies; a table that nobody holds any more drops out.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def staged(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage in a way that survives the loss of any executor.
+    ``options`` are those of the Parquet writer.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def renamed(table: DataFrame, view: DataFrame) -> DataFrame:
+    """``view``, which alone stands for the staged ``table`` from now on."""
+    if path := _paths.pop(table, None):
+        _paths[view] = path
+    return view
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing unwritten reads any more."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            _remove(t.sparkSession, path)
