@@ -157,6 +157,72 @@ def test_simhash_links_around_and_chains(spark):
     assert {s: parts.get(s, s) for s in signed} == want
 
 
+def test_simhash_cover_has_a_list_for_any_four_positions():
+    sets = simhash.cover(4)
+    assert len(sets) == 20
+    assert all(any(set(c) <= set(four) for c in sets) for four in simhash.combinations(range(8), 4))
+
+
+def test_simhash_tally_drops_pairs_below_the_guarantee():
+    # three bytes are alike, five differ by a bit each: they meet in a list, but fall short
+    a, b = 0, 0x0101010101000000
+    sets = simhash.cover(4)
+    keys = np.array([sum(1 << p for p in sets[0]) << 32] * 2, np.int64)
+    assert simhash._links(keys, np.array([a, b], np.uint64), sets, 4, 7) == []
+    assert simhash._spread(np.array([a, b], np.uint64), 4, 7) == []
+
+
+def jaccard(a, b, words=5):
+    x, y = (set(simhash.shingle_hashes(t.encode(), words).tolist()) for t in (a, b))
+    return len(x & y) / max(len(x | y), 1)
+
+
+def test_similar_texts_match_brute_force(spark):
+    """Components by similarity 0.8 of five-word shingles: never a link below it, and nearly all at it."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(0, 4)):
+            t = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                t[rng.randrange(len(t))] = f"w{rng.randrange(4000)}"
+            texts.append(" ".join(t))
+    family = [f"f{i}" for i in range(200)]
+    for i in range(150):  # many copies of one text, all different
+        texts.append(" ".join([*family[:i], f"x{i}", *family[i + 1 :]]))
+    texts += [texts[0], "", None, "one two", "one two"]
+    rows = docs_of(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()}
+    n = len(texts)
+    near = [(i, j) for i in range(n) for j in range(i + 1, n) if texts[i] and texts[j] and jaccard(texts[i], texts[j]) >= 0.8]
+    label = list(range(n))
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, j in near:
+        a, b = sorted((top(i), top(j)))
+        label[b] = a
+    want = {i: top(i) for i in range(n)}
+    want[n - 3] = n - 4  # the null text is the empty one
+    assert len(set(want.values())) < n / 2
+    joined = [got[i] == got[j] for i, j in near]
+    assert sum(joined) / len(joined) > 0.97
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing is linked that isn't similar
+    assert {got[i] for i in range(n - 155, n - 5)} == {n - 155}
+    assert got[n - 1] == got[n - 2] == n - 2
+
+
+def test_similar_edges(spark):
+    assert simhash.similar(docs_of(spark, [])).count() == 0
+    rows = docs_of(spark, [(3, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")]).withColumnRenamed("lang", "component")
+    assert [r["component_id"] for r in simhash.similar(rows).collect()] == [3] * 4
+
+
 def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
     rows = docs_of(spark, [(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e"), (3, "a b c d e")])

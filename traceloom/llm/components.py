@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, staged
+from .shared import discard, renamed, staged
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -29,5 +29,5 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         labels = fresh
         if not fresh.where("label <> old").limit(1).count():
             discard(both)
-            return labels.select("node", F.col("label").alias("component"))
+            return renamed(labels, labels.select("node", F.col("label").alias("component")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

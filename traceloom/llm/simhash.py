@@ -2,14 +2,20 @@
 
 Fingerprints (64 bits) of word shingles link when they differ in few bits.  A
 pair that differs in at most 4 bits agrees in at least 4 of its 8 bytes, in
-place.  The inverted index therefore has a list for each set of 4 positional
-bytes; every pair that shares the guaranteed number of positional bytes meets
-in a list.  There the shared positional bytes are tallied, pairs with at least
-the guaranteed number are kept, each under one list only, and then verified by
-their differing bits.  Only distinct fingerprints are indexed, so exact copies
+place.  The inverted index has lists under three positional bytes each: of the
+56 sets of three positions the 20 that are inside any four (``cover``), so that
+each pair with the guaranteed four shared bytes meets in a list.  There the
+shared positional bytes of each pair are tallied; pairs with fewer than the
+guaranteed number, which most chance meetings are, go, and the rest are verified
+by their differing bits.  Only distinct fingerprints are indexed, so exact copies
 cost nothing more; from a long list (many fingerprints around one) only links
 that span its connected parts are emitted, never all pairs.
 
+``similar`` links texts by the Jaccard similarity of their shingles instead.  Its
+fingerprints are of two words, which an edit changes less than longer shingles;
+pairs that share three positional bytes are candidates, and the sets of shingles
+of both texts decide.
+
 Null text counts as empty.  A text without words has fingerprint zero.  Rows
 with a null key take part in links but can't name a component.
 """
@@ -36,8 +42,10 @@ TO_LOWER = bytes.maketrans(UPPER, LOWER)
 SEED = 42
 #: Bit counts of 16-bit numbers.
 ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
-#: Lists up to this length are compared pair by pair, longer ones by spreading.
-SHORT = 24
+#: Lists up to this length are compared many at a time, longer ones each by itself; both tally and verify.
+TOGETHER = 24
+#: A fingerprint is hot if it has at least this share of the rows; so there are at most 1 / HOT of them.
+HOT = 0.001
 
 
 def bit_count(x: np.ndarray) -> np.ndarray:
@@ -85,92 +93,140 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 4, name:
     return docs.withColumn(name, made(text_of(text)))
 
 
-def _spread(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
+def cover(shared: int) -> list[tuple[int, ...]]:
+    """Sets of byte positions, one at least inside any ``shared`` positions.
+
+    For four: the sets of three that lie inside one of the parts 0-2, 3-5, 6-7, or
+    have two positions in a part and the third in the next part, in a circle.
+    """
+    if shared < 4:
+        return list(combinations(range(BYTES), shared))
+    part = (0, 0, 0, 1, 1, 1, 2, 2)
+    held = ((0, 0, 0), (1, 1, 1), (0, 0, 1), (1, 1, 2), (0, 2, 2))
+    return [c for c in combinations(range(BYTES), 3) if tuple(part[p] for p in c) in held]
+
+
+def _first(sets: list[tuple[int, ...]]) -> np.ndarray:
+    """For each mask of shared positions the mask of the first list in which such a pair meets."""
+    masks = [sum(1 << p for p in c) for c in sets]
+    return np.array([next((m for m in masks if m & e == m), -1) for e in range(1 << BYTES)])
+
+
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """The mask of positions at which a pair with the difference ``x`` agrees."""
+    return np.packbits(x.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little")[:, 0]
+
+
+def _spread(fps: np.ndarray, shared: int, limit: int) -> list[tuple[int, int]]:
     """Links that span the connected parts of one long list."""
     links, left = [], fps
     while len(left):
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             at = frontier.pop()
-            near = bit_count(left ^ at) <= limit
+            x = left ^ at
+            near = (ONES[shared_bytes(x)] >= shared) & (bit_count(x) <= limit)
             if near.any():
                 new = left[near]
-                links += [(int(at), int(x)) for x in new]
+                links += [(int(at), int(y)) for y in new]
                 frontier += list(new)
                 left = left[~near]
     return links
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, shared: int, limit: int) -> list[tuple[int, int]]:
+def _links(keys: np.ndarray, fps: np.ndarray, sets: list[tuple[int, ...]], shared: int, limit: int) -> list[tuple[int, int]]:
     """Links within the lists of an index part; rows sorted by list."""
     edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[edge, len(keys)])
     out: list[tuple[int, int]] = []
-    for a, n in zip(edge[size > SHORT].tolist(), size[size > SHORT].tolist()):
-        out += _spread(np.unique(fps[a : a + n]), limit)
-    short = np.repeat((size > 1) & (size <= SHORT), size)
+    for a, n in zip(edge[size > TOGETHER].tolist(), size[size > TOGETHER].tolist()):
+        out += _spread(np.unique(fps[a : a + n]), shared, limit)
+    short = np.repeat((size > 1) & (size <= TOGETHER), size)
     k, f = keys[short], fps[short]
-    subset = k >> 32  # which positions the list is about
-    for lag in range(1, SHORT):
-        if len(k) <= lag:
-            break
-        same = k[lag:] == k[:-lag]
+    first = _first(sets)
+    for lag in range(1, TOGETHER):
+        same = k[lag:] == k[:-lag] if len(k) > lag else np.empty(0, bool)
         if not same.any():
             break
-        a, b, s = f[:-lag][same], f[lag:][same], subset[:-lag][same]
-        x = a ^ b
-        equal = (x.view(np.uint8).reshape(-1, 8) == 0)
-        tally = equal.sum(1)
-        # of the lists in which the pair meets, the one of its first shared positions reports it
-        first = np.zeros(len(x), np.int64)
-        rank = np.cumsum(equal, 1)
-        for p in range(8):
-            first |= np.where(equal[:, p] & (rank[:, p] <= shared), 1 << p, 0)
-        ok = (tally >= shared) & (first == s) & (bit_count(x) <= limit) & (x != 0)
+        a, b = f[:-lag][same], f[lag:][same]
+        mask = shared_bytes(a ^ b)
+        # a pair is reported by the first list in which it meets
+        ok = (ONES[mask] >= shared) & (first[mask] == k[:-lag][same] >> 32)
+        ok[ok] = bit_count((a ^ b)[ok]) <= limit
         out += list(zip(a[ok].tolist(), b[ok].tolist()))
     return out
 
 
+def _entries(sets: list[tuple[int, ...]]) -> list:
+    """The list keys of column ``fp``: which positions, and the bytes there."""
+    out = []
+    for c in sets:
+        key = F.lit(sum(1 << p for p in c) << 32).cast("long")
+        for i, p in enumerate(c):
+            key = key.bitwiseOR(F.shiftleft(F.expr(f"(shiftrightunsigned(fp, {8 * p}) & 255L)"), 8 * i))
+        out.append(key)
+    return out
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole lists, from batches sorted by column ``k``."""
+    held: list[pa.Table] = []
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if not t.num_rows:
+            continue
+        k = t["k"].to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))  # the last list may go on in the next batch
+        if cut:
+            yield pa.concat_tables([*held, t.slice(0, cut)])
+            held = []
+        elif held and held[-1]["k"][-1].as_py() != k[0]:
+            yield pa.concat_tables(held)
+            held = []
+        held.append(t.slice(cut))
+    if held:
+        yield pa.concat_tables(held)
+
+
 def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     """(a, b): links between the distinct fingerprints of column ``fp`` (longs).
 
     All links of short lists; of long ones those that keep its parts connected.
+    A list holds distinct fingerprints only, so copies don't lengthen it.
     """
     if not 0 <= limit < BYTES:
         raise ValueError("limit must be under 8: else no positional byte need be shared")
     shared = min(BYTES - limit, 4)
-    spark = fps.sparkSession
-    ship(spark)
-    positions = list(combinations(range(BYTES), shared))
-    byte = [F.expr(f"(shiftrightunsigned(fp, {8 * p}) & 255L)") for p in range(BYTES)]
-
-    def entry(c: tuple[int, ...]):
-        key = F.lit(sum(1 << p for p in c) << 32).cast("long")
-        for i, p in enumerate(c):
-            key = key.bitwiseOR(F.shiftleft(byte[p], 8 * i))
-        return key
-
-    index = fps.select("fp").distinct().select("fp", F.explode(F.array(*[entry(c) for c in positions])).alias("k"))
-    parts = index.repartition("k").sortWithinPartitions("k")
+    ship(fps.sparkSession)
+    sets = cover(shared)
+    index = fps.select("fp").distinct().select("fp", F.explode(F.array(*_entries(sets))).alias("k"))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def batch(found):
+        for t in _whole_lists(batches):
+            found = _links(t["k"].to_numpy(), t["fp"].to_numpy().view(np.uint64), sets, shared, limit)
             both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return index.repartition("k").sortWithinPartitions("k").select("k", "fp").mapInArrow(tidy(met), "a long, b long")
 
-        for b in batches:
-            k = np.r_[held_k, b.column("k").to_numpy()]
-            f = np.r_[held_f, b.column("fp").to_numpy().view(np.uint64)]
-            cut = int(np.searchsorted(k, k[-1]))  # the last list may go on in the next batch
-            if cut:
-                yield batch(_links(k[:cut], f[:cut], shared, limit))
-            held_k, held_f = k[cut:], f[cut:]
-        if len(held_k):
-            yield batch(_links(held_k, held_f, shared, limit))
 
-    return parts.select("k", "fp").mapInArrow(tidy(met), "a long, b long")
+def _named(rows: DataFrame, least: DataFrame, parts: DataFrame, node: str) -> DataFrame:
+    """``rows`` (id, node, ...) with component_id; ``least`` has each node's smallest id and number of rows.
+
+    Nodes without links name themselves.  Hot nodes, of which there are at most
+    1 / HOT, are joined by broadcast, so that no task gets all rows of one.
+    """
+    own = least.join(parts.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
+    of = own.groupBy("component").agg(F.min("id").alias("component_id"))
+    each = staged(own.join(of, "component").select(node, "component_id", "n"), "components")
+    total = each.agg(F.sum("n")).first()[0] or 0
+    hot = each.where(F.col("n") >= F.lit(total * HOT)).select(node, F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot"))
+    marked = rows.join(F.broadcast(hot), node, "left")
+    first = marked.where("_is_hot").withColumn("component_id", F.col("_hot")).drop("_hot", "_is_hot")
+    rest = marked.where("_is_hot is null").drop("_hot", "_is_hot")
+    out = staged(first.unionByName(rest.join(each.select(node, "component_id"), node, "left")), "named")
+    discard(each, rows, least, parts)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, limit: int = 4) -> DataFrame:
@@ -179,15 +235,130 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     component_id is the smallest key reachable through links, its own included.
     """
     has(docs, key, text)
-    prints = staged(with_fingerprint(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "t", words).select("id", "fp"), "prints")
-    least = prints.groupBy("fp").agg(F.min("id").alias("id"))
+    prints = staged(with_fingerprint(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")), "t", words).select("id", "fp"), "prints")
+    least = staged(prints.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "least")
     joined = staged(links(least, limit), "near")
     parts = components(joined)
     discard(joined)
-    # smallest key of a component: over its fingerprints' smallest keys
-    own = least.join(parts.withColumnRenamed("node", "fp"), "fp")
-    of = own.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = parts.withColumnRenamed("node", "fp").join(of, "component").select("fp", "component_id")
-    # a table of its own, so that the join can split a fingerprint that many rows have
-    each = staged(least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), "components")
-    return prints.join(each, "fp", "left").select(F.col("id").alias(key), "fp", "component_id")
+    named = _named(prints, least, parts, "fp")
+    return named.select(F.col("id").alias(key if key != "fp" else "id"), "fp", "component_id")
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, coarse: int = 2, limit: int = 12) -> DataFrame:
+    """(key, component_id): a row for each row of ``docs``, by similarity of shingles.
+
+    Texts link if their sets of ``words``-word shingles have a Jaccard similarity
+    of at least ``similarity``.  Candidates are texts whose fingerprints of
+    ``coarse``-word shingles share three positional bytes, as all do that differ in
+    at most five bits, and differ in at most ``limit`` bits.  Equal texts are one text
+    (by 64 bits of hash); texts without words are linked only to their equals.
+
+    A list's pairs are tried in rounds: neighbours in the order of fingerprints
+    first, then those further apart, four times as far each round, and only pairs
+    that no links connect yet.  So every pair is tried or connected, but a group
+    of many copies of one text doesn't become all its pairs.
+    """
+    has(docs, key, text)
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{key}`").alias("id"), text_of(f"`{text}`").alias("text"))
+    prints = staged(with_fingerprint(rows, "text", coarse).select("id", F.xxhash64("text").alias("t"), "fp"), "prints")
+    least = staged(prints.groupBy("t").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("n")), "least")
+    sets = cover(3)
+    index = least.where("fp <> 0").select("t", "fp", F.explode(F.array(*_entries(sets))).alias("k"))
+    lists = staged(index.repartition("k").sortWithinPartitions("k", "fp", "t").select("k", "fp", "t").mapInArrow(tidy(_long_lists), "k long, fp long, t long, i int, n int"), "lists")
+    longest = lists.agg(F.max("n")).first()[0] or 0
+    need = lists.select("t").distinct()
+    one = least.join(need, "t", "left_semi").select("t", "id")
+    texts = rows.withColumn("t", F.xxhash64("text")).join(one.withColumnRenamed("id", "one"), "t").where(F.col("id").eqNullSafe(F.col("one"))).select("t", "text")
+    shingles = texts.mapInArrow(tidy(_shingle_sets(words)), "t long, h array<long>")
+    shingles = staged(shingles.groupBy("t").agg(F.any_value("h").alias("h")), "shingles")
+
+    found, parts, step = None, None, 1
+    while step < longest:
+        at = lists.where(F.col("n") > step)
+        if parts is None:
+            at = at.withColumn("c", F.col("t"))
+        else:
+            at = staged(at.join(parts.withColumnRenamed("node", "t"), "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component"), "open")
+            mixed = at.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("k")
+            at = at.join(mixed, "k", "left_semi")
+            if at.isEmpty():
+                break
+        tried = at.select("k", "fp", "t", "i", "c").repartition("k").sortWithinPartitions("k", "i").mapInArrow(tidy(_pairs(sets, step, 4 * step, limit)), "a long, b long")
+        pairs = staged(tried.distinct(), "pairs")
+        linked = pairs.join(shingles.select(F.col("t").alias("a"), F.col("h").alias("x")), "a").join(shingles.select(F.col("t").alias("b"), F.col("h").alias("y")), "b")
+        fresh = linked.mapInArrow(tidy(_alike(similarity)), "a long, b long")
+        both = staged(fresh if found is None else found.unionByName(fresh), "near")
+        discard(pairs, *(x for x in (found, parts) if x is not None))
+        found, step = both, 4 * step
+        parts = components(found)
+    if parts is None:
+        parts = docs.sparkSession.createDataFrame([], "node long, component long")
+    discard(lists, shingles, *([found] if found is not None else []))
+    return _named(prints.select("id", "t"), least.select("t", "id", "n"), parts, "t").select(F.col("id").alias(key), "component_id")
+
+
+def _long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lists of two and more, with their place and the list's length."""
+    for t in _whole_lists(batches):
+        k = t["k"].to_numpy()
+        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.diff(np.r_[edge, len(k)])
+        n, i = np.repeat(size, size), np.arange(len(k)) - np.repeat(edge, size)
+        keep = n > 1
+        if keep.any():
+            cols = [c.to_numpy()[keep] for c in (t["k"], t["fp"], t["t"])] + [i[keep].astype(np.int32), n[keep].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "fp", "t", "i", "n"])
+
+
+def _pairs(sets: list[tuple[int, ...]], least: int, below: int, limit: int):
+    """Pairs of each list at distances from ``least`` up, below ``below``, of different components."""
+    first, shared = _first(sets), len(sets[0])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_lists(batches):
+            k, c, t, f = (table[x].to_numpy() for x in ("k", "c", "t", "fp"))
+            f = f.view(np.uint64)
+            for lag in range(least, min(below, len(k))):
+                same = np.flatnonzero((k[lag:] == k[:-lag]) & (c[lag:] != c[:-lag]))
+                mask = shared_bytes(f[same] ^ f[same + lag])
+                same = same[(ONES[mask] >= shared) & (first[mask] == k[same] >> 32)]
+                same = same[bit_count(f[same] ^ f[same + lag]) <= limit]
+                if len(same):
+                    a, b = t[same], t[same + lag]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return made
+
+
+def _shingle_sets(words: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "h"])
+
+    return made
+
+
+def _alike(similarity: float):
+    """Pairs whose sets of shingles are as similar as they need be."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(*(_arrays_of(b.column(n)) for n in ("x", "y"))):
+                least, most = sorted((len(x), len(y)))
+                ok = least >= similarity * most and least > 0
+                if ok:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok = both >= similarity * (len(x) + len(y) - both)
+                keep.append(ok)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    return made
+
+
+def _arrays_of(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return (flat[a:z] for a, z in zip(at, at[1:]))
