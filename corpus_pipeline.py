@@ -5,8 +5,9 @@ that the stage before it kept.  All stages but the last return the columns of
 ``documents``:
 
 1. toxicity: documents that the classifier predicts toxic go.
-2. near_duplicates: of each group of documents linked by SimHash the one with
-   the smallest doc_id stays.
+2. near_duplicates: of each group of documents whose sets of five-word shingles
+   have a Jaccard similarity of 0.8 or more the one with the smallest doc_id stays;
+   SimHash's byte-position index finds the pairs.
 3. repeated_passages: bytes that a repeated 200-byte string covers are cut from
    the texts (whole characters only); documents stay, if need be with empty text.
 4. decontamination: documents that leak a benchmark item go.
@@ -37,14 +38,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each component: of those with the smallest doc_id that with the least text hash."""
     # a doc_id may stand on rows with different texts, which are in groups of their own
     rows = docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(text_of("text")).alias("text"))))
-    found = simhash.near_duplicates(rows, key="row", words=4, limit=4).select("row", "component_id")
-    keep = found.where(F.col("row") == F.col("component_id")).select("row").distinct()
-    stay = rows.join(keep, "row", "left_semi")
-    again = stay.groupBy("row").count().where("count > 1").select("row")
+    found = simhash.similar(rows, key="row", words=5, similarity=0.8)
+    gone = found.where(F.col("row") != F.col("component_id")).select("row").distinct()
     # rows that repeat a doc_id and text are rare; only they are brought together to keep one
-    single = stay.join(again, "row", "left_anti")
-    first = stay.join(again, "row", "left_semi").dropDuplicates(["row"])
-    return single.unionByName(first).unionByName(rows.where("doc_id is null")).select(*docs.columns)
+    again = staged(found.where(F.col("row") == F.col("component_id")).groupBy("row").count().where("count > 1").select("row"), "again")
+    single = rows.join(staged(gone.unionByName(again), "gone"), "row", "left_anti")
+    first = rows.join(again, "row", "left_semi").dropDuplicates(["row"])
+    return single.unionByName(first).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
