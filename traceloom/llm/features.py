@@ -15,8 +15,8 @@ def held_out(key: str = "doc_id") -> Column:
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, y): at most ``sample`` labelled rows outside the held-out part.
 
-    Rows are chosen by a hash of their key, half of each label where there are
-    enough.  Labels that are null or of two minds about a key are left out.
+    Keys are chosen by a hash, half of each label where there are enough, and of
+    the rows of a key that with the least text hash.  Labels that are null or of two minds about a key are left out.
     """
     y = F.col(f"`{label}`").cast("int")
     known = labels.where(F.col(f"`{key}`").isNotNull() & y.isin(0, 1)).groupBy(F.col(f"`{key}`").alias("k")).agg(F.min(y).alias("y"), F.max(y).alias("top")).where("y = top").select("k", "y")
@@ -24,14 +24,10 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, k
     order = F.xxhash64(F.col("k"), F.lit(17))
     some = known.where("y = 1").orderBy(order).limit(sample // 2).union(known.where("y = 0").orderBy(order).limit(sample // 2))
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(some), "k")  # bounded: at most ``sample`` keys
+    met = texts.join(F.broadcast(some), "k")  # bounded: at most ``sample`` keys
+    # rows of a key are first reduced where they are read
+    return met.groupBy("k", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
-
-
-def joined_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(all bytes with a newline around each text, start of each text)."""
-    size = np.array([len(t) + 1 for t in texts], np.int64)
-    return np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8), np.r_[1, 1 + np.cumsum(size)[:-1]] if len(size) else np.empty(0, np.int64)
