@@ -9,6 +9,8 @@ identifiers are made.
 
 Null text counts as empty.  Empty and all-white texts have no tokens.  Special
 strings inside a text count one each, as the library handles them by default.
+Repeated rows are counted each.  Columns named like the new ones, in any case,
+are replaced.
 """
 
 from __future__ import annotations
@@ -154,6 +156,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
         for part in parts:
             yield pd.Series([m.count(x) for x in part], dtype="int64")
 
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_bytes", "n_tokens", "over_limit")]
-    base = docs.select(*[F.col(f"`{c}`") for c in names], F.octet_length(text_of(text)).cast("long").alias("n_bytes"), counted(text_of(text)).alias("n_tokens"))
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
+    base = docs.select(*[F.col(f"`{c}`") for c in names], F.octet_length(text_of(f"`{text}`")).cast("long").alias("n_bytes"), counted(text_of(f"`{text}`")).alias("n_tokens"))
     return base.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

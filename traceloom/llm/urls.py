@@ -1,13 +1,19 @@
 """Operator 2: URL filters by pattern rules under their rarest literal token.
 
 Pattern rules are plain texts with ``*`` (anything), ``^`` (a separator or the
-end) and ``||`` in front (the start of a host label).  Each is indexed under one
-literal token, the one that the fewest URLs of the table hold; the tokens of a
-URL fetch candidate rules, and only those run their regular expressions.  Site
-rules (host and path prefix) decide first: the longest that fits wins.
+end) and ``||`` in front (the start of a host label).  A rule's literal tokens
+are the runs of letters and digits that must stand in a URL as whole tokens: a
+run at the end of a rule, or beside a ``*``, may go on in the URL and is none.
+Each rule is indexed under the one of its tokens that the fewest URLs hold; a
+URL's own tokens fetch candidate rules, and only those run their regular
+expressions.  Rules without such a token are always candidates.  Site rules (host and
+path prefix) decide first: the longest that fits wins; of equally long ones that
+with the greatest host, then path, in order of characters.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no site
 rule, and are judged by the pattern rules alone.  An empty table gives no rows.
+Repeated rows are judged each.  Columns that are named like the new ones, in any
+case, are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import has, ship
 
-TOKEN = "[a-z0-9]{3,}"
+TOKEN = "[a-z0-9]+"
 #: Pattern rules that block: trackers, shops for adults, betting, raw downloads.
 PATTERNS = (
     "||adserver.", "||doubleclick.", "||tracker.", "/banners/*.gif^", "/pixel.gif?", "/popunder/", "/clickbait/",
@@ -60,46 +66,51 @@ def pattern_regex(pattern: str) -> str:
 
 
 def literal_tokens(pattern: str) -> list[str]:
-    """Tokens that every URL the pattern fits holds as whole tokens or as parts."""
-    return re.findall(TOKEN, pattern)
+    """The runs of letters and digits that every URL the pattern fits holds as whole tokens."""
+    head = pattern.startswith("||")  # what follows stands at the start of a host label
+    body = pattern[2:] if head else pattern
+    out = []
+    for m in re.finditer(TOKEN, body):
+        before = body[m.start() - 1 : m.start()] or ("." if head else "*")
+        after = body[m.end() : m.end() + 1] or "*"
+        # ^ may be the end, but never a letter or digit
+        if before != "*" and after != "*":
+            out.append(m[0])
+    return out
 
 
 def token_counts(urls: DataFrame, tokens: Sequence[str], url: str = "url") -> dict[str, int]:
-    """How many URLs of the table hold each of the rules' literals (no more rows than rules)."""
+    """How many URLs of the table hold each of the rules' tokens (no more rows than those)."""
     if not tokens:
         return {}
-    low = F.lower(F.col(url))
-    row = urls.agg(*[F.count(F.when(low.contains(t), 1)).alias(f"c{i}") for i, t in enumerate(tokens)]).first()
-    return {t: int(row[i] or 0) for i, t in enumerate(tokens)}
+    wanted = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string"))  # the rules' own, a configuration
+    held = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{url}`").cast("string")), F.lit(f"({TOKEN})"), 1))).alias("token"))
+    return {r["token"]: r["n"] for r in held.join(wanted, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 class PatternIndex:
-    """Rules by their rarest literal; rules without one are always candidates.
-
-    A literal may lie inside a longer token of a URL (``/keygen`` fits
-    ``/keygens``), so the index also has each literal's first three letters, by
-    which a URL's tokens find it at any place.
-    """
+    """Rules by their rarest token; rules without one are always candidates."""
 
     def __init__(self, patterns: Sequence[str], counts: dict[str, int]):
-        self.by_gram: dict[str, list[tuple[str, re.Pattern]]] = {}
+        self.by_token: dict[str, list[re.Pattern]] = {}
         self.always: list[re.Pattern] = []
+        self.tried = 0  # regular expressions run
         for p in patterns:
-            rx = re.compile(pattern_regex(p))
             tokens = literal_tokens(p)
-            if not tokens:
+            rx = re.compile(pattern_regex(p))
+            if tokens:
+                self.by_token.setdefault(min(tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), []).append(rx)
+            else:
                 self.always.append(rx)
-                continue
-            rarest = min(tokens, key=lambda t: (counts.get(t, 0), -len(t), t))
-            self.by_gram.setdefault(rarest[:3], []).append((rarest, rx))
 
     def blocks(self, url: str) -> bool:
         url = url.lower()
-        for token in re.findall(TOKEN, url):
-            for i in range(len(token) - 2):
-                for literal, rx in self.by_gram.get(token[i : i + 3], ()):
-                    if token.startswith(literal, i) and rx.search(url):
-                        return True
+        for token in set(re.findall(TOKEN, url)):
+            for rx in self.by_token.get(token, ()):
+                self.tried += 1
+                if rx.search(url):
+                    return True
+        self.tried += len(self.always)
         return any(rx.search(url) for rx in self.always)
 
 
@@ -107,12 +118,12 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
     """``pages`` with host, path, rule (null if none fits) and verdict.
 
     verdict is ``allow`` or ``block``: the site rule's, else ``block`` where a
-    pattern rule fits.  One pass counts the rules' literals, one judges; no
-    shuffle of rows.  Columns named like the new ones are replaced.
+    pattern rule fits.  One pass counts the rules' tokens, one judges; no shuffle
+    of rows.  Only URLs that no site rule decides go through the pattern index.
     """
     has(pages, url)
     ship(pages.sparkSession)
-    counts = token_counts(pages.select(url), sorted({t for p in patterns for t in literal_tokens(p)}), url)
+    counts = token_counts(pages.select(F.col(f"`{url}`").alias("u")), sorted({t for p in patterns for t in literal_tokens(p)}), "u")
 
     @F.pandas_udf("boolean")
     def blocked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -121,11 +132,13 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
             yield pd.Series([bool(u) and index.blocks(u) for u in part], dtype=bool)
 
     col = F.col(f"`{url}`").cast("string")
-    keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    keep = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = host_of(col), path_of(col)
-    judged = pages.select(*keep, host.alias("host"), path.alias("path"), site_rule(host, path, rules).alias("_fits"), blocked(col).alias("_blocked"))
-    verdict = F.coalesce(F.col("_fits.verdict"), F.when(F.col("_blocked"), "block").otherwise("allow"))
-    return judged.withColumn("rule", F.col("_fits.rule")).withColumn("verdict", verdict).drop("_fits", "_blocked")
+    fits = site_rule(host, path, rules)
+    row = F.struct(*keep).alias("row") if keep else F.lit(None).alias("row")
+    judged = pages.select(row, host.alias("host"), path.alias("path"), fits.alias("fits"), blocked(F.when(fits.isNull(), col)).alias("blocked"))
+    verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
+    return judged.select(*(["row.*"] if keep else []), "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def oracle_sql(rules: Sequence[tuple[str, str, str]] = SITE_RULES, patterns: Sequence[str] = PATTERNS) -> str:
