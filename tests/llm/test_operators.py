@@ -306,6 +306,31 @@ def test_urls_match_every_rule_tried(spark):
     assert [got[i]["verdict"] for i in (10, 11, 12, 13, 17, 18)] == ["block"] * 5 + ["allow"]
 
 
+def test_pattern_index_runs_few_rules_of_many():
+    import re
+
+    rng = random.Random(8)
+    patterns = [(f"||host{i}.", f"/path{i}/", f"/common/x{i}^", f"/common/*/y{i}.")[i % 4] for i in range(10_000)]
+    assert urls.literal_tokens("||casino") == [] and urls.literal_tokens("||ads.x^") == ["ads", "x"] and urls.literal_tokens("/a*b/c^") == ["c"]
+    index = urls.PatternIndex(patterns, {"common": 9000})
+    plain = [(p, re.compile(urls.pattern_regex(p))) for p in patterns]
+    hits = 0
+    for _ in range(150):
+        i = rng.randrange(10_000)
+        url = rng.choice([f"http://host{i}.net/", f"http://a.b/path{i}/z", f"http://a.b/common/x{i}", f"http://a.b/common/q/y{i}.png", f"http://a.b/common/x{i}a"])
+        want = any(rx.search(url) for _, rx in plain)
+        assert index.blocks(url) == want, url
+        hits += want
+    assert 20 < hits < 140 and index.tried < 2 * 150
+
+
+def test_url_columns_of_any_name(spark):
+    rows = spark.createDataFrame([("http://a.org/x", 1, 2, 3)], "url string, _fits int, _blocked int, HOST int")
+    (got,) = urls.filter_urls(rows).collect()
+    assert got.asDict() == {"url": "http://a.org/x", "_fits": 1, "_blocked": 2, "host": "a.org", "path": "/x", "rule": "org/", "verdict": "allow"}
+    assert tokens.count_tokens(docs_of(spark, [(1, "a")]).withColumnRenamed("lang", "N_TOKENS"), vocabulary("word_bpe_49k.json")).columns == ["doc_id", "text", "source", "n_chars", "n_bytes", "n_tokens", "over_limit"]
+
+
 # 10: WARC
 
 
@@ -460,6 +485,52 @@ def test_classifiers_on_held_out_rows(spark, which):
     assert (p == y).mean() > 0.96
 
 
+def brute_grams(text):
+    """Hashed n-grams by a plain loop over characters."""
+    c = [ord(x) + 32 if "A" <= x <= "Z" else 32 if x in "\t\n\x0b\x0c\r" else ord(x) for x in f" {text} "]
+    low, out = (1 << 32) - 1, set()
+    for n in toxicity.SIZES:
+        for i in range(len(c) - n + 1):
+            h = (c[i] * 0x01000193 + 7) & low
+            for x in c[i + 1 : i + n]:
+                h = ((h * 0x01000193) & low) ^ ((x * 0x9E3779B1) & low)
+            out.add(((h * 0x9E3779B1) & low) >> (32 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_scores_match_a_plain_loop(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = toxicity.NaiveBayesLinear()
+    model.w, model.b = np.where(rng.random(1 << toxicity.BITS) < 0.2, rng.normal(size=1 << toxicity.BITS), 0).astype(np.float32), 0.3
+    model.used = model.w != 0
+    for part in (1 << 20, 16):  # in parts, too
+        monkeypatch.setattr(toxicity, "PART", part)
+        for text in ("", "a", "abc", "Hello\tWÖRLD, again and again and again 日本語日本語 🙂", prose(random.Random(3), 40)):
+            assert set(toxicity.grams(text).tolist()) == brute_grams(text)
+            total = sum(float(model.w[g]) for g in brute_grams(text)) + model.b
+            assert model.score(text) == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-6)
+
+
+def test_quality_scores_match_plain_sums():
+    model = quality.BradleyTerry()
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, quality.N_FEATURES))
+    model.fit(x, (x[:, 0] > 0).astype(int), 0.5, 0.7, pairs=500, rounds=50)
+    for row, got in zip(x, model.score(x)):
+        strength = sum(min(max((v - m) / s, -8), 8) * w for v, m, s, w in zip(row, model.mean, model.scale, model.w))
+        assert got == pytest.approx(1 / (1 + np.exp(-(model.a * strength + model.b))), abs=1e-9)
+    share = quality.features("Ab1 é.\n")[: 6 + len(quality.SIGNS)]
+    assert share.tolist() == pytest.approx([1 / 8, 1 / 8, 1 / 8, 2 / 8, 2 / 8, 1 / 8, *[0] * (len(quality.SIGNS))][: len(share)], abs=1e-6)
+
+
+def test_learning_rows_are_bounded_by_rows(spark):
+    from traceloom.llm.features import learning_rows
+
+    rows = docs_of(spark, [(i % 5, f"text {i}") for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)], "doc_id long, quality int, toxic int")
+    assert learning_rows(rows, labels, "toxic", 4).count() <= 4
+
+
 def test_classifiers_without_labels(spark):
     rows = docs_of(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -5,14 +5,19 @@ The books are fitted to residuals on a bounded sample of rows (``sample``); the
 codes of every row come from a beam search over the books, which keeps the best
 partial sums, and are stored with the norm of the sum.  A query makes one table
 of inner products with all codewords; a row's score is the sum of its codes'
-entries (for distances the stored norm completes it).  The best ``pool`` rows by
-these scores are reranked by the exact measure on the original vectors.
+entries (for distances the stored norm completes it).  The ``pool`` rows of the
+whole table that score best are reranked by the exact measure on the original
+vectors.
+
+Queries go against all rows, block by block, but only codes meet queries there;
+vectors are joined for the pool alone.  Blocks are of rows by hash, so a block's
+share of the pool is even but for chance; it sends twice that and ``spare`` more.
 
 Equal vectors are coded once: a distinct vector carries its ``top + 1`` smallest
-ids, which is all that any answer can need.  Queries go against all rows, block
-by block.  Vectors that are null, zero, hold null or non-finite components, or
-are of another length than most, take no part, nor do rows with a null id.
-Repeated rows of one id and vector count once.
+ids, which is all that any answer can need.  Vectors that are null, zero, hold
+null or non-finite components, or are of another length than most, take no part,
+nor do rows with a null id.  Repeated rows of one id and vector count once; an id
+with several vectors asks with each, and its best score counts either way.
 """
 
 from __future__ import annotations
@@ -20,12 +25,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import has, ship, staged, tidy
+from .shared import discard, has, ship, staged, tidy
 
 
 class Books:
@@ -43,8 +48,7 @@ class Books:
             c = left[rng.choice(len(left), k, replace=False)].copy()
             for _ in range(rounds):
                 at = nearest(left, c)
-                total = np.zeros_like(c)
-                np.add.at(total, at, left)
+                total = one_hot(at, k).T @ left
                 n = np.bincount(at, minlength=k)
                 c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], left[rng.integers(0, len(left), k)])
             out.append(np.pad(c, ((0, self.words - k), (0, 0))))
@@ -59,10 +63,11 @@ class Books:
         for _ in range(rounds):
             codes = self.encode(x)[0].astype(np.int64) + k * np.arange(m)
             gram, right = np.zeros((m * k, m * k), np.float64), np.zeros((m * k, d), np.float64)
-            for i in range(m):
-                np.add.at(right, codes[:, i], x)
-                for j in range(m):
-                    np.add.at(gram, (codes[:, i], codes[:, j]), 1.0)
+            for a in range(0, len(x), 2048):
+                held = np.zeros((len(codes[a : a + 2048]), m * k), np.float32)
+                np.put_along_axis(held, codes[a : a + 2048], 1, axis=1)
+                gram += held.T @ held
+                right += held.T @ x[a : a + 2048]
             lam = 0.05 * np.eye(m * k)
             old = self.book.reshape(m * k, d).astype(np.float64)
             self.book = np.linalg.solve(gram + lam, right + lam @ old).reshape(m, k, d).astype(np.float32)
@@ -96,6 +101,10 @@ class Books:
         return np.einsum("qd,mkd->qmk", q.astype(np.float32), self.book)
 
 
+def one_hot(at: np.ndarray, k: int) -> np.ndarray:
+    return (at[:, None] == np.arange(k)).astype(np.float32)
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c**2).sum(1) / 2
     return np.concatenate([np.argmax(x[a : a + 4096] @ c.T - half, axis=1) for a in range(0, len(x), 4096)])
@@ -110,7 +119,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (size[0] if size else 0))
 
 
-def search(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_id", vector: str = "embedding", books: int = 24, words: int = 64, beam: int = 8, sample: int = 12_000, pool: int = 600, block: int = 16_384, query_block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_id", vector: str = "embedding", books: int = 32, words: int = 64, beam: int = 8, sample: int = 12_000, pool: int = 400, spare: int = 40, block: int = 16_384, query_block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``top`` rows of largest inner product.
 
     Queries: ids divisible by ``every``; candidates: every row of another id.
@@ -126,53 +135,68 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_i
     part = rows.select("v", "id", F.spark_partition_id().alias("p")).distinct()
     near = part.withColumn("r", F.row_number().over(W.partitionBy("v", "p").orderBy("id"))).where(F.col("r") <= top + 1)
     merged = near.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list("id"))), 1, top + 1).alias("ids"))
-    distinct = staged(merged.select("v", "ids", F.xxhash64("v").alias("h")), "distinct")
-    asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").distinct()
+    distinct = staged(merged.select(F.xxhash64("v").alias("h"), "v", "ids"), "distinct")
+    asked = staged(rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").distinct().withColumn("ask", F.xxhash64("query_id", "v")), "asked")
 
     picked = distinct.orderBy("h").limit(sample).select("v").toPandas()["v"]
     form = "query_id long, rank int, vec_id long, score double"
     if not len(picked):
         return spark.createDataFrame([], form)
     fitted = Books(books, words, beam).fit(np.array(picked.tolist(), np.float32))
-    kind = distinct.schema["v"].dataType.simpleString()
 
-    def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            codes, norms = fitted.encode(np.array(p["v"].tolist(), np.float32).reshape(len(p), -1))
-            yield pd.DataFrame({"h": p["h"], "v": p["v"], "ids": p["ids"], "code": [c.tobytes() for c in codes], "norm": norms})
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, norms = fitted.encode(_matrix(b.column("v")).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["h", "code", "norm"])
 
     n_blocks, n_query = -(-distinct.count() // block), max(1, -(-asked.count() // query_block))
-    index = staged(distinct.mapInPandas(tidy(coded), f"h long, v {kind}, ids array<long>, code binary, norm float"), "index")
-    # each block of rows meets each block of queries in one task
-    left = index.withColumn("b", F.pmod("h", F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def scanned(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asks):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        c = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        v = np.array(rows["v"].tolist(), np.float64)
-        asks = asks.reset_index(drop=True)
-        q = np.array(asks["v"].tolist(), np.float64)
-        own, ids, least = asks["query_id"].to_numpy(), rows["ids"].to_list(), rows["ids"].str[0].to_numpy()
-        keep = min(pool, len(c))
-        out: list[tuple[int, int, float]] = []
+    keep = min(pool, 2 * pool // n_blocks + spare)
+    index = staged(distinct.select("h", "v").mapInArrow(tidy(coded), "h long, code binary, norm float"), "index")
+    # each block of codes meets each block of queries in one task
+    left = index.select("h", "code", F.pmod("h", F.lit(n_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"))
+    right = asked.select("ask", "v", F.pmod("ask", F.lit(n_query)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
+    found_form = pa.schema([("ask", pa.int64()), ("h", pa.int64()), ("guess", pa.float32())])
+
+    def scanned(codes: pa.Table, asks: pa.Table) -> pa.Table:
+        if not codes.num_rows or not asks.num_rows:
+            return found_form.empty_table()
+        h, ask = codes["h"].to_numpy(), asks["ask"].to_numpy()
+        c = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(h), -1).T.copy()
+        q, n = _matrix(asks["v"].combine_chunks()), min(keep, len(h))
+        out = []
         for a in range(0, len(q), 64):
             t = fitted.tables(q[a : a + 64])
-            s = np.zeros((len(t), len(c)), np.float32)
-            for m in range(c.shape[1]):
-                s += t[:, m, :][:, c[:, m]]
-            best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            for i, at in enumerate(best, a):
-                exact = (v[at] * q[i]).cumsum(axis=1)[:, -1]  # added up in order, as a plain loop would
-                for j in np.lexsort((least[at], -exact))[: top + 1]:
-                    out += [(own[i], x, exact[j]) for x in ids[at[j]] if x != own[i]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInPandas(scanned, "query_id long, vec_id long, score double")
-    each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            s = np.zeros((len(t), len(h)), np.float32)
+            for m in range(len(c)):
+                s += t[:, m, :][:, c[m]]
+            best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            out.append((np.repeat(ask[a : a + 64], n), h[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], schema=found_form)
+
+    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(scanned, "ask long, h long, guess float")
+    best = found.withColumn("r", F.row_number().over(W.partitionBy("ask").orderBy(F.desc("guess"), "h"))).where(F.col("r") <= pool).select("ask", "h")
+    best = staged(best, "pool")
+    # the original vectors, for the pool alone
+    met = best.join(distinct, "h").join(asked.select("ask", "query_id", F.col("v").alias("q")), "ask").select("query_id", "q", "v", "ids")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # added up in order, as a plain loop would
+            score = (_matrix(b.column("q")) * _matrix(b.column("v"))).cumsum(axis=1)[:, -1]
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("ids"), pa.array(score)], names=["query_id", "ids", "score"])
+
+    scored = met.mapInArrow(tidy(exact), "query_id long, ids array<long>, score double").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    # more than ``top`` scores of a query may be those of one id with several vectors, so ids are made distinct first
+    each = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    out = staged(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(index, best, distinct, asked)
+    return out
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix in double precision."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
 #: The same rows from DuckDB by brute force, for tables whose vectors all take part.
