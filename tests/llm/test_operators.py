@@ -370,6 +370,23 @@ def test_warc_when_scans_are_cut_otherwise_later(spark, monkeypatch):
     assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, h in enumerate(html)}
 
 
+def test_warc_chain_over_many_ranges(spark):
+    """Archives read in ranges that records span, with records' text inside payloads; URLs are written."""
+    rng = random.Random(9)
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
+    html = [prose(rng, rng.randrange(1, 60)) + fake * rng.choice((0, 0, 1, 60)) + prose(rng, rng.choice((1, 2000))) for n in range(120)]
+    rows = spark.createDataFrame([(i, f"http://x.org/{i}\r\n?" if i % 2 else None, h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(2)
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(name, "4k")
+    try:
+        got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.round_trip(rows, url="url").collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, h in enumerate(html)}
+    text = [r[0] for r in warc.with_types(rows, url="url").select(warc.record_text()).collect()]
+    assert sum("\r\nWARC-Target-URI: http://x.org/1%0D%0A?\r\n" in t for t in text) == 1 and sum("WARC-Target-URI" in t for t in text) == 60
+
+
 # 7: neighbours
 
 

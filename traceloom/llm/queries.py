@@ -55,7 +55,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(read(spark, sf_dir, "pages"))
+    return warc.round_trip(read(spark, sf_dir, "pages"), url="url")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,25 +8,32 @@ writer, whose commit survives lost tasks; an archive is a part file.
 Reading: archives are split at the magic ``WARC/1.0`` + CRLF by Spark's
 splittable text reader, so that no archive is held whole.  The splits are
 numbered and written once, since another scan may cut and number them otherwise
-when executors come or go.  Each split is a candidate record: its offset in the file, and the successor offset that its
-header's length gives.  Payloads may hold the magic too; only candidates that
-the chain from the file's start reaches are records.  Pointer jumping finds
-them: a candidate's pointer doubles in length each round, and the reached set
-follows the pointers.  The bytes between a record's offset and its successor
-are its own, magic inside included.
+when executors come or go.  Each split is a candidate record: its offset in the
+file, and the successor offset that its header's length gives.  Payloads may
+hold the magic too; only candidates that the chain from the file's start reaches
+are records.  Pointer jumping finds them in two steps.  Within the range of a
+file that was read as one block, tasks jump to where the chain leaves the range;
+across ranges, tables of these exits are jumped from the file's start, so that
+rounds grow with the logarithm of a file's ranges.  Then each range marks what
+is reached from where the chain enters it.  The bytes between a record's offset
+and its successor are its own, magic inside included.
 
 Null payloads are empty.  Pages with a null key are written and read with it.
+Repeated rows are records each: of those that share payload and largest key all
+are responses.  Line ends in URLs are written percent-encoded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import _remove, discard, has, shared_path, staged
+from .shared import _remove, discard, has, shared_path, ship, staged
 
 CRLF = "\r\n"
 MAGIC = "WARC/1.0" + CRLF
@@ -34,25 +41,26 @@ MAGIC = "WARC/1.0" + CRLF
 END = CRLF + CRLF
 
 
-def with_types(pages: DataFrame, key: str = "page_id", payload: str = "html", smallest: int = 1000) -> DataFrame:
-    """(key, payload, payload_bytes, payload_digest, record_type, refers_to)."""
-    has(pages, key, payload)
+def with_types(pages: DataFrame, key: str = "page_id", payload: str = "html", smallest: int = 1000, url: str | None = None) -> DataFrame:
+    """(key, url, payload, payload_bytes, payload_digest, record_type, refers_to); url is null without a column of that name."""
+    has(pages, key, payload, *([url] if url else []))
+    link = F.regexp_replace(F.regexp_replace(F.col(f"`{url}`").cast("string"), "\r", "%0D"), "\n", "%0A") if url else F.lit(None).cast("string")
     body = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
-    base = pages.select(F.col(f"`{key}`").cast("long").alias("key"), body.alias("payload")).select(
-        "key", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1(F.col("payload").cast("binary")).alias("payload_digest")
+    base = pages.select(F.col(f"`{key}`").cast("long").alias("key"), link.alias("url"), body.alias("payload")).select(
+        "key", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1(F.col("payload").cast("binary")).alias("payload_digest")
     )
     light = base.where(F.col("payload_bytes") >= smallest).select("key", "payload_bytes", "payload_digest")
     last = light.groupBy("payload_bytes", "payload_digest").agg(F.max("key").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
     last = staged(last, "copied")  # a table of its own, so that the join can split a hot payload
     revisit = F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last"))
     return base.join(last, ["payload_bytes", "payload_digest"], "left").select(
-        "key", "payload", "payload_bytes", "payload_digest",
+        "key", "url", "payload", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("last")).alias("refers_to"),
     )
 
 
-def record_text(url: Column | None = None, date: str = "2024-01-01T00:00:00Z") -> Column:
+def record_text(date: str = "2024-01-01T00:00:00Z") -> Column:
     """A record, without the two line ends after it, from the columns of with_types."""
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     digest = F.concat(F.lit("sha1:"), F.col("payload_digest"))
@@ -63,6 +71,7 @@ def record_text(url: Column | None = None, date: str = "2024-01-01T00:00:00Z") -
         F.lit(f"{MAGIC}WARC-Type: "), F.col("record_type"),
         F.lit(f"{CRLF}WARC-Record-ID: "), name(F.col("key")),
         F.lit(f"{CRLF}WARC-Date: {date}"),
+        F.coalesce(F.concat(F.lit(f"{CRLF}WARC-Target-URI: "), F.col("url")), F.lit("")),
         F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), name(F.col("refers_to")))).otherwise(""),
         F.lit(f"{CRLF}WARC-Payload-Digest: "), digest,
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block,
@@ -121,15 +130,18 @@ def _records(raw: DataFrame, wanted: Callable[[Column, Column], list[Column]]) -
     placed = light.withColumn("off", F.coalesce(F.sum(F.col("n") + magic).over(inner), F.lit(0))).join(blocks, ["file", "block"])
     # a split's text starts at base + off; its magic ends there; the file's first split, ahead of any magic, is empty
     start = F.col("base") + F.col("off") - magic
-    cand = staged(placed.select("file", "i", start.alias("at"), (start + magic + F.col("takes") + len(END)).alias("next")).where("at >= 0"), "candidates")
+    cand = staged(placed.select("file", "block", "i", start.alias("at"), (start + magic + F.col("takes") + len(END)).alias("next")).where("at >= 0"), "candidates")
     discard(light)
-    records = chain(cand)
-    # a split that is no record belongs to the record ahead of it
-    marked = cand.join(records.withColumn("real", F.lit(True)), ["file", "at"], "left")
-    owner = F.last(F.when(F.col("real"), F.col("at")), True).over(W.partitionBy("file").orderBy("at"))
-    owned = marked.select("file", "i", "at", owner.alias("offset")).where("offset is not null")
-    owned = staged(owned.withColumn("n_parts", F.count("*").over(W.partitionBy("file", "offset"))), "owned")
-    discard(cand, records)
+    marked = staged(chain(cand), "marked")
+    discard(cand)
+    # a split that is no record belongs to the record ahead of it, maybe of a range ahead
+    last = marked.groupBy("file", "block").agg(F.max("offset").alias("last"))
+    before = staged(last.select("file", "block", F.last("last", True).over(ahead).alias("before")), "before")
+    owned = marked.join(before, ["file", "block"]).select("file", "i", "at", F.coalesce("offset", "before").alias("offset")).where("offset is not null")
+    several_parts = owned.groupBy("file", "offset").agg(F.count("*").alias("n_parts")).where("n_parts > 1").drop("n_parts")
+    several_parts = staged(several_parts, "several")
+    owned = staged(owned.join(several_parts.withColumn("more", F.lit(True)), ["file", "offset"], "left").withColumn("n_parts", F.when(F.col("more"), 2).otherwise(1)).drop("more"), "owned")
+    discard(marked, before, several_parts)
     alone = owned.where("n_parts = 1").select("file", "i", "offset")
     split = staged(owned.where("n_parts > 1").select("file", "i", "at", "offset"), "split")  # a table of its own: mostly small
     single = raw.select("file", "i", *wanted(*_parts(F.col("value")))).join(alone, ["file", "i"]).drop("i")
@@ -138,31 +150,89 @@ def _records(raw: DataFrame, wanted: Callable[[Column, Column], list[Column]]) -
     return single.unionByName(several)
 
 
+def _steps(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """For each candidate of a range, in order of offsets, the place of its successor there; its own if that is elsewhere or none."""
+    to = np.searchsorted(at, after)
+    here = np.arange(len(at))
+    inside = (to < len(at)) & (at[np.minimum(to, len(at) - 1)] == after) & (to > here)
+    return np.where(inside, to, here)
+
+
+def _exits(t: pa.Table) -> pa.Table:
+    """(file, at, next): where the chain from each candidate of a range leaves the range."""
+    t = t.sort_by("at")
+    at, after = t["at"].to_numpy(), t["next"].fill_null(-1).to_numpy()
+    to = _steps(at, after)
+    while not np.array_equal(far := to[to], to):
+        to = far
+    # a chain that breaks off leads nowhere
+    out = np.where(after[to] > at[-1], after[to], -1) if len(at) else at
+    keep = out >= 0
+    return pa.table({"file": t["file"].filter(pa.array(keep)), "at": pa.array(at[keep]), "next": pa.array(out[keep])})
+
+
+def _marked(t: pa.Table) -> pa.Table:
+    """(file, block, i, at, offset): of each split the record of its range that it belongs to, null ahead of the first."""
+    t = t.sort_by("at")
+    at, entry = t["at"].to_numpy(), t["entry"][0].as_py()
+    first = int(np.searchsorted(at, entry)) if entry is not None else len(at)
+    reached = np.zeros(len(at), bool)
+    if first < len(at):
+        to = _steps(at, t["next"].fill_null(-1).to_numpy())
+        reached[first] = True
+        while True:
+            more = reached.copy()
+            more[to[reached]] = True
+            if (more == reached).all():
+                break
+            reached, to = more, to[to]
+    own = np.maximum.accumulate(np.where(reached, np.arange(len(at)), -1))
+    offset = pa.array(at[np.maximum(own, 0)], mask=own < 0)
+    return pa.table({"file": t["file"], "block": t["block"], "i": t["i"], "at": pa.array(at), "offset": offset})
+
+
 def chain(cand: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(file, at) of the candidates that the chain from each file's start reaches.
+    """(file, block, i, at, offset): ``cand`` with the record that each belongs to within its range, by the chain from each file's start.
 
-    ``cand`` has (file, at, next).  Round k knows the candidates within 2^k
-    steps of the start and pointers of 2^k steps; it follows those pointers from
-    all it knows, and then doubles the pointers.
+    ``cand`` has (file, block, i, at, next); a range is a block of a file, and no
+    longer than Spark reads as one.
+    """
+    ship(cand.sparkSession)
+    exits = staged(cand.select("file", "block", "at", "next").groupBy("file", "block").applyInArrow(_exits, "file string, at long, next long"), "exits")
+    # only where chains enter a range
+    enter = exits.select("file", F.col("next").alias("at")).distinct()
+    heads = staged(cand.select("file", "block", "at").where("at = 0").unionByName(cand.select("file", "block", "at").where("at > 0").join(enter, ["file", "at"], "left_semi")), "heads")
+    entries = staged(reached(heads, exits.join(heads.select("file", "at"), ["file", "at"], "left_semi"), max_rounds), "entries")
+    # a range is entered once; a table of its own for the join
+    first = staged(heads.join(entries, ["file", "at"], "left_semi").groupBy("file", "block").agg(F.min("at").alias("entry")), "first")
+    discard(exits, heads, entries)
+    return cand.join(first, ["file", "block"], "left").groupBy("file", "block").applyInArrow(_marked, "file string, block long, i long, at long, offset long")
+
+
+def reached(heads: DataFrame, exits: DataFrame, max_rounds: int) -> DataFrame:
+    """(file, at) of the heads that exits lead to from each file's start.
+
+    Round k knows what is within 2^k exits of the start and pointers of 2^k
+    exits; it follows those from all it knows, and then doubles the pointers.
     """
-    reached = cand.where("at = 0").select("file", "at")
-    jump = cand.where("next is not null").select("file", "at", "next").join(cand.select("file", F.col("at").alias("next")), ["file", "next"], "left_semi").select("file", "at", "next")
-    known, before = reached.count(), None
+    known = heads.where("at = 0").select("file", "at")
+    jump = exits.select("file", "at", "next").join(heads.select("file", F.col("at").alias("next")), ["file", "next"], "left_semi").select("file", "at", "next")
+    n, before = known.count(), None
     for _ in range(max_rounds):
         jump = staged(jump, "jump")
-        found = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        more = staged(reached.union(found).distinct(), "reached")
+        found = known.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
+        more = staged(known.union(found).distinct(), "reached")
         now = more.count()
-        discard(reached, *([before] if before is not None else []))
-        if now == known:
+        discard(known, *([before] if before is not None else []))
+        if now == n:
             discard(jump)
             return more
-        reached, known, before = more, now, jump
+        known, n, before = more, now, jump
         jump = jump.join(jump.select("file", F.col("at").alias("next"), F.col("next").alias("far")), ["file", "next"]).select("file", "at", F.col("far").alias("next"))
     raise RuntimeError("the chain is longer than its rounds")
 
 
-def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", smallest: int = 1000) -> DataFrame:
+def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", smallest: int = 1000, url: str | None = None) -> DataFrame:
     """Write ``pages`` to archives, read them back, and report each record.
 
     (key, payload_bytes, payload_digest, record_type, refers_to): bytes and
@@ -171,7 +241,7 @@ def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", sm
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
-    write_warc(with_types(pages, key, payload, smallest), path)
+    write_warc(with_types(pages, key, payload, smallest, url), path)
 
     def wanted(head: Column, block: Column) -> list[Column]:
         number = lambda name: F.regexp_extract(head, rf"(?i)\r\n{name}: <urn:page:(-?[0-9]+)>", 1).try_cast("long")
