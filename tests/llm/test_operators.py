@@ -387,6 +387,20 @@ def test_warc_chain_over_many_ranges(spark):
     assert sum("\r\nWARC-Target-URI: http://x.org/1%0D%0A?\r\n" in t for t in text) == 1 and sum("WARC-Target-URI" in t for t in text) == 60
 
 
+def test_repeated_strings_in_very_long_texts_and_repeated_rows(spark):
+    """A text over the pieces' size, with passages across their bounds, beside rows that repeat."""
+    rng = random.Random(12)
+    line = "".join(chr(97 + rng.randrange(26)) for _ in range(700))
+    noise = np.random.default_rng(3).integers(97, 123, 1_100_000).astype(np.uint8).tobytes().decode()
+    for at in (449_900, 899_700):  # across the bounds of pieces
+        noise = noise[:at] + line[:400] + noise[at + 400 :]
+    rows = [(1, noise), *[(2, line)] * 40, (3, "x" + line[100:650])]
+    got = {}
+    for r in substrings.repeated(docs_of(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"]))
+    assert got == {1: [(1_100_000, 800, 2)], 2: [(700, 700, 1)] * 40, 3: [(551, 550, 1)]}
+
+
 # 7: neighbours
 
 

@@ -11,10 +11,11 @@ count; strings are judged on the input.
 2. A gram with one run repeats nothing.  A gram whose runs' segments are all
    equal repeats every string of them.
 3. For other grams the distinct segments (equal ones carry a count) are laid
-   together, bounded by ``bound`` bytes, and their suffix array is built by
-   linear grouping (suffixes.py); neighbours in it that agree in ``length``
-   bytes, compared byte by byte, are repeated strings.  Grams with more distinct
-   segments than the bound are split further by the strings themselves.
+   together and their suffix array is built by linear grouping (suffixes.py), of
+   grams of similar size at once; neighbours in it that agree in ``length``
+   bytes, compared byte by byte, are repeated strings.  A gram with more than
+   ``bound`` bytes of distinct segments, which no task need hold, is split further
+   by the strings themselves.
 4. Each document gets its repeated starts back, and loses the bytes they cover.
 
 Null text is empty.  Rows are told apart by key and text, so repeated rows are
@@ -123,7 +124,7 @@ def _cut(length: int) -> Callable:
         for batch in batches:
             out: list[tuple] = []
             for t, wanted in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist()):
-                out += [(w["gram"], w["seg"], w["many"], w["large"], t[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
+                out += [(w["gram"], w["seg"], w["many"], w["size"], t[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
                 if len(out) > 20_000:
                     yield batch_of(out)
                     out = []
@@ -131,8 +132,8 @@ def _cut(length: int) -> Callable:
                 yield batch_of(out)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["gram", "seg", "many", "large", "bytes"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["gram", "seg", "many", "size", "bytes"])
 
     return made
 
@@ -188,7 +189,7 @@ _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
 def _arrays(length: int) -> Callable:
-    """Spans of repeated starts of the segments of each gram; rows come sorted by gram."""
+    """Spans of repeated starts of the segments of each gram; each gram's rows come together, the smallest grams first."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(groups: list[tuple[int, dict[int, bytes]]]) -> pa.RecordBatch:
@@ -277,15 +278,15 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     differ = met.where("not alike").drop("alike")
     some = differ.groupBy("gram", "seg").agg(F.count("*").alias("many"), F.min(F.struct("a", "b", "start", "n")).alias("at"))
     some = staged(some.select("gram", "seg", "many", "at.*"), "segments")
-    large = some.groupBy("gram").agg((F.sum(F.col("n") + length) > bound).alias("large"))
-    wanted = some.join(large, "gram").groupBy("a", "b").agg(F.collect_list(F.struct("gram", "seg", "many", "large", "start", "n")).alias("w"))
-    cut = rows.select("a", "b", "text").join(wanted, ["a", "b"]).select("text", "w").mapInArrow(tidy(_cut(length)), "gram long, seg long, many long, large boolean, bytes binary")
+    sizes = some.groupBy("gram").agg(F.sum(F.col("n") + length).cast("long").alias("size"))
+    wanted = some.join(sizes, "gram").groupBy("a", "b").agg(F.collect_list(F.struct("gram", "seg", "many", "size", "start", "n")).alias("w"))
+    cut = rows.select("a", "b", "text").join(wanted, ["a", "b"]).select("text", "w").mapInArrow(tidy(_cut(length)), "gram long, seg long, many long, size long, bytes binary")
     cut = staged(cut, "cut")
-    # bounded grams: suffix arrays
-    small = cut.where("not large").select("gram", "seg", "bytes").repartition("gram").sortWithinPartitions("gram")
+    # bounded grams: suffix arrays, those of similar size together
+    small = cut.where(F.col("size") <= bound).select("size", "gram", "seg", "bytes").repartition("gram").sortWithinPartitions("size", "gram").select("gram", "seg", "bytes")
     by_array = small.mapInArrow(tidy(_arrays(length)), f"gram long, seg long, spans {SPANS}")
     # grams with more: each string by itself
-    strings = cut.where("large").select("gram", "seg", "many", F.posexplode(F.expr(f"transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length}))")).alias("s", "string"))
+    strings = cut.where(F.col("size") > bound).select("gram", "seg", "many", F.posexplode(F.expr(f"transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length}))")).alias("s", "string"))
     strings = strings.select("gram", "seg", "many", "s", F.xxhash64("string").alias("h"))
     again = staged(strings.groupBy("gram", "h").agg(F.count("*").alias("k")).where("k > 1").select("gram", "h"), "again")
     hit = strings.where("many = 1").drop("many").join(again, ["gram", "h"])
@@ -299,12 +300,13 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     own = lambda c: F.transform(c, lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))
     parts = differ.join(marked, ["gram", "seg"]).select("a", "b", own(F.col("spans")).alias("spans"))
     alike = met.where("alike").select("a", "b", own(full).alias("spans"))
-    found = staged(parts.unionByName(alike).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats")
+    # a set: repeated rows say the same of themselves, however many they are
+    found = staged(parts.unionByName(alike).groupBy("a", "b").agg(F.flatten(F.collect_set("spans")).alias("spans")), "repeats")
     discard(met, marked)
     return found
 
 
-def repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bound: int = 4096) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bound: int = 16_384) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
     has(docs, key, text)
     ship(docs.sparkSession)
@@ -316,7 +318,7 @@ def repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str
     return out.withColumnRenamed("row", key)
 
 
-def without_repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bound: int = 4096) -> DataFrame:
+def without_repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bound: int = 16_384) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text, whole characters only."""
     has(docs, key, text)
     ship(docs.sparkSession)
