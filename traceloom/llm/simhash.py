@@ -254,8 +254,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     (by 64 bits of hash); texts without words are linked only to their equals.
 
     A list's pairs are tried in rounds: neighbours in the order of fingerprints
-    first, then those further apart, four times as far each round, and only pairs
-    that no links connect yet.  So every pair is tried or connected, but a group
+    first, then those further apart, sixteen times as far each round, and only
+    pairs that no links connect yet.  So every pair is tried or connected, but a group
     of many copies of one text doesn't become all its pairs.
     """
     has(docs, key, text)
@@ -279,18 +279,20 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         if parts is None:
             at = at.withColumn("c", F.col("t"))
         else:
-            at = staged(at.join(parts.withColumnRenamed("node", "t"), "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component"), "open")
-            mixed = at.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("k")
-            at = at.join(mixed, "k", "left_semi")
+            opened = staged(at.join(parts.withColumnRenamed("node", "t"), "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component"), "open")
+            mixed = opened.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("k")
+            at = staged(opened.join(mixed, "k", "left_semi"), "mixed")
+            discard(opened)
             if at.isEmpty():
+                discard(at)
                 break
-        tried = at.select("k", "fp", "t", "i", "c").repartition("k").sortWithinPartitions("k", "i").mapInArrow(tidy(_pairs(sets, step, 4 * step, limit)), "a long, b long")
+        tried = at.select("k", "fp", "t", "i", "c").repartition("k").sortWithinPartitions("k", "i").mapInArrow(tidy(_pairs(sets, step, 16 * step, limit)), "a long, b long")
         pairs = staged(tried.distinct(), "pairs")
         linked = pairs.join(shingles.select(F.col("t").alias("a"), F.col("h").alias("x")), "a").join(shingles.select(F.col("t").alias("b"), F.col("h").alias("y")), "b")
         fresh = linked.mapInArrow(tidy(_alike(similarity)), "a long, b long")
         both = staged(fresh if found is None else found.unionByName(fresh), "near")
-        discard(pairs, *(x for x in (found, parts) if x is not None))
-        found, step = both, 4 * step
+        discard(at, pairs, *(x for x in (found, parts) if x is not None))
+        found, step = both, 16 * step
         parts = components(found)
     if parts is None:
         parts = docs.sparkSession.createDataFrame([], "node long, component long")
