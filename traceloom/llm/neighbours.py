@@ -11,7 +11,8 @@ vectors.
 
 Queries go against all rows, block by block, but only codes meet queries there;
 vectors are joined for the pool alone.  Blocks are of rows by hash, so a block's
-share of the pool is even but for chance; it sends twice that and ``spare`` more.
+share of the pool is even but for chance; it sends that and four standard errors
+more, as one row a query, and the pool is chosen where a query's rows meet.
 
 Equal vectors are coded once: a distinct vector carries its ``top + 1`` smallest
 ids, which is all that any answer can need.  Vectors that are null, zero, hold
@@ -119,7 +120,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (size[0] if size else 0))
 
 
-def search(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_id", vector: str = "embedding", books: int = 32, words: int = 64, beam: int = 8, sample: int = 12_000, pool: int = 400, spare: int = 40, block: int = 16_384, query_block: int = 512) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_id", vector: str = "embedding", books: int = 32, words: int = 64, beam: int = 8, sample: int = 12_000, pool: int = 400, block: int = 16_384, query_block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``top`` rows of largest inner product.
 
     Queries: ids divisible by ``every``; candidates: every row of another id.
@@ -150,12 +151,13 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_i
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["h", "code", "norm"])
 
     n_blocks, n_query = -(-distinct.count() // block), max(1, -(-asked.count() // query_block))
-    keep = min(pool, 2 * pool // n_blocks + spare)
+    share = pool / n_blocks
+    keep = min(pool, int(share + 4 * share**0.5) + 8)
     index = staged(distinct.select("h", "v").mapInArrow(tidy(coded), "h long, code binary, norm float"), "index")
     # each block of codes meets each block of queries in one task
     left = index.select("h", "code", F.pmod("h", F.lit(n_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"))
     right = asked.select("ask", "v", F.pmod("ask", F.lit(n_query)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-    found_form = pa.schema([("ask", pa.int64()), ("h", pa.int64()), ("guess", pa.float32())])
+    found_form = pa.schema([("ask", pa.int64()), ("h", pa.list_(pa.int64())), ("guess", pa.list_(pa.float32()))])
 
     def scanned(codes: pa.Table, asks: pa.Table) -> pa.Table:
         if not codes.num_rows or not asks.num_rows:
@@ -170,12 +172,25 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_i
             for m in range(len(c)):
                 s += t[:, m, :][:, c[m]]
             best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            out.append((np.repeat(ask[a : a + 64], n), h[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], schema=found_form)
+            out.append((ask[a : a + 64], h[best], np.take_along_axis(s, best, 1)))
+        asked, held, guess = (np.concatenate(x) for x in zip(*out))
+        at = pa.array(np.arange(0, held.size + 1, n, dtype=np.int32))
+        return pa.table([pa.array(asked), pa.ListArray.from_arrays(at, held.ravel()), pa.ListArray.from_arrays(at, guess.ravel())], schema=found_form)
 
-    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(scanned, "ask long, h long, guess float")
-    best = found.withColumn("r", F.row_number().over(W.partitionBy("ask").orderBy(F.desc("guess"), "h"))).where(F.col("r") <= pool).select("ask", "h")
-    best = staged(best, "pool")
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asks, held = [], []
+            for one, h, guess in zip(b.column("ask").to_pylist(), b.column("h"), b.column("guess")):
+                h, guess = h.values.to_numpy(), guess.values.to_numpy()
+                top_ones = h[np.lexsort((h, -guess))[:pool]]
+                asks.append(np.full(len(top_ones), one))
+                held.append(top_ones)
+            if asks:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(asks)), pa.array(np.concatenate(held))], names=["ask", "h"])
+
+    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(scanned, "ask long, h array<long>, guess array<float>")
+    each = found.groupBy("ask").agg(F.collect_list(F.struct("h", "guess")).alias("x")).select("ask", F.flatten(F.col("x.h")).alias("h"), F.flatten(F.col("x.guess")).alias("guess"))
+    best = staged(each.mapInArrow(tidy(pooled), "ask long, h long"), "pool")
     # the original vectors, for the pool alone
     met = best.join(distinct, "h").join(asked.select("ask", "query_id", F.col("v").alias("q")), "ask").select("query_id", "q", "v", "ids")
 
