@@ -52,20 +52,36 @@ def raw(spark, rows):
 
 def test_mapping_and_validation(spark):
     rows = raw(spark, [{"id": "1", "said": "hi", "calls": [{"name": "x", "arguments": {"a": 1}}], "lang": "en"}, {"id": "2", "said": None}, {"said": "no id"}])
-    mapping = {"id": "trace_id", "said": "output.text", "calls": "output.tool_calls", "want": "ground_truth.reply"}
+    mapping = {"trace_id": "id", "output.text": "said", "output.tool_calls": "calls", "ground_truth.reply": "want"}
     good, bad = to_traces(mapped(rows, mapping))
     got = {r["trace_id"]: r for r in good.collect()}
     assert got["1"]["output"]["tool_calls"][0]["arguments"] == '{"a":1}' and got["1"]["source_id"] == "line:1" and got["2"]["output"]["text"] is None
     assert [r["message"] for r in bad.collect()] == ["line:3: trace_id: must not be empty"]
     assert [r["field"] for r in unmapped_fields(rows, mapping).collect()] == ["lang"]
-    for wrong in ({"a": "x", "b": "x"}, {"a": "x.y", "b": "x.y.z"}):
-        with pytest.raises(TypeError):
-            mapped(rows, wrong)
+    with pytest.raises(TypeError):
+        mapped(rows, {"x.y": "a", "x.y.z": "b"})
+    both, _ = to_traces(mapped(rows, {"trace_id": "id", "output.text": "id"}))  # a column may fill two fields
+    assert both.first()["output"]["text"] == "1"
     odd = [{"trace_id": "a", "extra": 1}, {"trace_id": ""}, {"trace_id": "c", "input": {"messages": [{"role": "boss", "content": "x"}]}}, {"trace_id": "d", "output": {"artifacts": [{"type": "image", "uri": "data:x"}]}}, {"trace_id": "e", "output": {"artifacts": [{"type": "image", "uri": " "}]}}, {"trace_id": "f", "output": {}}]
     good, bad = to_traces(raw(spark, odd))
     assert [r["trace_id"] for r in good.collect()] == ["f"] and bad.count() == 5
 
 
+def test_changed_payload_fails_a_verified_read(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    print_, _ = s.write_snapshot("p", traces(spark, [trace("a"), trace("b")]), {"type": "jsonl", "path": "/x"})
+    body = f"{tmp_path}/store/snapshots/project=p/fingerprint={print_}"
+    changed = spark.read.parquet(body).withColumn("ground_truth", F.lit('{"x":9}'))
+    changed.write.partitionBy("split").parquet(f"{tmp_path}/changed")
+    import shutil
+
+    shutil.rmtree(body)
+    shutil.move(f"{tmp_path}/changed", body)
+    with pytest.raises(ValueError):
+        s.read_snapshot("p", print_, verify=True)
+    assert s.read_snapshot("p", print_).count() == 2
+
+
 def test_content_hash(spark):
     a, b, c = trace("a", truth={"x": 1, "y": 2}), trace("a", truth={"y": 2, "x": 1}), trace("a", truth={"x": 1, "y": 3})
     hashes = [to_traces(raw(spark, [t]))[0].first()["content_hash"] for t in (a, b, c)]
@@ -216,7 +232,7 @@ def test_streaming(spark, tmp_path):
 
 
 def test_config(tmp_path):
-    (tmp_path / "project.yaml").write_text("name: p\nsorce:\n  type: jsonl\nmapping:\n  a: b..c\n")
+    (tmp_path / "project.yaml").write_text("name: p\nsorce:\n  type: jsonl\nmapping:\n  b..c: a\n")
     with pytest.raises(config.ConfigError) as e:
         config.load_project(str(tmp_path / "project.yaml"))
     assert "line 2: sorce: unknown key; did you mean 'source'?" in e.value.problems and len(e.value.problems) == 3

@@ -78,7 +78,7 @@ def _unknown(data: dict, known, at: str, lines: dict[str, int]) -> list[str]:
 
 def load_project(path: str) -> Project:
     data, lines = load(path)
-    problems = _unknown(data, ("name", "source", "mapping"), "", lines)
+    problems = _unknown(data, ("name", "description", "source", "mapping", "models", "integrity"), "", lines)
     if not data.get("name"):
         problems.append("name: is required")
     source = data.get("source") or {}
@@ -88,7 +88,7 @@ def load_project(path: str) -> Project:
         problems += [f"source.{k}: is required for {source['type']}" for k in SOURCES[source["type"]] if not source.get(k)]
         if source["type"] == "jdbc" and source.get("query") and source["query"].split(None, 1)[0].lower() not in ("select", "with"):
             problems.append("source.query: only SELECT or WITH")
-    for target in (data.get("mapping") or {}).values():
+    for target in data.get("mapping") or {}:
         try:
             split_path(target)
         except ValueError as e:

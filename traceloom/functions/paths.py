@@ -76,8 +76,19 @@ def _in_json(text: Column, rest: list[str | int]) -> Found:
 
 
 def calls_json(calls: Column) -> Column:
-    """An array of calls as JSON text, arguments and results as values; null fields left out."""
-    return F.to_json(F.transform(calls, lambda c: F.struct(*[(F.try_parse_json(c[n]) if n in JSON_FIELDS else c[n]).alias(n) for n in ("name", "arguments", "call_id", "node", "result", "error")])))
+    """An array of calls as JSON text; null fields left out.
+
+    Arguments and results stand as they are stored, so that 45.0 stays 45.0 and
+    nulls inside them stay; a text that is no JSON stands as a string.
+    """
+
+    def field(c: Column, n: str) -> Column:
+        quoted = F.to_json(c[n].cast("variant"))
+        value = F.when(F.try_parse_json(c[n]).isNotNull(), c[n]).otherwise(quoted) if n in JSON_FIELDS else quoted
+        return F.when(c[n].isNotNull(), F.concat(F.lit(f'"{n}":'), value))
+
+    one = lambda c: F.concat(F.lit("{"), F.concat_ws(",", *[field(c, n) for n in ("name", "arguments", "call_id", "node", "result", "error")]), F.lit("}"))
+    return F.concat(F.lit("["), F.array_join(F.transform(calls, one), ","), F.lit("]"))
 
 
 def resolve(path: str, root: Column | None = None, schema: T.StructType | None = None) -> Found:

@@ -18,7 +18,6 @@ from dataclasses import asdict, dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.canon import canonical, canonical_json, version_of
 from ..session import ship, staged
@@ -167,8 +166,19 @@ def ask(prompts: DataFrame, schema: Column, version: Column, config: JudgeConfig
     if cache is not None:
         known = cache.select("cache_key", "parsed", *[F.lit(v).cast(t).alias(n) for n, t, v in (("error", "string", None), ("latency_ms", "long", 0), ("cost_usd", "double", 0.0), ("tokens_in", "long", 0), ("tokens_out", "long", 0))], F.lit(True).alias("hit"))
         got = got.unionByName(known)
-    joined = keyed.join(got, "cache_key", "left").withColumn("_n", F.row_number().over(W.partitionBy(F.coalesce("cache_key", order)).orderBy(order)))
-    hit = F.coalesce(F.col("hit") | ((F.col("_n") > 1) & F.col("parsed").isNotNull()), F.lit(False))
+    # the row of each prompt that is billed: an aggregate, which is partial ahead of the shuffle
+    billed = keyed.where("cache_key is not null").groupBy("cache_key").agg(F.min(F.col(order)).alias("_billed"), F.count("*").alias("_rows"))
+    # a table of its own, so that the join can split a prompt that many rows share; the commonest, 1000 at most, are broadcast
+    answers = staged(got.join(billed, "cache_key"), "billed")
+    total = keyed.count()
+    often = answers.where(F.col("_rows") * 1000 >= F.lit(total)).withColumn("_often", F.lit(True))
+    seldom = answers.where(F.col("_rows") * 1000 < F.lit(total))
+    names = [c for c in answers.columns if c != "cache_key"]
+    met = keyed.join(F.broadcast(often), "cache_key", "left")
+    rest = met.where("_often is null").drop(*names, "_often").join(seldom, "cache_key", "left")
+    joined = met.where("_often").drop("_often").unionByName(rest)
+    later = ~F.col(order).eqNullSafe(F.col("_billed"))
+    hit = F.coalesce(F.col("hit") | (later & F.col("parsed").isNotNull()), F.lit(False))
     zero = lambda c, v: F.when(F.col("cache_hit"), F.lit(v)).otherwise(F.col(c)).alias(c)
     out = joined.withColumn("cache_hit", hit).select(*prompts.columns, "cache_key", "judge_config_hash", "cache_hit", "parsed", "error", zero("latency_ms", 0), zero("cost_usd", 0.0), zero("tokens_in", 0), zero("tokens_out", 0))
     return out, fresh.where("parsed is not null").select("cache_key", "parsed")

@@ -30,14 +30,20 @@ VARIANT_TYPES = {
 }
 
 
+def key_path(key: str) -> str:
+    """The VARIANT path of one key, dots and quotes inside it included."""
+    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
 def argument_problems(registry: Registry, tool: Column, arguments: Column) -> Column:
-    """An array of messages: declared arguments in order, then undeclared ones."""
+    """An array of messages: declared arguments in order, then undeclared ones; arguments that are no object are one problem."""
     out = F.array().cast("array<string>")
     parsed = F.try_parse_json(F.coalesce(arguments, F.lit("{}")))
+    no_object = ~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     for name, spec in registry.tools.items():
         parts = []
         for arg, s in spec.arguments.items():
-            v = F.try_variant_get(parsed, f"$.{arg}", "variant")
+            v = F.try_variant_get(parsed, key_path(arg), "variant")
             null = F.coalesce(F.is_variant_null(v), F.lit(False))
             kind = F.schema_of_variant(v)
             wrong = v.isNotNull() & ~null & ~kind.rlike(VARIANT_TYPES[s.type])
@@ -53,13 +59,30 @@ def argument_problems(registry: Registry, tool: Column, arguments: Column) -> Co
             extra = F.filter(keys, lambda k: ~k.isin(list(spec.arguments))) if spec.arguments else keys
             found = F.concat(found, F.transform(extra, lambda k: F.concat(F.lit("unexpected argument '"), k, F.lit("'"))))
         out = F.when(tool == name, found).otherwise(out)
-    return out
+    return F.when(no_object, F.array(F.lit("arguments are not an object"))).otherwise(out)
+
+
+def call_print(c: Column) -> Column:
+    """What two equal calls share: the name and the arguments, with 5 and 5.0 told apart."""
+    parsed = F.try_parse_json(F.coalesce(c["arguments"], F.lit("{}")))
+    # VARIANT orders keys, but drops the zeros behind a point; the numbers' text goes along
+    numbers = F.array_join(F.array_sort(F.regexp_extract_all(F.regexp_replace(F.coalesce(c["arguments"], F.lit("")), r'"(\\.|[^"\\])*"', '""'), F.lit(r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"), 1)), ",")
+    return F.concat_ws("\u0001", c["name"], F.coalesce(F.to_json(parsed), c["arguments"]), numbers)
+
+
+def with_first(rows: DataFrame, calls: Column, out: str) -> DataFrame:
+    """``rows`` with, for each call, the place of the first equal one; each call is parsed once."""
+    prints = F.transform(calls, lambda c, i: F.struct(call_print(c).alias("p"), i.alias("i")))
+    sorted_ = rows.withColumn(out, F.array_sort(prints))
+    first_of = F.map_from_entries(F.filter(F.transform(out, lambda x, k: F.struct(x["p"].alias("p"), F.when((k == 0) | (F.get(F.col(out), k - 1)["p"] != x["p"]), x["i"]).alias("i"))), lambda x: x["i"].isNotNull()))
+    # the first of each place: in order of prints, then back in order of places
+    marked = sorted_.withColumn("_of", first_of).withColumn(out, F.transform(F.array_sort(F.transform(out, lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p")))), lambda x: F.element_at("_of", x["p"])))
+    return marked.drop("_of")
 
 
-def violations(registry: Registry, calls: Column, default_node: Column | None = None, check_arguments: bool = True, check_duplicates: bool = True) -> Column:
-    """array<struct<code, call, tool, message>> of a trace's calls, in order."""
+def violations(registry: Registry, calls: Column, default_node: Column | None = None, check_arguments: bool = True, first: Column | None = None) -> Column:
+    """array<struct<code, call, tool, message>> of a trace's calls, in order; ``first`` as of with_first, to look for duplicates."""
     none = F.array().cast("array<struct<code:string,call:int,tool:string,message:string>>")
-    prints = F.transform(calls, lambda c: F.concat_ws("\u0001", c["name"], F.coalesce(F.to_json(F.try_parse_json(F.coalesce(c["arguments"], F.lit("{}")))), c["arguments"])))
 
     def one(code: str, i: Column, tool: Column, message: Column) -> Column:
         return F.array(F.struct(F.lit(code).alias("code"), i.cast("int").alias("call"), tool.alias("tool"), message.alias("message")))
@@ -76,13 +99,13 @@ def violations(registry: Registry, calls: Column, default_node: Column | None =
         ]
         if check_arguments:
             parts.append(F.transform(argument_problems(registry, name, c["arguments"]), lambda m: F.struct(F.lit("invalid_arguments").alias("code"), i.cast("int").alias("call"), name.alias("tool"), F.concat(name, F.lit(": "), m).alias("message"))))
-        if check_duplicates:
-            first = F.array_position(prints, F.element_at(prints, i + 1)) - 1
-            again = F.concat(name, F.lit(" repeats call "), first.cast("string"))
+        if first is not None:
+            place = F.get(first, i)
+            again = F.concat(name, F.lit(" repeats call "), place.cast("string"))
             declared = F.lit(None).cast("boolean")
             for t, spec in registry.tools.items():
                 declared = F.when(name == t, F.lit(spec.side_effecting).cast("boolean")).otherwise(declared)
-            parts.append(F.when((first < i) & declared, one("duplicate_side_effecting", i, name, again)).when((first < i) & declared.isNull(), one("duplicate_undeclared", i, name, again)).otherwise(none))
+            parts.append(F.when((place < i) & declared, one("duplicate_side_effecting", i, name, again)).when((place < i) & declared.isNull(), one("duplicate_undeclared", i, name, again)).otherwise(none))
         return (
             F.when(name.isNull(), one("unnamed_call", i, name, F.lit("the call has no name")))
             .when(~name.isin(list(registry.tools)), one("unregistered_tool", i, name, F.concat(name, F.lit(" is not in the registry"))))
@@ -121,7 +144,8 @@ class ToolRegistryCheck:
     def apply(self, traces: DataFrame) -> DataFrame:
         calls, why = _calls(self.actual)
         node = resolve(self.node_path).text if self.node_path else None
-        found = traces.withColumn("_v", F.when(why.isNull(), violations(self.registry, calls, node, self.check_arguments, self.check_duplicates)))
+        found = with_first(traces, calls, "_first") if self.check_duplicates else traces
+        found = found.withColumn("_v", F.when(why.isNull(), violations(self.registry, calls, node, self.check_arguments, F.col("_first") if self.check_duplicates else None)))
         failing = F.filter("_v", lambda x: ~x["code"].isin(*ADVISORY))
         cols = outcome(F.size(failing) == 0, why)
         cols["passed"] = F.when(why.isNull(), F.size(failing) == 0)

@@ -179,6 +179,51 @@ def report_failures(spark, sf):
     return report.failures(ToolCallOutcome("outcome").apply(d.traces(spark, sf)))
 
 
+def _event_traces(spark, sf, calls: Callable[..., list], truth=None) -> DataFrame:
+    """A trace per event, with calls (name, arguments) made of its id."""
+    i = F.col("event_id")
+    one = lambda name, args: F.struct(F.lit(name).alias("name"), args.alias("arguments"), *[F.lit(None).cast("string").alias(n) for n in ("call_id", "node", "result", "error")])
+    output = F.struct(F.lit(None).cast("string").alias("text"), F.array(*[one(n, a) for n, a in calls(i)]).alias("tool_calls"), F.lit(None).cast("array<struct<type:string,uri:string,duration_ms:bigint,mime:string>>").alias("artifacts"))
+    return spark.read.parquet(f"{sf}/events.parquet").select(i.cast("string").alias("trace_id"), output.alias("output"), (truth(i) if truth else F.lit(None).cast("string")).alias("ground_truth"))
+
+
+_BY_EVENT = "SELECT CAST(event_id AS VARCHAR) AS trace_id, {p} AS passed, CASE WHEN {p} THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM events"
+
+
+@query(_BY_EVENT.format(p="event_id % 3 <> 0"))
+def json_match_number_text(spark, sf):
+    """Under coerce_types 45.0 is the text 45.0, not 45, which a third of the truths say."""
+    t = _event_traces(spark, sf, lambda i: [("f", F.concat(F.lit('{"x":'), i, F.lit(".0}")))], lambda i: F.concat(F.lit('{"calls":[{"name":"f","arguments":{"x":"'), i, F.when(i % 3 == 0, "").otherwise(".0"), F.lit('"}}]}')))
+    return verdicts(JsonMatch("calls", "output.tool_calls", "ground_truth.calls", MatchOptions(coerce_types=True)).apply(t))
+
+
+@query(_BY_EVENT.format(p="event_id % 3 <> 0"))
+def json_match_kept_nulls(spark, sf):
+    """Nulls inside arguments count where they aren't taken as missing; a third of the truths lack theirs."""
+    t = _event_traces(spark, sf, lambda i: [("f", F.lit('{"x":null,"y":1}'))], lambda i: F.concat(F.lit('{"calls":[{"name":"f","arguments":{'), F.when(i % 3 == 0, "").otherwise('"x":null,'), F.lit('"y":1}}]}')))
+    return verdicts(JsonMatch("calls", "output.tool_calls", "ground_truth.calls", MatchOptions(treat_null_as_missing=False)).apply(t))
+
+
+def _small_registry():
+    from .registry import Registry
+
+    return Registry.of({"tools": {"pay": {"description": "Pay.", "side_effecting": True, "allow_extra_arguments": True, "arguments": {"c.d": {"type": "number", "required": True}}}}, "nodes": {}})
+
+
+@query(_BY_EVENT.format(p="event_id % 3 = 1"))
+def registry_argument_names(spark, sf):
+    """An argument named c.d isn't d inside c, and a list is no arguments."""
+    t = _event_traces(spark, sf, lambda i: [("pay", F.when(i % 3 == 0, '{"c":{"d":1}}').when(i % 3 == 1, '{"c.d":1}').otherwise("[1]"))])
+    return verdicts(ToolRegistryCheck("registry", _small_registry()).apply(t))
+
+
+@query(_BY_EVENT.format(p="event_id % 2 = 1"))
+def registry_number_text(spark, sf):
+    """5 and 5.0 are different calls; the same call twice is a duplicate, in whatever order its keys are."""
+    t = _event_traces(spark, sf, lambda i: [("pay", F.lit('{"c.d":5,"e":1}')), ("pay", F.when(i % 2 == 1, '{"c.d":5.0,"e":1}').otherwise('{"e":1,"c.d":5}'))])
+    return verdicts(ToolRegistryCheck("registry", _small_registry()).apply(t))
+
+
 # judged checks, with the mock judge
 
 
@@ -374,7 +419,7 @@ def unmapped_fields(spark, sf):
     from .sources.jsonl import unmapped_fields as unmapped
 
     rows = spark.read.parquet(f"{sf}/events.parquet").select(F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props")).alias("data"))
-    return unmapped(rows, {"event_id": "trace_id", "user_id": "metadata.user", "event_type": "output.text"})
+    return unmapped(rows, {"trace_id": "event_id", "metadata.user": "user_id", "output.text": "event_type"})
 
 
 @query(f"{_CHATS} SELECT trace_id, n_messages AS messages, user_request FROM chats")
@@ -387,10 +432,24 @@ def mapped_traces(spark, sf):
     from .sources.jsonl import mapped, to_traces
 
     rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").cast("string").alias("source_id"), F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), "event_type")).alias("data"))
-    traces, _ = to_traces(mapped(rows, {"event_id": "trace_id", "event_type": "output.text"}))
+    traces, _ = to_traces(mapped(rows, {"trace_id": "event_id", "output.text": "event_type"}))
     return traces.select("trace_id", F.col("output.text").alias("text"))
 
 
+@query("""SELECT CAST(event_id AS VARCHAR) AS source_id, CASE event_id % 5 WHEN 1 THEN 'output.tool_calls: must be of kind array, found string' WHEN 2 THEN 'input: must be of kind object, found string'
+WHEN 3 THEN 'input: unknown field: bogus' WHEN 4 THEN 'output.tool_calls: unknown field: tool' END AS problem FROM events""")
+def ingest_problems(spark, sf):
+    """Values of the wrong kind and unknown keys are reported with their row; the others become traces."""
+    from .sources.jsonl import to_traces
+
+    i = F.col("event_id")
+    body = F.when(i % 5 == 1, '"output":{"tool_calls":"oops"}').when(i % 5 == 2, '"input":"str"').when(i % 5 == 3, '"input":{"bogus":1}').when(i % 5 == 4, '"output":{"tool_calls":[{"name":"f","tool":"g"}]}').otherwise('"output":{"tool_calls":[{"name":"f"}]}')
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(i.cast("string").alias("source_id"), F.concat(F.lit('{"trace_id":"'), i, F.lit('",'), body, F.lit("}")).alias("data"))
+    traces, errors = to_traces(rows)
+    why = F.expr("substring(message, length(source_id) + 3)")
+    return traces.select(F.col("source_id"), F.lit(None).cast("string").alias("problem")).unionByName(errors.select("source_id", why.alias("problem")))
+
+
 @query("SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
 def latest_of_each(spark, sf):
     """The latest row of each group: an aggregate, not a sort."""

@@ -6,6 +6,8 @@ their lines first, so that a large file is still read by many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,15 +48,16 @@ def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> tupl
 
 
 def mapped(rows: DataFrame, mapping: dict[str, str] | None) -> DataFrame:
-    """(source_id, data): source columns moved to trace paths; absent ones stay unset.
+    """(source_id, data): trace paths filled from source columns (``{target: source}``); absent ones stay unset.
 
-    Without a mapping the rows are trace-shaped already.  Source names are flat
-    columns.  Targets are set at plan time, so conflicts raise here.
+    A column may fill several paths.  Without a mapping the rows are trace-shaped
+    already.  Source names are flat columns.  Targets are set at plan time, so
+    conflicts raise here.
     """
     if not mapping:
         return rows
     tree: dict = {}
-    for source, target in mapping.items():
+    for target, source in mapping.items():
         at = tree
         *head, last = split_path(target)
         if any(isinstance(s, int) for s in (*head, last)):
@@ -77,8 +80,63 @@ def mapped(rows: DataFrame, mapping: dict[str, str] | None) -> DataFrame:
     return rows.select("source_id", text(tree).alias("data"))
 
 
-#: Keys that a trace may have.
+#: Keys that a trace may have, and those of its parts with the kind of value each takes.
 TOP = ("trace_id", "input", "output", "ground_truth", "metadata", "source_id")
+KINDS = {
+    "": {"trace_id": "STRING", "input": "OBJECT", "output": "OBJECT", "ground_truth": "OBJECT", "metadata": "OBJECT", "source_id": "STRING"},
+    "input": {"messages": "ARRAY", "user_request": "STRING", "system_prompt": "STRING", "tools_available": "ARRAY"},
+    "output": {"text": "STRING", "tool_calls": "ARRAY", "artifacts": "ARRAY"},
+}
+ITEMS = {
+    "input.messages": {"role": "STRING", "content": "STRING"},
+    "output.tool_calls": {"name": "STRING", "arguments": "OBJECT", "call_id": "STRING", "node": "STRING", "result": "", "error": "STRING"},
+    "output.artifacts": {"type": "STRING", "uri": "STRING", "duration_ms": "BIGINT", "mime": "STRING"},
+}
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, wherever the plan moves the expression."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
+def malformed(v: Column) -> Column:
+    """What is wrong with the kinds and keys of a trace's VARIANT, or null: typed reading would empty it without a word."""
+
+    def kind_of(x: Column) -> Column:
+        return F.nullif(F.schema_of_variant(x), F.lit("VOID"))
+
+    def kind_fault(x: Column, where: str, kind: str) -> Column:
+        return let(kind_of(x), lambda found: F.when(~found.startswith(kind), F.concat(F.lit(f"{where}: must be of kind {kind.lower()}, found "), F.lower(found))))
+
+    def keys_of(x: Column) -> Column:
+        return F.coalesce(F.json_object_keys(F.to_json(x)), F.array().cast("array<string>"))
+
+    def unknown(x: Column, fields: dict[str, str]) -> Column:
+        return F.filter(keys_of(x), lambda k: ~k.isin(*fields))
+
+    def checker(at: str, fields: dict[str, str]) -> Callable[[Column], Column]:
+        def wrong(x: Column) -> Column:
+            faults = [F.when(~F.coalesce(kind_of(x).startswith("OBJECT"), F.lit(False)), F.lit(f"{at}: items must be objects"))]
+            faults.append(F.concat(F.lit(f"{at}: unknown field: "), F.get(unknown(x, fields), F.lit(0))))
+            for name, kind in fields.items():
+                faults.append(kind_fault(F.try_variant_get(x, f"$.{name}", "variant"), f"{at}.{name}", kind))
+            return F.coalesce(*faults)
+
+        return wrong
+
+    parts: list[Column] = []
+    for at, fields in KINDS.items():
+        owner = F.try_variant_get(v, f"$.{at}", "variant") if at else v
+        for name, kind in fields.items():
+            where = f"{at}.{name}" if at else name
+            parts.append(kind_fault(F.try_variant_get(v, f"$.{where}", "variant"), where, kind))
+        if at:
+            extra = unknown(F.when(kind_of(owner).startswith("OBJECT"), owner), fields)
+            parts.append(F.concat(F.lit(f"{at}: unknown field: "), F.get(extra, F.lit(0))))
+    for at, fields in ITEMS.items():
+        items = F.coalesce(F.try_variant_get(v, f"$.{at}", "array<variant>"), F.array().cast("array<variant>"))
+        parts.append(F.get(F.filter(F.transform(items, checker(at, fields)), lambda m: m.isNotNull()), F.lit(0)))
+    return F.coalesce(*parts)
 
 
 def to_traces(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +144,8 @@ def to_traces(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ship(rows.sparkSession)
     raw_out = OUTPUT.replace("result:string", "result:variant")
     d = F.from_json("data", f"trace_id string, input {INPUT}, output {raw_out}, ground_truth string, metadata string, source_id string")
-    base = rows.withColumn("d", d).select("source_id", "data", "d.trace_id", F.col("d.input").alias("i"), F.col("d.output").alias("o"), "d.ground_truth", "d.metadata", F.col("d.source_id").alias("own"))
+    # parsed once for the many looks into it
+    base = rows.withColumn("d", d).select("source_id", "data", let(F.try_parse_json("data"), malformed).alias("kinds"), "d.trace_id", F.col("d.input").alias("i"), F.col("d.output").alias("o"), "d.ground_truth", "d.metadata", F.col("d.source_id").alias("own"))
     bad_role = F.exists("i.messages", lambda m: ~F.coalesce(m["role"].isin(*ROLES), F.lit(False)))
     bad_uri = F.exists("o.artifacts", lambda a: F.coalesce(F.trim(a["uri"]) == "", F.lit(True)) | a["uri"].startswith("data:"))
     bad_type = F.exists("o.artifacts", lambda a: ~F.coalesce(a["type"].isin(*ARTIFACT_TYPES), F.lit(False)))
@@ -94,7 +153,11 @@ def to_traces(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     why = (
         F.when(F.coalesce(F.col("trace_id"), F.lit("")) == "", "trace_id: must not be empty")
         .when(F.size(extra) > 0, F.concat(F.lit("unknown field: "), extra[0]))
-        .when(F.coalesce(bad_role, F.lit(False)), f"input.messages: role must be one of {', '.join(ROLES)}")
+    )
+    why = F.coalesce(
+        why,
+        F.col("kinds"),
+        F.when(F.coalesce(bad_role, F.lit(False)), f"input.messages: role must be one of {', '.join(ROLES)}")
         .when(F.coalesce(bad_uri, F.lit(False)), "output.artifacts: uri must be a reference, not blank or data:")
         .when(F.coalesce(bad_type, F.lit(False)), f"output.artifacts: type must be one of {', '.join(ARTIFACT_TYPES)}")
     )
@@ -111,4 +174,5 @@ def to_traces(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def unmapped_fields(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """(field): source columns that no mapping takes."""
-    return rows.select(F.explode(F.array_except(F.json_object_keys("data"), F.array(*map(F.lit, mapping)))).alias("field")).distinct()
+    taken = F.array(*map(F.lit, sorted(set(mapping.values()))))
+    return rows.select(F.explode(F.array_except(F.json_object_keys("data"), taken)).alias("field")).distinct()
