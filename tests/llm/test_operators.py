@@ -46,7 +46,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("bound", [4096, 300])
+@pytest.mark.parametrize("bound", [4096, 900, 300])
 def test_repeated_strings_match_brute_force(spark, bound):
     rng = random.Random(bound)
     base = prose(rng, 400)

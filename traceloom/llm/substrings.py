@@ -13,10 +13,14 @@ count; strings are judged on the input.
 3. For other grams the distinct segments (equal ones carry a count) are laid
    together and their suffix array is built by linear grouping (suffixes.py), of
    grams of similar size at once; neighbours in it that agree in ``length``
-   bytes, compared byte by byte, are repeated strings.  A gram with more than
-   ``bound`` bytes of distinct segments, which no task need hold, is split further
-   by the strings themselves.
-4. Each document gets its repeated starts back, and loses the bytes they cover.
+   bytes, compared byte by byte, are repeated strings.
+4. A gram with more than ``bound`` bytes of distinct segments, which no task need
+   hold, is split.  Equal strings hold their gram at the same place, so segments
+   are cut into pieces of ``BLOCK`` such places; all strings of a piece share its
+   core, and equal strings lie in pieces of equal cores.  A piece that stands in
+   several segments repeats whole; the distinct pieces of a core go through suffix
+   arrays, or, over the bound again, string by string.
+5. Each document gets its repeated starts back, and loses the bytes they cover.
 
 Null text is empty.  Rows are told apart by key and text, so repeated rows are
 copies of each other.  Equal segments are known by 128 bits of hashes.
@@ -29,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, has, ship, staged, text_of, tidy
@@ -40,6 +44,8 @@ GRAM = 32
 PART, PLACE = 900_000, 20
 #: Symbols that go through one call of suffix_arrays.
 TOGETHER = 2_000_000
+#: Places of a gram that a piece of a segment covers.
+BLOCK = 24
 _CODE = np.random.default_rng(1729).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << PLACE) - 1)
@@ -138,6 +144,41 @@ def _cut(length: int) -> Callable:
     return made
 
 
+def pieces_of(segments: list[bytes], length: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(segment, block, first start, starts, start and end of the core) of each piece of the segments of runs."""
+    width = length - GRAM + 1
+    heads = gram_hashes(np.frombuffer(b"".join(s[:length] for s in segments), np.uint8)) >> np.uint64(PLACE)
+    heads = np.r_[heads, np.zeros(GRAM - 1, np.uint64)].reshape(len(segments), length)[:, :width]
+    out = []
+    for j, (s, at) in enumerate(zip(segments, heads.argmin(1).tolist())):
+        last = at - (len(s) - length)  # the gram's place in the segment's last string
+        for block in range(last // BLOCK, at // BLOCK + 1):
+            lo, hi = block * BLOCK, min((block + 1) * BLOCK, width) - 1
+            first = at - min(hi, at)
+            out.append((j, block, first, at - max(lo, last) - first + 1, at - lo, at - hi + length))
+    return out
+
+
+def _pieces(length: int) -> Callable:
+    import xxhash
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                segments = part.column(3).to_pylist()
+                found = pieces_of(segments, length)
+                j, _, s, n, _, _ = (np.array(c, np.int64) for c in zip(*found))
+                cut = [segments[x][a : a + m + length - 1] for x, _, a, m, _, _ in found]
+                core = np.array([digest(segments[x][a:e], seed=block) for x, block, _, _, a, e in found], np.uint64).view(np.int64)
+                piece = np.array([digest(c) for c in cut], np.uint64).view(np.int64)
+                cols = [*(part.column(i).take(pa.array(j)) for i in range(3)), core, piece, s.astype(np.int32), n.astype(np.int32), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "seg", "many", "core", "piece", "s", "n", "bytes"])
+
+    return made
+
+
 def repeated_starts(groups: list[list[tuple[int, bytes]]], length: int) -> list[tuple[int, int, np.ndarray]]:
     """(group, segment, its repeated starts), from each group's distinct (id, bytes)."""
     parts, base, size = [], [], []
@@ -261,6 +302,44 @@ def without(text: bytes, gone: list[tuple[int, int]]) -> str:
     return b"".join(kept).decode("utf-8", "replace")
 
 
+def _by_array(cut: DataFrame, length: int) -> DataFrame:
+    """(gram, seg, spans) of bounded grams by suffix arrays, those of similar size together."""
+    ordered = cut.select("size", "gram", "seg", "bytes").repartition("gram").sortWithinPartitions("size", "gram").select("gram", "seg", "bytes")
+    return ordered.mapInArrow(tidy(_arrays(length)), f"gram long, seg long, spans {SPANS}")
+
+
+def _moved(spans: str, by: str) -> Column:
+    return F.transform(spans, lambda x: F.struct((x["s"] + F.col(by)).alias("s"), (x["e"] + F.col(by)).alias("e")))
+
+
+def _whole(n: str) -> Column:
+    return F.array(F.struct(F.lit(0).alias("s"), F.col(n).alias("e")))
+
+
+def _by_piece(big: DataFrame, length: int, bound: int) -> DataFrame:
+    """(gram, seg, spans) of the segments of large grams that occur once, piece by piece."""
+    pieces = staged(big.mapInArrow(tidy(_pieces(length)), "gram long, seg long, many long, core long, piece long, s int, n int, bytes binary"), "pieces")
+    kinds = staged(pieces.groupBy("core", "piece").agg(F.sum("many").alias("many"), F.min("n").alias("n"), F.min("bytes").alias("bytes")), "kinds")
+    sizes = staged(kinds.groupBy("core").agg(F.sum(F.length("bytes")).alias("size"), F.count("*").alias("c")).where("c > 1").drop("c"), "sizes")
+    sized = kinds.join(sizes, "core")
+    by_array = _by_array(sized.where(F.col("size") <= bound).select("size", F.col("core").alias("gram"), F.col("piece").alias("seg"), "bytes"), length).select(F.col("gram").alias("core"), F.col("seg").alias("piece"), "spans")
+    # cores with more: each string by itself
+    each = F.expr(f"transform(sequence(1, length(bytes) - {length - 1}), i -> xxhash64(substring(bytes, i, {length})))")
+    strings = sized.where(F.col("size") > bound).select("core", "piece", "many", F.posexplode(each).alias("s", "h"))
+    again = staged(strings.groupBy("core", "h").agg(F.count("*").alias("k")).where("k > 1").select("core", "h"), "again")
+    hit = strings.where("many = 1").join(again, ["core", "h"]).groupBy("core", "piece").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    by_string = hit.select("core", "piece", F.transform("s", lambda i: F.struct(i.alias("s"), (i + 1).alias("e"))).alias("spans"))
+    # a piece that occurs more than once repeats all its strings
+    once = kinds.where("many = 1").select("core", "piece")
+    several = kinds.where("many > 1").select("core", "piece", _whole("n").alias("spans"))
+    # a table of its own, so that the join can split a piece that many segments hold
+    found = staged(by_array.unionByName(by_string).join(once, ["core", "piece"]).unionByName(several), "found")
+    held = pieces.where("many = 1").select("gram", "seg", "core", "piece", "s").join(found, ["core", "piece"])
+    out = staged(held.select("gram", "seg", _moved("spans", "s").alias("spans")).groupBy("gram", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans")), "by_piece")
+    discard(pieces, kinds, sizes, again, found)
+    return out
+
+
 def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     """(a, b, spans): spans of starts of repeated strings, for rows that have any."""
     kind = "gram long, seg long, a long, b long, start int, n int"
@@ -282,24 +361,15 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     wanted = some.join(sizes, "gram").groupBy("a", "b").agg(F.collect_list(F.struct("gram", "seg", "many", "size", "start", "n")).alias("w"))
     cut = rows.select("a", "b", "text").join(wanted, ["a", "b"]).select("text", "w").mapInArrow(tidy(_cut(length)), "gram long, seg long, many long, size long, bytes binary")
     cut = staged(cut, "cut")
-    # bounded grams: suffix arrays, those of similar size together
-    small = cut.where(F.col("size") <= bound).select("size", "gram", "seg", "bytes").repartition("gram").sortWithinPartitions("size", "gram").select("gram", "seg", "bytes")
-    by_array = small.mapInArrow(tidy(_arrays(length)), f"gram long, seg long, spans {SPANS}")
-    # grams with more: each string by itself
-    strings = cut.where(F.col("size") > bound).select("gram", "seg", "many", F.posexplode(F.expr(f"transform(sequence(1, length(bytes) - {length - 1}), i -> substring(bytes, i, {length}))")).alias("s", "string"))
-    strings = strings.select("gram", "seg", "many", "s", F.xxhash64("string").alias("h"))
-    again = staged(strings.groupBy("gram", "h").agg(F.count("*").alias("k")).where("k > 1").select("gram", "h"), "again")
-    hit = strings.where("many = 1").drop("many").join(again, ["gram", "h"])
-    by_string = hit.groupBy("gram", "seg").agg(F.transform(F.sort_array(F.collect_list("s")), lambda i: F.struct(i.alias("s"), (i + 1).alias("e"))).alias("spans"))
+    by_array = _by_array(cut.where(F.col("size") <= bound), length)
+    by_piece = _by_piece(cut.where(F.col("size") > bound).select("gram", "seg", "many", "bytes"), length, bound)
     # segments that occur more than once repeat all their strings
-    full = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))
-    several = some.where("many > 1").select("gram", "seg", full.alias("spans"))
-    once = by_array.unionByName(by_string).join(some.where("many = 1").select("gram", "seg"), ["gram", "seg"])
+    several = some.where("many > 1").select("gram", "seg", _whole("n").alias("spans"))
+    once = by_array.unionByName(by_piece).join(some.where("many = 1").select("gram", "seg"), ["gram", "seg"])
     marked = staged(once.unionByName(several), "marked")
-    discard(cut, again, some)
-    own = lambda c: F.transform(c, lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))
-    parts = differ.join(marked, ["gram", "seg"]).select("a", "b", own(F.col("spans")).alias("spans"))
-    alike = met.where("alike").select("a", "b", own(full).alias("spans"))
+    discard(cut, by_piece, some)
+    parts = differ.join(marked, ["gram", "seg"]).select("a", "b", _moved("spans", "start").alias("spans"))
+    alike = met.where("alike").select("a", "b", F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))).alias("spans"))
     # a set: repeated rows say the same of themselves, however many they are
     found = staged(parts.unionByName(alike).groupBy("a", "b").agg(F.flatten(F.collect_set("spans")).alias("spans")), "repeats")
     discard(met, marked)
