@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 
@@ -218,3 +219,32 @@ def test_extensions(spark):
     assert sets["t"]["passed"] is True and sets["t"]["score"] == 0.5 and sets["none"]["passed"] is None
     assert r(JsonSchema("x", "ground_truth.o", required=("x",)))["t"]["passed"] is True
     assert r(JsonSchema("x", "ground_truth.o", required=("y",)))["t"]["passed"] is False
+
+
+def test_options_of_judged_checks(spark):
+    def spy(prompt, schema, config):
+        return Reply(json.dumps({"best": "find", "acceptable": [], "consistent": "legal" in json.dumps(prompt), "verdict": "Irreversible" in json.dumps(prompt)}))
+
+    rows = traces(spark, [trace("a", [{"name": "find"}], text="done"), trace("b", text="done")])
+    tools = Registry.of({"tools": {"find": {"description": "Irreversible legal search."}, "refund": {"description": "Pays."}}})
+    got = by_id(TextMatchesTools("c", JUDGE, tools, provider=spy).apply(rows))
+    assert {k: r["passed"] for k, r in got.items()} == {"a": True, "b": False}  # only the tools called are described
+    got = by_id(TextMatchesTools("c", JUDGE, tools, describe_tools=False, provider=spy).apply(rows))
+    assert {k: r["passed"] for k, r in got.items()} == {"a": False, "b": False}
+    schema = {"type": "object", "properties": {"verdict": {"type": "boolean"}}, "required": ["verdict"]}
+    q = LlmQuestion("q", "Irreversible? {{ r }}", {"r": "input.user_request"}, JUDGE, answer_key="verdict", response_schema=schema, provider=spy)
+    assert q.schema() == schema and by_id(q.apply(rows))["a"]["normalized_prediction"] == "true"
+    with pytest.raises(ValueError):
+        LlmQuestion("q", "x", {}, JUDGE, response_schema=schema)
+    plain, ruled = ToolSelection("s", tools, JUDGE), ToolSelection("s", tools, JUDGE, policy="Refund within 30 days.")
+    assert plain.version_hash() != ruled.version_hash()
+    with pytest.raises(ValueError):
+        ToolSelection("s", tools, JUDGE, request="output.text")
+    with pytest.raises(ValueError):
+        TextMatchesTools("c", JUDGE, actual="output.artifacts")
+
+    def wants_policy(prompt, schema, config):
+        return Reply(json.dumps({"best": "find" if "within 30 days" in json.dumps(prompt) else "refund", "acceptable": []}))
+
+    for check, passed in ((plain, False), (ruled, True)):
+        assert by_id(replace(check, provider=wants_policy).apply(rows))["a"]["passed"] is passed

@@ -275,3 +275,25 @@ def test_governance(spark):
     run = lambda ps: spark.createDataFrame([(str(i), "q", p, False) for i, p in enumerate(ps)], "trace_id string, evaluator_id string, passed boolean, invalid_output boolean")
     g = governance.compare_runs(run([True, True, False, None]), run([True, False, True, True])).first()
     assert (g["decided"], g["regressed"], g["improved"], g["passes"]) == (3, 1, 1, True)
+
+
+def test_suite_keys():
+    reg = Registry.of({"tools": {"find": {"description": "Finds."}}})
+    judges = {"default": JudgeConfig("mock", "m")}
+    suite = {
+        "suite": "s", "description": "what it is for",
+        "evaluators": [
+            {"id": "a", "type": "exact_match", "actual": "output.text", "options": {"lower": True}, "weight": 2},
+            {"id": "b", "type": "tool_call_outcome", "actual": "output.tool_calls", "options": {"error_field": "result.status", "failure_values": ["failed"]}, "holdout": True},
+            {"id": "c", "type": "tool_selection", "judge": "default", "request": "input.user_request", "inputs": {"lang": "metadata.language"}, "policy": "p", "system_prompt": "s", "holdout": True},
+            {"id": "d", "type": "text_matches_tools", "text": "output.text", "describe_tools": False},
+            {"id": "e", "type": "llm_question", "question": "{{ r }}?", "inputs": {"r": "output.text"}, "matcher": "label_map", "matcher_options": {"map": {"yes": "ok"}, "answer_key": "said"}},
+        ],
+    }
+    a, b, c, d, e = config.build_suite(suite, reg, judges)
+    assert a.lower and b.failure_values == ("failed",) and c.holdout and c.inputs == ("metadata.language",) and c.policy == "p" and c.system == "s"
+    assert not d.describe_tools and e.template == "{{ r }}?" and e.labels == {"yes": "ok"} and e.answer_key == "said"
+    bad = {"evaluators": [{"id": "a", "type": "exact_match", "actual": "output.text", "options": {"lowr": True}, "weight": -1}]}
+    with pytest.raises(config.ConfigError) as failed:
+        config.build_suite(bad)
+    assert any("weight" in p for p in failed.value.problems) and any("lowr" in p and "lower" in p for p in failed.value.problems)

@@ -60,11 +60,11 @@ class Report:
 class Loom:
     """Evaluate traces, report, and compile failures into preference pairs."""
 
-    def __init__(self, spark: SparkSession, traces, tools: Registry | dict | None = None, checks: Sequence[Check] | None = None, judge: JudgeConfig | None = None, mapping: dict[str, str] | None = None, provider: Provider = mock):
+    def __init__(self, spark: SparkSession, traces, tools: Registry | dict | None = None, checks: Sequence[Check] | None = None, judge: JudgeConfig | None = None, mapping: dict[str, str] | None = None, provider: Provider = mock, policy: str | None = None):
         self.spark = spark
         self.registry = Registry.of(tools) if isinstance(tools, dict) else tools
         self.traces, self.errors = load_traces(spark, traces, mapping)
-        self.checks = list(checks) if checks is not None else default_checks(self.registry, judge, provider)
+        self.checks = list(checks) if checks is not None else default_checks(self.registry, judge, provider, policy)
         if not self.checks:
             raise ValueError("there is no check to run: give tools, a judge, or checks")
 
@@ -75,19 +75,19 @@ class Loom:
         return Report(staged(suite.run_suite(traces, self.checks), "results"), self.checks)
 
     def dataset(self, done: Report, sealed: DataFrame | None = None) -> feedback.Dataset:
-        ids = [c.id for c in self.checks if isinstance(c, ToolSelection)]
+        ids = [c.id for c in self.checks if isinstance(c, ToolSelection) and not c.holdout]
         return feedback.build_dpo(done.results.where(F.col("evaluator_id").isin(ids)), self.traces, self.registry, sealed)
 
     def finetune(self, *_args, **_kwargs):
         raise NotImplementedError("training is outside this library: write the dataset and train with a tool made for it")
 
 
-def default_checks(registry: Registry | None, judge: JudgeConfig | None, provider: Provider = mock) -> list[Check]:
+def default_checks(registry: Registry | None, judge: JudgeConfig | None, provider: Provider = mock, policy: str | None = None) -> list[Check]:
     out: list[Check] = [ToolCallOutcome("tool_call_outcome")]
     if registry is not None:
         out.append(ToolRegistryCheck("tool_registry_check", registry))
     if judge is not None:
         if registry is not None:
-            out.append(ToolSelection("tool_selection", registry, judge, provider=provider))
+            out.append(ToolSelection("tool_selection", registry, judge, policy=policy, provider=provider))
         out.append(TextMatchesTools("text_matches_tools", judge, registry, provider=provider))
     return out

@@ -20,6 +20,9 @@ CHECKS = {
     "exact_match": ExactMatch, "json_match": JsonMatch, "tool_registry_check": ToolRegistryCheck, "tool_call_outcome": ToolCallOutcome, "llm_question": LlmQuestion,
     "tool_selection": ToolSelection, "text_matches_tools": TextMatchesTools, "regex": Regex, "numeric_tolerance": NumericTolerance, "set_comparison": SetComparison, "json_schema": JsonSchema,
 }
+#: Keys of a suite file that are named otherwise here.
+KEYS = {"question": "template", "system_prompt": "system"}
+MATCHER_OPTIONS = {"map": "labels", "tolerance": "tolerance", "choices": "choices", "answer_key": "answer_key"}
 NOT_CONFIGURED = {"provider", "cache", "registry", "judge"}
 SOURCES = {"jsonl": ("path",), "parquet": ("path",), "csv": ("path",), "jdbc": ("url", "query")}
 
@@ -107,9 +110,13 @@ def load_registry(path: str) -> Registry:
 
 
 def build_suite(data: dict, registry: Registry | None = None, judges: dict[str, JudgeConfig] | None = None, lines: dict[str, int] | None = None, **extra) -> list:
-    """The checks of a suite; ``extra`` (provider, cache) goes to those that ask a judge."""
+    """The checks of a suite; ``extra`` (provider, cache) goes to those that ask a judge.
+
+    ``holdout`` keeps a judged check's rows out of datasets; other checks never
+    enter them.  ``weight`` is checked and has no effect.
+    """
     problems, checks, lines = [], [], lines or {}
-    problems += _unknown(data, ("name", "evaluators"), "", lines)
+    problems += _unknown(data, ("name", "suite", "description", "evaluators"), "", lines)
     for i, spec in enumerate(data.get("evaluators") or []):
         at, spec = f"evaluators[{i}]", dict(spec)
         kind = CHECKS.get(name := spec.pop("type", None))
@@ -117,10 +124,26 @@ def build_suite(data: dict, registry: Registry | None = None, judges: dict[str,
             problems.append(f"{at}.type: {name!r} is no check{hint(str(name), CHECKS)}")
             continue
         takes = {f.name for f in fields(kind)}
-        given = spec.pop("judge", None)
+        given = spec.pop("judge", "default")
+        weight = spec.pop("weight", 1.0)
+        if isinstance(weight, bool) or not isinstance(weight, (int, float)) or weight < 0:
+            problems.append(f"{at}.weight: must be a number from 0")
+        if "holdout" in spec and not isinstance(spec["holdout"], bool):
+            problems.append(f"{at}.holdout: must be true or false")
+        if "holdout" not in takes:
+            spec.pop("holdout", None)
+        spec = {n if (n := KEYS.get(k)) in takes else k: v for k, v in spec.items()}
+        # options of checks that take them by name
+        for group, names in (("options", {n: n for n in takes - NOT_CONFIGURED - {"id", "actual", "expected", "options"}}), ("matcher_options", MATCHER_OPTIONS)):
+            if group in spec and group not in takes and (group == "options" or kind is LlmQuestion):
+                options = spec.pop(group) or {}
+                problems += _unknown(options, names, f"{at}.{group}", lines)
+                spec |= {names[k]: v for k, v in options.items() if k in names}
         if bad := _unknown(spec, takes - NOT_CONFIGURED, at, lines):
             problems += bad
             continue
+        if kind is ToolSelection and isinstance(spec.get("inputs"), dict):
+            spec["inputs"] = list(spec["inputs"].values())
         args = {k: tuple(v) if isinstance(v, list) else v for k, v in spec.items()}
         if "options" in args:
             args["options"] = MatchOptions(**{k: tuple(v) if isinstance(v, list) else v for k, v in args["options"].items()})

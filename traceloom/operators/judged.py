@@ -31,12 +31,12 @@ def judged(traces: DataFrame, check, prompt: Column, schema: Column, schema_key:
 
 def field_json(name: str) -> Column:
     """A field of the parsed answer as JSON text; null if absent or null."""
-    v = F.try_variant_get(F.try_parse_json("parsed"), f"$.{name}", "variant")
+    v = F.try_variant_get(F.try_parse_json("parsed"), f"$['{name}']", "variant")
     return F.when(~F.is_variant_null(v), F.to_json(v))
 
 
 def field_text(name: str) -> Column:
-    v = F.try_variant_get(F.try_parse_json("parsed"), f"$.{name}", "variant")
+    v = F.try_variant_get(F.try_parse_json("parsed"), f"$['{name}']", "variant")
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
@@ -65,6 +65,11 @@ class LlmQuestion:
     ground_truth: str | None = None
     tolerance: float = 0.0
     system: str | None = None
+    #: where the answer stands in the reply
+    answer_key: str = "answer"
+    #: instead of the matcher's own schema
+    response_schema: dict | None = None
+    holdout: bool = False
     provider: Provider = mock
     cache: DataFrame | None = field(default=None, compare=False)
 
@@ -73,17 +78,21 @@ class LlmQuestion:
             raise ValueError(f"matcher {self.matcher!r} is none of {', '.join(MATCHERS)}")
         for p in self.inputs.values():
             split_path(p)
+        if self.response_schema is not None and self.answer_key not in self.response_schema.get("properties", {}):
+            raise ValueError(f"response_schema has no property {self.answer_key!r}")
 
     def version_hash(self) -> str:
-        return version_of(["llm_question", self.id, self.template, self.inputs, self.matcher, self.labels, list(self.choices), self.ground_truth, self.tolerance, self.system, self.judge.identity()])
+        return version_of(["llm_question", self.id, self.template, self.inputs, self.matcher, self.labels, list(self.choices), self.ground_truth, self.tolerance, self.system, self.judge.identity(), *([self.answer_key, self.response_schema] if self.response_schema or self.answer_key != "answer" else [])])
 
     def schema(self) -> dict:
+        if self.response_schema is not None:
+            return self.response_schema
         answer = {"boolean": {"type": "boolean"}, "numeric_tolerance": {"type": "number"}, "set_overlap": {"type": "array", "items": {"enum": list(self.choices)} if self.choices else {}}}.get(self.matcher, {"type": "string", "enum": list(self.choices)} if self.choices else {"type": "string"})
-        return {"type": "object", "properties": {"answer": answer, "reason": {"type": "string"}}, "required": ["answer"]}
+        return {"type": "object", "properties": {self.answer_key: answer, "reason": {"type": "string"}}, "required": [self.answer_key]}
 
     def prediction(self) -> Column:
         """The answer as JSON text, by the matcher; null if unusable."""
-        text, raw = field_text("answer"), field_json("answer")
+        text, raw = field_text(self.answer_key), field_json(self.answer_key)
         quoted = lambda c: F.to_json(c.cast("variant"))
         if self.matcher == "boolean":
             return F.when(as_bool(raw), "true").when(~as_bool(raw), "false")
@@ -129,6 +138,11 @@ def called(calls: Column) -> Column:
     return F.filter(F.transform(F.coalesce(calls, F.array().cast(_CALLS)), lambda c: c["name"]), lambda n: n.isNotNull())
 
 
+def only_calls(path: str) -> None:
+    if split_path(path) != ["output", "tool_calls"]:
+        raise ValueError(f"{path!r} is no array of calls")
+
+
 _CALLS = "array<struct<name:string,arguments:string,call_id:string,node:string,result:string,error:string>>"
 
 
@@ -137,22 +151,35 @@ class ToolSelection:
     id: str
     registry: Registry
     judge: JudgeConfig
-    inputs: tuple[str, ...] = ("input.user_request",)
+    #: what the user asked; with the catalogue and the policy the whole prompt
+    request: str = "input.user_request"
+    #: further paths that the judge is shown
+    inputs: tuple[str, ...] = ()
+    policy: str | None = None
+    actual: str = "output.tool_calls"
     node_path: str | None = None
     samples: int = 1
     system: str | None = "Choose the tool that the agent should call next."
+    holdout: bool = False
     provider: Provider = mock
     cache: DataFrame | None = field(default=None, compare=False)
 
     def __post_init__(self):
         if self.samples != 1:
             raise ValueError("only one sample is taken")
-        for p in self.inputs:
+        only_calls(self.actual)
+        for p in self.shown():
             if split_path(p)[:2] in (["output", "text"], ["output", "tool_calls"]):
                 raise ValueError(f"{p!r} would show the judge what the agent did")
 
+    def shown(self) -> list[str]:
+        return list(dict.fromkeys([self.request, *self.inputs]))
+
+    def questions(self) -> list:
+        return [self.registry.hash(), self.shown(), *([self.policy] if self.policy else [])]
+
     def version_hash(self) -> str:
-        return version_of(["tool_selection", self.id, self.registry.hash(), list(self.inputs), self.node_path, self.system, self.judge.identity()])
+        return version_of(["tool_selection", self.id, *self.questions(), self.node_path, self.system, self.judge.identity()])
 
     def schema(self, node: str | None) -> dict:
         names = self.registry.choices(node)
@@ -171,10 +198,11 @@ class ToolSelection:
         node = F.coalesce(resolve(self.node_path).text, first) if self.node_path else first
         why = F.when(node.isNotNull() & ~node.isin(list(self.registry.nodes)), F.concat(F.lit("unknown node '"), node, F.lit("'")))
         rows = traces.withColumn("_node", node).withColumn("_why", why)
-        said = F.concat_ws("\n", *[F.concat(F.lit(f"{p}: "), F.coalesce(resolve(p).text, F.lit("None"))) for p in self.inputs])
-        user = F.concat(said, F.lit("\n\nTools:\n"), self.by_node(F.col("_node"), lambda n: F.lit(self.registry.catalogue(n))))
+        said = F.concat_ws("\n", *[F.concat(F.lit(f"{p}: "), F.coalesce(resolve(p).text, F.lit("None"))) for p in self.shown()])
+        rules = f"\n\nPolicy:\n{self.policy}" if self.policy else ""
+        user = F.concat(said, F.lit(f"{rules}\n\nTools:\n"), self.by_node(F.col("_node"), lambda n: F.lit(self.registry.catalogue(n))))
         prompt = F.when(F.col("_why").isNull(), prompt_of(self.system, user))
-        rows = judged(rows, self, prompt, F.coalesce(self.by_node(F.col("_node"), lambda n: F.lit(canonical(self.schema(n)))), F.lit("{}")), [self.registry.hash(), list(self.inputs)])
+        rows = judged(rows, self, prompt, F.coalesce(self.by_node(F.col("_node"), lambda n: F.lit(canonical(self.schema(n)))), F.lit("{}")), self.questions())
         best = field_text("best")
         choices = self.by_node(F.col("_node"), lambda n: F.array(*map(F.lit, self.registry.choices(n))))
         acceptable = F.array_union(F.coalesce(F.from_json(field_json("acceptable"), "array<string>"), F.array().cast("array<string>")), F.array(best))
@@ -189,6 +217,11 @@ class TextMatchesTools:
     id: str
     judge: JudgeConfig
     registry: Registry | None = None
+    text: str = "output.text"
+    actual: str = "output.tool_calls"
+    #: tell the judge what the registry says of the tools called
+    describe_tools: bool = True
+    holdout: bool = False
     system: str | None = "Does the reply agree with the calls that were made?"
     provider: Provider = mock
     cache: DataFrame | None = field(default=None, compare=False)
@@ -196,14 +229,27 @@ class TextMatchesTools:
     SCHEMA = {"type": "object", "properties": {"consistent": {"type": "boolean"}, "contradiction": {"type": "string"}, "reason": {"type": "string"}}, "required": ["consistent"]}
 
     def version_hash(self) -> str:
-        return version_of(["text_matches_tools", self.id, self.registry and self.registry.hash(), self.system, self.judge.identity()])
+        told = self.registry.hash() if self.registry is not None and self.describe_tools else None
+        return version_of(["text_matches_tools", self.id, told, self.text, self.system, self.judge.identity()])
+
+    def __post_init__(self):
+        only_calls(self.actual)
+        split_path(self.text)
+
+    def described(self, calls: Column) -> Column:
+        """The registry's descriptions of the tools called, in order of name; empty without any."""
+        if self.registry is None or not self.describe_tools:
+            return F.lit("")
+        lines = [F.when(F.array_contains(called(calls), name), F.lit(f"{name}: {tool.description}")) for name, tool in sorted(self.registry.tools.items())]
+        said = F.concat_ws("\n", *lines)
+        return F.when(said == "", "").otherwise(F.concat(F.lit("\n\nTools:\n"), said))
 
     def apply(self, traces: DataFrame) -> DataFrame:
-        calls, text = F.coalesce(F.col("output.tool_calls"), F.array().cast(_CALLS)), F.col("output.text")
+        calls, text = F.coalesce(F.col("output.tool_calls"), F.array().cast(_CALLS)), resolve(self.text).text
         why = F.when(F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("")) == "", "no reply")
         told = F.when(F.size(calls) == 0, "No tool was called.").otherwise(F.array_join(F.transform(calls, lambda c: F.concat(F.coalesce(c["name"], F.lit("?")), F.lit("("), F.coalesce(F.to_json(F.try_parse_json(c["arguments"])), F.lit("{}")), F.lit(")"))), "\n"))
         rows = traces.withColumn("_why", why)
-        prompt = F.when(F.col("_why").isNull(), prompt_of(self.system, F.concat(F.lit("Reply:\n"), text, F.lit("\n\nCalls:\n"), told)))
+        prompt = F.when(F.col("_why").isNull(), prompt_of(self.system, F.concat(F.lit("Reply:\n"), text, F.lit("\n\nCalls:\n"), told, self.described(calls))))
         rows = judged(rows, self, prompt, F.lit(canonical(self.SCHEMA)), "consistency")
         ok = F.when(field_json("consistent") == "true", True).when(field_json("consistent") == "false", False)
         reason = F.coalesce(field_text("reason"), F.lit(""))
