@@ -297,3 +297,14 @@ def test_suite_keys():
     with pytest.raises(config.ConfigError) as failed:
         config.build_suite(bad)
     assert any("weight" in p for p in failed.value.problems) and any("lowr" in p and "lower" in p for p in failed.value.problems)
+
+
+def test_a_failing_check_costs_its_own_rows(spark):
+    rows = traces(spark, [trace("a", text="x"), trace("b", text="y")])
+    bad = LlmQuestion("bad", "{{ nothing }}", {}, JudgeConfig("mock", "m"))
+    done = suite.run_suite(rows, [ExactMatch("ok", "output.text", "output.text"), bad])
+    got = {(r["evaluator_id"], r["trace_id"]): r for r in done.collect()}
+    assert len(got) == 4 and got["ok", "a"]["passed"] is True and got["ok", "a"]["error"] is None
+    assert got["bad", "b"]["passed"] is None and got["bad", "b"]["error"].startswith("ValueError: ") and "nothing" in got["bad", "b"]["error"]
+    counts = {r["evaluator_id"]: (r["passed"], r["errored"]) for r in suite.summarize(done).collect()}
+    assert counts == {"ok": (2, 0), "bad": (0, 2)}

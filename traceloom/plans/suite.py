@@ -5,25 +5,39 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canon import version_of
-from ..operators.base import Check
+from ..operators.base import Check, results
 
 
 def suite_hash(name: str, checks: Sequence[Check]) -> str:
     return version_of([name, [[c.id, c.version_hash()] for c in checks]])
 
 
+def evaluated(check: Check, traces: DataFrame) -> DataFrame:
+    """The check's rows; if it can't be planned over these traces, an errored row for each.
+
+    A job that fails (lost storage, no memory) still fails the run: that says
+    nothing about the traces.
+    """
+    try:
+        return check.apply(traces)
+    except (AnalysisException, ArithmeticError, LookupError, TypeError, ValueError) as e:
+        said = (str(e).splitlines() or [""])[0]
+        return results(traces, check, error=F.lit(f"{type(e).__name__}: {said}"))
+
+
 def run_suite(traces: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """One result row per trace and check."""
+    """One result row per trace and check; a check that fails costs its own rows only."""
     ids = [c.id for c in checks]
     if len(set(ids)) < len(ids):
         raise ValueError("two checks share an id")
     if not checks:
         raise ValueError("a suite needs a check")
-    return reduce(DataFrame.unionByName, [c.apply(traces) for c in checks])
+    return reduce(DataFrame.unionByName, [evaluated(c, traces) for c in checks])
 
 
 def outcomes(results: DataFrame) -> DataFrame:
