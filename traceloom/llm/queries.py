@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neighbours, packing, quality, simhash, substrings, tokens, toxicity, urls, warc
+from . import decontaminate, neighbours, packing, quality, search, simhash, substrings, tokens, toxicity, urls, warc
 from .shared import read
 
 
@@ -58,6 +58,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"), url="url")
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1,
@@ -70,8 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8,
         "op9_substrings": op9,
         "op10_warc": op10,
+        "op13_search": op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urls.oracle_sql(), "op7_neighbours": neighbours.ORACLE, "op9_substrings": substrings.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op2_url_filter": urls.oracle_sql(), "op7_neighbours": neighbours.ORACLE, "op9_substrings": substrings.ORACLE, "op10_warc": warc.ORACLE, "op13_search": search.ORACLE}
