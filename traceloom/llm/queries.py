@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neighbours, packing, quality, search, simhash, substrings, tokens, toxicity, urls, warc
+from . import decontaminate, negatives, neighbours, packing, quality, search, simhash, substrings, tokens, toxicity, urls, warc
 from .shared import read
 
 
@@ -58,6 +58,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"), url="url")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), every=100, positives=5, top=10, low=30, high=90, label=label, scale=256)
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=10)
 
@@ -74,9 +79,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8,
         "op9_substrings": op9,
         "op10_warc": op10,
+        "op11_hard_negatives": op11,
         "op13_search": op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urls.oracle_sql(), "op7_neighbours": neighbours.ORACLE, "op9_substrings": substrings.ORACLE, "op10_warc": warc.ORACLE, "op13_search": search.ORACLE}
+    return {"op2_url_filter": urls.oracle_sql(), "op7_neighbours": neighbours.ORACLE, "op9_substrings": substrings.ORACLE, "op10_warc": warc.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op13_search": search.ORACLE}

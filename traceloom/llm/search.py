@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import discard, has, ship, staged, text_of, tidy
+from .shared import discard, has, over_cells, ship, staged, text_of, tidy
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -188,13 +188,6 @@ def _product(total: int, terms: int, top: int, form: T.StructType):
     return product
 
 
-def over_cells(rows: DataFrame, cells: int, name: str, step: int = 4096) -> DataFrame:
-    """Each row once for each cell, 0 to ``cells`` - 1; numbers are made in two steps, so that no long array is."""
-    at = F.col("__from")
-    rows = rows.withColumn("__from", F.explode(F.sequence(F.lit(0), F.lit(cells - 1), F.lit(step))))
-    return rows.withColumn(name, F.explode(F.sequence(at, F.least(at + (step - 1), F.lit(cells - 1))))).drop("__from")
-
-
 def rank(docs: DataFrame, items: DataFrame, top: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", once: bool = True, bits: int = 1 << 23, rows: int = 4096, entries: int = 400_000, item_block: int = 256) -> DataFrame:
     """(item_key, rank, key, score): each item's ``top`` documents, rank from 1.
 

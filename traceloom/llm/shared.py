@@ -43,3 +43,12 @@ def text_of(name: str = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def over_cells(rows: DataFrame, cells: int | Column, name: str, step: int = 4096) -> DataFrame:
+    """Each row once for each cell, 0 to ``cells`` - 1, as long; numbers are made in two steps, so that no long array is."""
+    last = (F.lit(cells) if isinstance(cells, int) else cells).cast("long") - 1
+    zero, by = F.lit(0).cast("long"), F.lit(step).cast("long")
+    rows = rows.withColumn("__last", last).withColumn("__from", F.explode(F.sequence(zero, F.col("__last"), by)))
+    each = F.sequence(F.col("__from"), F.least(F.col("__from") + (step - 1), F.col("__last")))
+    return rows.withColumn(name, F.explode(each)).drop("__from", "__last")
