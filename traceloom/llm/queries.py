@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, negatives, neighbours, packing, quality, search, simhash, substrings, tokens, toxicity, urls, warc
+from . import decontaminate, licenses, negatives, neighbours, packing, quality, search, simhash, substrings, tokens, toxicity, urls, warc
 from .shared import read
 
 
@@ -63,6 +63,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(read(spark, sf_dir, "embeddings"), every=100, positives=5, top=10, low=30, high=90, label=label, scale=256)
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=10)
 
@@ -80,9 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substrings": op9,
         "op10_warc": op10,
         "op11_hard_negatives": op11,
+        "op12_licenses": op12,
         "op13_search": op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urls.oracle_sql(), "op7_neighbours": neighbours.ORACLE, "op9_substrings": substrings.ORACLE, "op10_warc": warc.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op13_search": search.ORACLE}
+    return {"op2_url_filter": urls.oracle_sql(), "op7_neighbours": neighbours.ORACLE, "op9_substrings": substrings.ORACLE, "op10_warc": warc.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op12_licenses": licenses.oracle_sql(), "op13_search": search.ORACLE}
