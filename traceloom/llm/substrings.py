@@ -359,7 +359,9 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     some = staged(some.select("gram", "seg", "many", "at.*"), "segments")
     sizes = some.groupBy("gram").agg(F.sum(F.col("n") + length).cast("long").alias("size"))
     wanted = some.join(sizes, "gram").groupBy("a", "b").agg(F.collect_list(F.struct("gram", "seg", "many", "size", "start", "n")).alias("w"))
-    cut = rows.select("a", "b", "text").join(wanted, ["a", "b"]).select("text", "w").mapInArrow(tidy(_cut(length)), "gram long, seg long, many long, size long, bytes binary")
+    # rows that repeat key and text are cut once; dealt as the join needs them
+    texts = rows.groupBy("a", "b").agg(F.first("text").alias("text"))
+    cut = texts.join(wanted, ["a", "b"]).select("text", "w").mapInArrow(tidy(_cut(length)), "gram long, seg long, many long, size long, bytes binary")
     cut = staged(cut, "cut")
     by_array = _by_array(cut.where(F.col("size") <= bound), length)
     by_piece = _by_piece(cut.where(F.col("size") > bound).select("gram", "seg", "many", "bytes"), length, bound)
