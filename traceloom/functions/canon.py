@@ -31,7 +31,7 @@ def _canonical_text(text: str | None) -> str | None:
         return None
     try:
         return canonical(json.loads(text))
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -103,18 +103,21 @@ def divergence(want: object, got: object, extra: bool, at: str = "$") -> str | N
 
 
 def json_match(actual: Column, expected: Column, options: MatchOptions) -> Column:
-    """struct(passed, reason, prediction, truth) of two JSON texts."""
+    """struct(passed, reason, prediction, truth, error) of two JSON texts; a pair that can't be compared has an error, and costs its own row."""
 
-    @F.pandas_udf("passed boolean, reason string, prediction string, truth string")
+    @F.pandas_udf("passed boolean, reason string, prediction string, truth string, error string")
     def matched(got: pd.Series, want: pd.Series) -> pd.DataFrame:
         rows = []
         for g, w in zip(got, want):
             if g is None or w is None:
-                rows.append((None, None, None, None))
+                rows.append((None,) * 5)
                 continue
-            a, b = reduced(json.loads(g), options), reduced(json.loads(w), options)
-            d = divergence(b, a, options.allow_extra_arguments)
-            rows.append((d is None, d, canonical(a), canonical(b)))
-        return pd.DataFrame(rows, columns=["passed", "reason", "prediction", "truth"]).astype({"passed": "boolean"})
+            try:
+                a, b = reduced(json.loads(g), options), reduced(json.loads(w), options)
+                d = divergence(b, a, options.allow_extra_arguments)
+                rows.append((d is None, d, canonical(a), canonical(b), None))
+            except Exception as e:  # say, nested deeper than Python goes
+                rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["passed", "reason", "prediction", "truth", "error"]).astype({"passed": "boolean"})
 
     return matched(actual, expected)

@@ -8,13 +8,15 @@ are different answers), whether it is null, and its JSON and plain text.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import JSON_FIELDS, TRACE
+from ..schema import CALL, JSON_FIELDS, TRACE
+from .canon import canonical
 
 KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 INDEX = re.compile(r"-?[0-9]+\Z")
@@ -56,23 +58,55 @@ def nothing() -> Found:
     return Found(F.lit(False), F.lit(True), null, null)
 
 
-def _of_variant(v: Column) -> Found:
+def plain_number(text: Column) -> Column:
+    """A double's JSON text without an exponent where people would write none (from 0.0001 below 10^16)."""
+    size = F.abs(text.try_cast("double"))
+    digits = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?[0-9])0+$", "$1")
+    return F.when(text.contains("E") & (size >= 1e-4) & (size < 1e16), F.coalesce(digits, text)).otherwise(text)
+
+
+def _of_variant(v: Column, stored: Column) -> Found:
+    """``stored`` is the same value as JSON text: VARIANT drops the zero of 45.0, which the text keeps."""
     null = F.coalesce(F.is_variant_null(v), F.lit(True))
+    kind = F.schema_of_variant(v)
     plain = F.try_variant_get(v, "$", "string")
-    boolean = F.schema_of_variant(v) == "BOOLEAN"
-    return Found(v.isNotNull(), null, F.when(~null, F.to_json(v)).otherwise(F.when(v.isNotNull(), F.lit("null"))), F.when(boolean, F.initcap(plain)).when(~null, F.coalesce(plain, F.to_json(v))))
+    literal = F.coalesce(stored, F.to_json(v))
+    json = F.when(v.isNotNull() & null, F.lit("null")).when(kind == "STRING", F.to_json(v)).when(~null, literal)
+    return Found(v.isNotNull(), null, json, F.when(kind == "BOOLEAN", F.initcap(plain)).when(kind == "STRING", plain).when(~null, plain_number(literal)))
 
 
 def _in_json(text: Column, rest: list[str | int]) -> Found:
-    v = F.try_parse_json(text)
-    step = "$"
+    v, step, at = F.try_parse_json(text), "$", F.lit("$")
+    stored = lambda path: F.call_function("get_json_object", text, path)
     for seg in rest:
         if isinstance(seg, int) and seg < 0:
             v = F.try_element_at(F.try_variant_get(v, step, "array<variant>"), F.lit(seg))
-            step = "$"
+            step, at = "$", F.concat(at, F.lit("["), (F.json_array_length(stored(at)) + seg).cast("string"), F.lit("]"))
         else:
-            step += f"[{seg}]" if isinstance(seg, int) else f".{seg}"
-    return _of_variant(F.try_variant_get(v, step, "variant") if step != "$" else v)
+            part = f"[{seg}]" if isinstance(seg, int) else f".{seg}"
+            step, at = step + part, F.concat(at, F.lit(part))
+    return _of_variant(F.try_variant_get(v, step, "variant") if step != "$" else v, stored(at))
+
+
+def one_of(v: Column, values: Iterable) -> Column:
+    """Whether a VARIANT equals one of some plain values; numbers as numbers, and booleans are none."""
+    texts, numbers = comparable(values)
+    same = F.to_json(v).isin(texts)
+    return same | (F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & F.try_variant_get(v, "$", "double").isin(numbers)) if numbers else same
+
+
+def comparable(values: Iterable) -> tuple[list[str], list[float]]:
+    """(texts as VARIANT prints them, those that are numbers exact in doubles)."""
+
+    def printed(x: object) -> object:
+        if isinstance(x, dict):
+            return {k: printed(v) for k, v in x.items()}
+        if isinstance(x, (list, tuple)):
+            return [printed(v) for v in x]
+        return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 1e15 else x
+
+    values = list(values)
+    return [canonical(printed(x)) for x in values], [float(x) for x in values if isinstance(x, (int, float)) and not isinstance(x, bool) and abs(x) <= 2**53]
 
 
 def calls_json(calls: Column) -> Column:
@@ -130,3 +164,14 @@ def resolve(path: str, root: Column | None = None, schema: T.StructType | None =
         text = F.to_json(cur)
         return Found(present, cur.isNull(), text, text)
     return Found(present, cur.isNull(), F.to_json(cur.cast("variant")), cur.cast("string"))
+
+
+def calls_at(path: str) -> tuple[Column, Column]:
+    """(calls, why not applicable) at a path: recorded calls, or a JSON array of objects elsewhere in the trace."""
+    if split_path(path) == ["output", "tool_calls"]:
+        calls = F.col("output.tool_calls")
+        return calls, F.when(calls.isNull(), "no tool calls recorded").when(F.size(calls) == 0, "no tool calls")
+    found = resolve(path)
+    calls = F.from_json(F.when(found.json.startswith("["), found.json), f"array<{CALL}>")
+    why = F.when(found.missing, f"no value at {path}").when(found.is_null, "no tool calls recorded").when(calls.isNull(), f"no array of calls at {path}")
+    return calls, why.when(F.size(calls) == 0, "no tool calls")

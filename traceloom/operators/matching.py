@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canon import MatchOptions, json_match, version_of
 from ..functions.paths import resolve, split_path
 from ..functions.text import normalize
 from ..session import ship
-from .base import outcome, results
+from .base import Narrow, helper, outcome
 
 
 @dataclass(frozen=True)
-class ExactMatch:
+class ExactMatch(Narrow):
     id: str
     actual: str
     expected: str | None = None
@@ -26,13 +26,12 @@ class ExactMatch:
     def version_hash(self) -> str:
         return version_of(["exact_match", self.id, self.actual, self.expected, self.lower, self.strip, self.collapse_whitespace])
 
-    def apply(self, traces: DataFrame) -> DataFrame:
+    def columns(self, traces: DataFrame, tag: str) -> tuple[DataFrame, dict[str, Column]]:
         norm = lambda c: normalize(c, self.lower, self.strip, self.collapse_whitespace)
         got = resolve(self.actual)
         left = norm(got.text)
         if self.expected is None:
-            why = F.when(got.missing, f"no value at {self.actual}").otherwise("no expected path")
-            return results(traces, self, **outcome(F.lit(None).cast("boolean"), why))
+            return traces, outcome(F.lit(None).cast("boolean"), F.when(got.missing, f"no value at {self.actual}").otherwise("no expected path"))
         want = resolve(self.expected)
         right = norm(want.text)
         why = F.when(got.missing, f"no value at {self.actual}").when(want.missing, f"no value at {self.expected}")
@@ -40,11 +39,13 @@ class ExactMatch:
         cols = outcome(verdict, why)
         cols["explanation"] = F.coalesce(cols["explanation"], F.when(~verdict, F.concat(F.lit("expected '"), right, F.lit("', got '"), left, F.lit("'"))))
         quoted = lambda c: F.to_json(c.cast("variant"))
-        return results(traces, self, **cols, normalized_prediction=F.when(got.present, quoted(left)), ground_truth=F.when(got.present & want.present, quoted(right)))
+        cols["normalized_prediction"] = F.when(got.present, quoted(left))
+        cols["ground_truth"] = F.when(got.present & want.present, quoted(right))
+        return traces, cols
 
 
 @dataclass(frozen=True)
-class JsonMatch:
+class JsonMatch(Narrow):
     id: str
     actual: str
     expected: str | None = None
@@ -57,16 +58,20 @@ class JsonMatch:
     def version_hash(self) -> str:
         return version_of(["json_match", self.id, self.actual, self.expected, self.options.payload()])
 
-    def apply(self, traces: DataFrame) -> DataFrame:
+    def columns(self, traces: DataFrame, tag: str) -> tuple[DataFrame, dict[str, Column]]:
         got = resolve(self.actual)
         if self.expected is None:
-            why = F.when(got.missing, f"no value at {self.actual}").otherwise("no expected path")
-            return results(traces, self, **outcome(F.lit(None).cast("boolean"), why))
+            return traces, outcome(F.lit(None).cast("boolean"), F.when(got.missing, f"no value at {self.actual}").otherwise("no expected path"))
         want = resolve(self.expected)
         why = F.when(got.missing, f"no value at {self.actual}").when(want.missing, f"no value at {self.expected}")
         ship(traces.sparkSession)
         applies = got.present & want.present
-        m = traces.withColumn("_why", why).withColumn("_m", json_match(F.when(applies, F.coalesce(got.json, F.lit("null"))), F.when(applies, F.coalesce(want.json, F.lit("null"))), self.options))
-        cols = outcome(F.col("_m.passed"), F.col("_why"))
-        cols["explanation"] = F.coalesce(cols["explanation"], F.col("_m.reason"))
-        return results(m, self, **cols, normalized_prediction=F.coalesce(F.col("_m.prediction"), F.when(got.present, got.json)), ground_truth=F.col("_m.truth"))
+        at = helper(tag, "match")
+        rows = traces.withColumn(at, json_match(F.when(applies, F.coalesce(got.json, F.lit("null"))), F.when(applies, F.coalesce(want.json, F.lit("null"))), self.options))
+        m = F.col(at)
+        cols = outcome(m["passed"], why)
+        cols["explanation"] = F.coalesce(cols["explanation"], m["reason"])
+        cols["error"] = m["error"]
+        cols["normalized_prediction"] = F.coalesce(m["prediction"], F.when(got.present, got.json))
+        cols["ground_truth"] = m["truth"]
+        return rows, cols

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -52,6 +53,53 @@ def judge_metrics(results: DataFrame) -> DataFrame:
     return g.withColumn("kappa", F.try_divide(F.col("accuracy") - chance, 1 - chance))
 
 
+#: Poisson(1) as bounds of a 32-bit number: a weight is how many of these a row's number reaches.
+POISSON = tuple(math.floor(2**32 * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(9))
+
+
+def bootstrap(results: DataFrame, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(evaluator_id, n, pass_rate, pass_rate_low, pass_rate_high, kappa, kappa_low, kappa_high).
+
+    A Poisson bootstrap: in each resample a row counts as often as a hash of its
+    trace, the resample and the seed says, so results are the same wherever rows
+    lie and whatever order they have.  All resamples are one aggregate, which is
+    partial ahead of the shuffle: a task sends a row a check and resample.
+    ``n`` are the decided rows; kappa is over boolean answers with boolean truth.
+    Bounds are order statistics of the resamples in which the measure exists.
+    """
+    if resamples < 2 or not 0 < level < 1:
+        raise ValueError("a bootstrap needs two resamples and a level between 0 and 1")
+    p, t = F.col("normalized_prediction"), F.col("ground_truth")
+    usable = F.col("error").isNull() & ~F.coalesce(F.col("invalid_output"), F.lit(False))
+    judged = usable & p.isin("true", "false") & t.isin("true", "false")
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    rows = results.select(
+        "trace_id", "evaluator_id", one(usable & F.col("passed")).alias("yes"), one(usable & F.col("passed").isNotNull()).alias("decided"),
+        *[one(judged & (p == a) & (t == b)).alias(n) for n, a, b in (("tp", "true", "true"), ("fp", "true", "false"), ("fn", "false", "true"), ("tn", "false", "false"))],
+    ).where("decided + tp + fp + fn + tn > 0")
+    # resample -1 is the rows as they are; one hash serves four resamples
+    each = rows.withColumn("r", F.explode(F.sequence(F.lit(-1), F.lit(resamples - 1))))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "trace_id", F.floor(F.col("r") / 4).cast("string")))
+    number = F.conv(F.substr(digest, F.lit(1) + 8 * F.pmod("r", F.lit(4)), F.lit(8)), 16, 10).cast("bigint")
+    weight = sum(((number >= bound).cast("bigint") for bound in POISSON[1:]), (number >= POISSON[0]).cast("bigint"))
+    each = each.withColumn("w", F.when(F.col("r") < 0, F.lit(1)).otherwise(weight))
+    g = each.groupBy("evaluator_id", "r").agg(*[F.sum(F.col("w") * F.col(c)).cast("double").alias(c) for c in ("yes", "decided", "tp", "fp", "fn", "tn")])
+    total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    agreed = F.try_divide(F.col("tp") + F.col("tn"), total)
+    chance = F.try_divide((F.col("tp") + F.col("fp")) * (F.col("tp") + F.col("fn")) + (F.col("fn") + F.col("tn")) * (F.col("fp") + F.col("tn")), total * total)
+    g = g.select("evaluator_id", "r", "decided", F.try_divide("yes", "decided").alias("pass_rate"), F.try_divide(agreed - chance, 1 - chance).alias("kappa"))
+    whole = F.col("r") < 0
+    out = g.groupBy("evaluator_id").agg(
+        F.max(F.when(whole, F.col("decided"))).cast("bigint").alias("n"),
+        *[f for m in ("pass_rate", "kappa") for f in (F.max(F.when(whole, F.col(m))).alias(m), F.array_sort(F.collect_list(F.when(~whole, F.col(m)))).alias(f"{m}_all"))],
+    )
+    bounds = []
+    for m in ("pass_rate", "kappa"):
+        last, values = F.size(f"{m}_all") - 1, F.col(f"{m}_all")
+        bounds += [m, F.get(values, F.floor(last * ((1 - level) / 2)).cast("int")).alias(f"{m}_low"), F.get(values, F.ceil(last * ((1 + level) / 2)).cast("int")).alias(f"{m}_high")]
+    return out.select("evaluator_id", "n", *bounds)
+
+
 def latency(results: DataFrame) -> DataFrame:
     return results.groupBy("evaluator_id").agg(F.percentile_approx("latency_ms", F.array(F.lit(0.5), F.lit(0.95))).alias("q")).select("evaluator_id", F.col("q")[0].alias("p50_ms"), F.col("q")[1].alias("p95_ms"))
 

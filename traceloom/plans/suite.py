@@ -6,17 +6,24 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canon import version_of
-from ..operators.base import Check, results
+from ..operators.base import Check, Narrow, results, row
 
 
 def suite_hash(name: str, checks: Sequence[Check]) -> str:
     return version_of([name, [[c.id, c.version_hash()] for c in checks]])
 
 
+PLANNED = (AnalysisException, ArithmeticError, LookupError, TypeError, ValueError)
+
+
+def failed_to_plan(e: Exception) -> Column:
+    return F.lit(f"{type(e).__name__}: {(str(e).splitlines() or [''])[0]}")
+
+
 def evaluated(check: Check, traces: DataFrame) -> DataFrame:
     """The check's rows; if it can't be planned over these traces, an errored row for each.
 
@@ -25,19 +32,39 @@ def evaluated(check: Check, traces: DataFrame) -> DataFrame:
     """
     try:
         return check.apply(traces)
-    except (AnalysisException, ArithmeticError, LookupError, TypeError, ValueError) as e:
-        said = (str(e).splitlines() or [""])[0]
-        return results(traces, check, error=F.lit(f"{type(e).__name__}: {said}"))
+    except PLANNED as e:
+        return results(traces, check, error=failed_to_plan(e))
+
+
+def narrow_rows(traces: DataFrame, checks: Sequence[Narrow]) -> DataFrame:
+    """The rows of checks that are projections: one pass over the traces, one array of results a trace."""
+    rows, found = traces, []
+    for n, check in enumerate(checks):
+        try:
+            more, columns = check.columns(rows, str(n))
+            one = F.struct(*row(check, **columns))
+            more.select(one)  # analysed here, so that what can't be planned costs this check alone
+            rows = more
+        except PLANNED as e:
+            one = F.struct(*row(check, error=failed_to_plan(e)))
+        found.append(one)
+    return rows.select(F.inline(F.array(*found)))
 
 
 def run_suite(traces: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """One result row per trace and check; a check that fails costs its own rows only."""
+    """One result row per trace and check; a check that fails costs its own rows only.
+
+    All checks that are projections share one pass; each of the others, which
+    ask a judge, is a plan of its own.
+    """
     ids = [c.id for c in checks]
     if len(set(ids)) < len(ids):
         raise ValueError("two checks share an id")
     if not checks:
         raise ValueError("a suite needs a check")
-    return reduce(DataFrame.unionByName, [evaluated(c, traces) for c in checks])
+    narrow = [c for c in checks if isinstance(c, Narrow)]
+    parts = [narrow_rows(traces, narrow)] if narrow else []
+    return reduce(DataFrame.unionByName, parts + [evaluated(c, traces) for c in checks if not isinstance(c, Narrow)])
 
 
 def outcomes(results: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from .functions.canon import MatchOptions, canonical_json, content_hash
 from .functions.paths import resolve
 from .operators.judge import JudgeConfig
 from .operators.judged import LlmQuestion, TextMatchesTools, ToolSelection
+from .operators.extensions import JsonSchema, PythonCheck
 from .operators.matching import ExactMatch, JsonMatch
 from .operators.tool_calls import ToolCallOutcome, ToolRegistryCheck
-from .plans import feedback, report, suite
+from .plans import feedback, governance, near, promotion, report, splits, suite
 from .sources import store
 from .streaming import evaluate
 
@@ -224,6 +225,74 @@ def registry_number_text(spark, sf):
     return verdicts(ToolRegistryCheck("registry", _small_registry()).apply(t))
 
 
+@query(_BY_EVENT.format(p="event_id % 3 <> 0"))
+def json_match_truth_number_text(spark, sf):
+    """45.0 in the truth is 45.0 in the call, and not 45, also under coerce_types."""
+    t = _event_traces(spark, sf, lambda i: [("f", F.concat(F.lit('{"x":'), i, F.lit(".0,\"y\":[1,2.50]}")))], lambda i: F.concat(F.lit('{"calls":[{"name":"f","arguments":{"y":[1,2.5],"x":'), i, F.when(i % 3 == 0, "").otherwise(".0"), F.lit("}}]}")))
+    return verdicts(JsonMatch("calls", "output.tool_calls", "ground_truth.calls", MatchOptions(coerce_types=True)).apply(t))
+
+
+@query(_BY_EVENT.format(p="event_id % 3 <> 0"))
+def registry_swapped_numbers(spark, sf):
+    """{a:5, b:5.0} and {a:5.0, b:5} are different calls, whatever order their keys have."""
+    other = lambda i: F.when(i % 3 == 0, '{"b":5.0,"c.d":5}').when(i % 3 == 1, '{"b":5,"c.d":5.0}').otherwise('{"c.d":5,"b":"5.0"}')
+    t = _event_traces(spark, sf, lambda i: [("pay", F.lit('{"c.d":5,"b":5.0}')), ("pay", other(i))])
+    return verdicts(ToolRegistryCheck("registry", _small_registry()).apply(t))
+
+
+def _many_tools():
+    from .registry import Registry
+
+    argument = lambda n: {"rate": {"type": "number", "required": True, "enum": [n, 0.5]}, "label": {"type": "string"}}
+    return Registry.of({"tools": {f"tool_{n}": {"description": f"Tool {n}.", "side_effecting": False, "arguments": argument(float(n))} for n in range(500)}, "nodes": {f"node_{n}": {"tools": [f"tool_{n}", f"tool_{(n + 1) % 500}"]} for n in range(500)}})
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS trace_id, CASE WHEN event_id % 600 >= 500 THEN 'unregistered_tool' WHEN event_id % 5 = 1 THEN 'not_permitted_at_node' WHEN event_id % 5 = 2 THEN 'unknown_node' WHEN event_id % 5 = 3 THEN 'invalid_arguments' END AS code FROM events""")
+def registry_of_500_tools(spark, sf):
+    """Enums of numbers hold whole ones as numbers: tool 7 takes 7 and 7.0, or 0.5."""
+    i, n = F.col("event_id"), F.col("event_id") % 600
+    rate = F.when(i % 5 == 3, F.concat((n + 1).cast("string"), F.lit(".5"))).when(i % 2 == 0, n.cast("string")).when(i % 3 == 0, "0.50").otherwise(F.concat(n.cast("string"), F.lit(".0")))
+    node = F.when(i % 5 == 1, F.concat(F.lit("node_"), (n + 2) % 500)).when(i % 5 == 2, "nowhere").otherwise(F.concat(F.lit("node_"), (n + i % 2 * 499) % 500))
+    call = F.struct(F.concat(F.lit("tool_"), n).alias("name"), F.concat(F.lit('{"rate":'), rate, F.lit("}")).alias("arguments"), F.lit(None).cast("string").alias("call_id"), node.alias("node"), F.lit(None).cast("string").alias("result"), F.lit(None).cast("string").alias("error"))
+    output = F.struct(F.lit(None).cast("string").alias("text"), F.array(call).alias("tool_calls"))
+    traces = spark.read.parquet(f"{sf}/events.parquet").select(i.cast("string").alias("trace_id"), output.alias("output"))
+    found = F.from_json("raw_output", "violations array<struct<code:string>>")["violations"]
+    return ToolRegistryCheck("registry", _many_tools()).apply(traces).select("trace_id", F.array_join(F.transform(found, lambda x: x["code"]), ",").alias("code"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS trace_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN value > 40 THEN true ELSE false END AS passed, event_id % 7 = 0 AS errored FROM events")
+def errors_cost_their_rows(spark, sf):
+    """A function that raises for some traces makes errored rows of these alone."""
+
+    def cheap(value, nth):
+        if nth % 7 == 0:
+            raise KeyError("no price")
+        return value > 40
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    truth = F.concat(F.lit('{"value":'), F.col("value").cast("string"), F.lit(',"nth":'), F.col("event_id"), F.lit("}"))
+    traces = e.select(F.col("event_id").cast("string").alias("trace_id"), truth.alias("ground_truth"))
+    done = suite.run_suite(traces, [PythonCheck("price", cheap, {"value": "ground_truth.value", "nth": "ground_truth.nth"})])
+    return done.select("trace_id", "passed", F.col("error").isNotNull().alias("errored"))
+
+
+_PROPS_SCHEMA = {"type": "object", "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 80}, "list": {"type": "array", "items": {"type": ["integer", "null"], "exclusiveMaximum": 3}, "maxItems": 3}, "kind": {"enum": ["click", "view", 1.0]}}, "required": ["k"], "additionalProperties": False}
+
+
+@query("""WITH e AS (SELECT event_id, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS BIGINT) AS k, event_type FROM events)
+SELECT CAST(event_id AS VARCHAR) AS trace_id, event_id % 11 <> 0 AND k BETWEEN 10 AND 80 AND event_id % 5 <> 4 AND event_id % 13 <> 0 AND (event_type IN ('click', 'view') OR event_id % 3 = 0) AS passed FROM e""")
+def json_schema_verdicts(spark, sf):
+    """Bounds, items, enums and undeclared keys of a schema over free-form values."""
+    i = F.col("event_id")
+    k = F.regexp_extract("props", r"(-?[0-9]+)", 1)
+    body = F.concat(
+        F.lit("{"), F.when(i % 11 == 0, "").otherwise(F.concat(F.lit('"k":'), k, F.when(i % 2 == 0, ".0").otherwise(""), F.lit(","))), F.lit('"list":[1,null'), F.when(i % 5 == 4, ",3").otherwise(",-2"), F.lit('],"kind":'),
+        F.when(i % 3 == 0, "1").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"'))), F.when(i % 13 == 0, ',"more":{}').otherwise(""), F.lit("}"),
+    )
+    traces = spark.read.parquet(f"{sf}/events.parquet").select(i.cast("string").alias("trace_id"), F.concat(F.lit('{"o":'), body, F.lit("}")).alias("ground_truth"))
+    return JsonSchema("shape", "ground_truth.o", schema=_PROPS_SCHEMA).apply(traces).select("trace_id", "passed")
+
+
 # judged checks, with the mock judge
 
 
@@ -457,6 +526,127 @@ def latest_of_each(spark, sf):
     return c.groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), "turn").alias("m")).select("conv_id", "m.role", "m.text")
 
 
+# splits, intervals and gates
+
+
+_SAID = """said AS (SELECT trace_id, list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s
+  FROM (SELECT trace_id, regexp_extract_all(lower(coalesce(user_request, '')), '[^\\s\\p{P}\\p{S}]+') AS w FROM chats) WHERE len(w) > 0)"""
+
+_NEAR = f"""WITH RECURSIVE{d.CHATS_SQL}, {_SAID},
+each_ AS (SELECT trace_id, len(s) AS n, unnest(s) AS x FROM said),
+links AS (SELECT a.trace_id AS a, b.trace_id AS b FROM each_ a JOIN each_ b ON a.x = b.x AND a.trace_id <> b.trace_id GROUP BY a.trace_id, b.trace_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+groups AS (SELECT trace_id, least(trace_id, coalesce(min(b), trace_id)) AS "group" FROM chats LEFT JOIN reach ON a = trace_id GROUP BY trace_id)"""
+
+
+def _requests(spark, sf) -> DataFrame:
+    return d.chats(spark, sf).select("trace_id", F.col("input.user_request").alias("request"))
+
+
+@query(f"""{_NEAR} SELECT trace_id, "group" FROM groups""")
+def near_duplicate_requests(spark, sf):
+    """Requests that share four fifths of their five-word shingles, over any number of steps."""
+    return near.near_groups(_requests(spark, sf), "trace_id", "request")
+
+
+@query(f"""{_NEAR}, r AS (SELECT trace_id, row_number() OVER (ORDER BY md5('42|' || trace_id), trace_id) - 1 AS k, count(*) OVER () AS n FROM chats),
+s AS (SELECT trace_id, CASE WHEN k < floor(n * 0.7 + 0.5) THEN 'train' WHEN k < floor(n * 0.85 + 0.5) THEN 'dev' ELSE 'test' END AS split FROM r)
+SELECT g.trace_id, s.split FROM groups g JOIN s ON s.trace_id = g."group" """)
+def guarded_split(spark, sf):
+    """Exact shares, then near copies to the split of their group's first trace."""
+    rows = _requests(spark, sf).withColumn("one", F.lit(1))
+    return splits.assign(rows, splits.Splits("stratified_by_field", "one", guard="request"))
+
+
+@query("""WITH r AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS k, count(*) OVER () AS n FROM events)
+SELECT CAST(event_id AS VARCHAR) AS trace_id, CASE WHEN k < floor(n * 0.7 + 0.5) THEN 'train' WHEN k < floor(n * 0.85 + 0.5) THEN 'dev' ELSE 'test' END AS split FROM r""")
+def split_by_time(spark, sf):
+    """The newest 15 per cent are the test split."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
+    return splits.assign(e, splits.Splits("by_time", "ts"), key="event_id").select(F.col("event_id").cast("string").alias("trace_id"), "split")
+
+
+@query("""WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, CASE WHEN k < floor(n * 0.5 + 0.5) THEN 'train' ELSE 'test' END AS split, count(*) AS rows, min(event_id) AS first FROM r GROUP BY 1, 2""")
+def split_by_strata(spark, sf):
+    """Half of each kind of event, exactly."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type")
+    assigned = splits.assign(e, splits.Splits("stratified_by_field", "event_type", {"train": 0.5, "test": 0.5}), key="event_id")
+    return e.join(assigned, "event_id").groupBy("event_type", "split").agg(F.count("*").alias("rows"), F.min("event_id").alias("first"))
+
+
+def _runs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two runs of two checks over events, and the events' slices."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    i = F.col("event_id")
+    null = lambda t: F.lit(None).cast(t)
+
+    def run(shift: int) -> DataFrame:
+        high = (F.col("value") > 40 - shift) & (i % 29 != shift % 29)
+        check = lambda name, passed: F.struct(F.lit(name).alias("evaluator_id"), passed.alias("passed"), F.when(passed, "true").otherwise("false").alias("normalized_prediction"))
+        both = F.array(check("high", F.when(i % 17 != 0, high)), check("even", i % 2 == 0))
+        return e.select(i.cast("string").alias("trace_id"), "value", F.inline(both)).select(
+            "trace_id", "evaluator_id", "passed", "normalized_prediction", F.when(F.col("value") > 45, "true").otherwise("false").alias("ground_truth"), (F.col("trace_id").cast("bigint") % 50 == shift).alias("invalid_output"),
+            null("string").alias("error"), (F.lit(0.001) * (1 + shift)).alias("cost_usd"), (F.col("trace_id").cast("bigint") % 100).alias("latency_ms"),
+        )
+
+    return run(0), run(3), e.select(i.cast("string").alias("trace_id"), "event_type", (F.col("user_id") % 3).alias("tier"))
+
+
+_RUNS = """WITH e AS (SELECT CAST(event_id AS VARCHAR) AS trace_id, event_id AS i, value, event_type, user_id % 3 AS tier FROM events),
+pairs AS (SELECT trace_id, event_type, tier, 'high' AS evaluator_id, CASE WHEN i % 17 <> 0 THEN value > 40 AND i % 29 <> 0 END AS b, CASE WHEN i % 17 <> 0 THEN value > 37 AND i % 29 <> 3 END AS c FROM e
+  UNION ALL SELECT trace_id, event_type, tier, 'even', i % 2 = 0, i % 2 = 0 FROM e)"""
+
+
+@query(f"""{_RUNS}, g AS (SELECT evaluator_id, event_type, tier, grouping(event_type) AS g1, grouping(tier) AS g2, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS decided,
+    avg(CASE WHEN c IS NOT NULL THEN b::INT END) AS base_rate, avg(CASE WHEN b IS NOT NULL THEN c::INT END) AS candidate_rate, count(*) FILTER (b AND NOT c) AS regressed, count(*) FILTER (NOT b AND c) AS improved
+    FROM pairs GROUP BY GROUPING SETS ((evaluator_id), (evaluator_id, event_type), (evaluator_id, tier), (evaluator_id, event_type, tier)))
+SELECT evaluator_id, concat_ws(',', CASE WHEN g1 = 0 THEN 'event_type' END, CASE WHEN g2 = 0 THEN 'tier' END) AS fields,
+'{{' || concat_ws(',', CASE WHEN g1 = 0 THEN '"event_type":"' || event_type || '"' END, CASE WHEN g2 = 0 THEN '"tier":"' || tier || '"' END) || '}}' AS slice, decided, round(base_rate, 9) AS base_rate, round(candidate_rate, 9) AS candidate_rate, regressed, improved,
+round(least(1.0, 2 * list_sum(list_transform(range(least(regressed, improved) + 1), lambda k: exp(lgamma(regressed + improved + 1) - lgamma(k + 1) - lgamma(regressed + improved - k + 1) - (regressed + improved) * ln(2))))), 9) AS p_value FROM g""")
+def run_comparison(spark, sf):
+    """Two runs over all traces, by each of two slice columns, and by both, with the exact paired test."""
+    base, candidate, slices = _runs(spark, sf)
+    rounded = lambda c: F.round(c, 9).alias(c)
+    found = promotion.compare(base, candidate, slices, [(), ("event_type",), ("tier",), ("event_type", "tier")])
+    return found.select("evaluator_id", "fields", "slice", "decided", rounded("base_rate"), rounded("candidate_rate"), "regressed", "improved", rounded("p_value"))
+
+
+_GATE = {"all": [{"metric": "high", "baseline_delta": 0.01}, {"metric": "even", "absolute": 0.5, "op": "<="}, {"metric": "cost_per_trace", "op": "<=", "baseline_factor": 5}], "any": [{"metric": "high", "baseline_delta": 0.0, "significant": True}, {"metric": "nothing", "absolute": 0.0}], "slices": [{"field": "event_type", "min_n": 10, "tolerance": 0.0}]}
+
+
+@query(f"""{_RUNS}, w AS (SELECT evaluator_id, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS decided, avg(CASE WHEN c IS NOT NULL THEN b::INT END) AS base, avg(CASE WHEN b IS NOT NULL THEN c::INT END) AS candidate, count(*) FILTER (b AND NOT c) AS r, count(*) FILTER (NOT b AND c) AS m FROM pairs GROUP BY 1),
+p AS (SELECT *, least(1.0, 2 * list_sum(list_transform(range(least(r, m) + 1), lambda k: exp(lgamma(r + m + 1) - lgamma(k + 1) - lgamma(r + m - k + 1) - (r + m) * ln(2))))) AS p FROM w),
+s AS (SELECT evaluator_id, event_type, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS decided, avg(CASE WHEN c IS NOT NULL THEN b::INT END) AS base, avg(CASE WHEN b IS NOT NULL THEN c::INT END) AS candidate FROM pairs GROUP BY 1, 2)
+SELECT 'all' AS part, 'high >= base + 0.01' AS rule, evaluator_id, '{{}}' AS slice, CASE WHEN candidate >= base + 0.01 - 1e-12 THEN 'pass' ELSE 'fail' END AS verdict FROM p WHERE evaluator_id = 'high'
+UNION ALL SELECT 'all', 'even <= 0.5', evaluator_id, '{{}}', CASE WHEN candidate <= 0.5 + 1e-12 THEN 'pass' ELSE 'fail' END FROM p WHERE evaluator_id = 'even'
+UNION ALL SELECT 'all', 'cost_per_trace <= base * 5', 'cost_per_trace', '{{}}', 'pass'
+UNION ALL SELECT 'any', 'high >= base + 0', evaluator_id, '{{}}', CASE WHEN candidate >= base - 1e-12 AND p < 0.05 AND m > r THEN 'pass' ELSE 'fail' END FROM p WHERE evaluator_id = 'high'
+UNION ALL SELECT 'any', 'nothing >= 0', 'nothing', '{{}}', 'fail'
+UNION ALL SELECT 'slices', 'no regression by event_type', evaluator_id, '{{"event_type":"' || event_type || '"}}', CASE WHEN decided < 10 THEN 'insufficient' WHEN candidate >= base - 1e-12 THEN 'pass' ELSE 'fail' END FROM s""")
+def promotion_gate(spark, sf):
+    """Conditions on checks and on whole runs, and a rule for slices, as a promotion file has them."""
+    base, candidate, slices = _runs(spark, sf)
+    return promotion.gate(promotion.Promotion.of(_GATE), base, candidate, slices).select("part", "rule", "evaluator_id", "slice", "verdict")
+
+
+_WEIGHT = " + ".join(f"(u >= {b})::INT" for b in governance.POISSON)
+
+
+@query(f"""WITH x AS (SELECT CAST(event_id AS VARCHAR) AS trace_id, event_id AS i, value > 45 AS truth, event_id % 17 <> 0 AS has, value > 40 AND event_id % 29 <> 0 AS high FROM events WHERE event_id % 50 <> 0),
+cells AS (SELECT trace_id, 'high' AS evaluator_id, coalesce(CASE WHEN has THEN high END, false)::INT AS yes, has::INT AS decided, coalesce(CASE WHEN has THEN high END, false) AS says, truth FROM x UNION ALL SELECT trace_id, 'even', (i % 2 = 0)::INT, 1, i % 2 = 0, truth FROM x),
+u AS (SELECT *, ('0x' || substr(md5('0|' || trace_id || '|' || (r // 4)), 1 + 8 * (r % 4), 8))::BIGINT AS u FROM (SELECT *, unnest(range(40)) AS r FROM cells)),
+w AS (SELECT evaluator_id, r, {_WEIGHT} AS w, yes, decided, says, truth FROM u UNION ALL SELECT evaluator_id, -1, 1, yes, decided, says, truth FROM cells),
+g AS (SELECT evaluator_id, r, sum(w * yes)::DOUBLE AS yes, sum(w * decided)::DOUBLE AS decided, sum(w * (says AND truth)::INT)::DOUBLE AS tp, sum(w * (says AND NOT truth)::INT)::DOUBLE AS fp, sum(w * (NOT says AND truth)::INT)::DOUBLE AS fn, sum(w * (NOT says AND NOT truth)::INT)::DOUBLE AS tn FROM w GROUP BY 1, 2),
+k AS (SELECT *, yes / decided AS rate, (tp + tn) / (tp + fp + fn + tn) AS agreed, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / ((tp + fp + fn + tn) * (tp + fp + fn + tn)) AS chance FROM g),
+m AS (SELECT evaluator_id, r, decided, rate, (agreed - chance) / (1 - chance) AS kappa FROM k),
+l AS (SELECT evaluator_id, max(CASE WHEN r < 0 THEN decided END)::BIGINT AS n, max(CASE WHEN r < 0 THEN rate END) AS pass_rate, max(CASE WHEN r < 0 THEN kappa END) AS kappa, list_sort(list(rate) FILTER (r >= 0)) AS rates, list_sort(list(kappa) FILTER (r >= 0)) AS kappas FROM m GROUP BY 1)
+SELECT evaluator_id, n, pass_rate, rates[1 + 0] AS pass_rate_low, rates[1 + 39] AS pass_rate_high, kappa, kappas[1 + 0] AS kappa_low, kappas[1 + 39] AS kappa_high FROM l""")
+def judge_intervals(spark, sf):
+    """Pass rate and kappa with bounds over 40 resamples."""
+    return governance.bootstrap(_runs(spark, sf)[0], resamples=40)
+
+
 # streaming
 
 
