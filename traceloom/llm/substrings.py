@@ -16,10 +16,12 @@ count; strings are judged on the input.
    bytes, compared byte by byte, are repeated strings.
 4. A gram with more than ``bound`` bytes of distinct segments, which no task need
    hold, is split.  Equal strings hold their gram at the same place, so segments
-   are cut into pieces of ``BLOCK`` such places; all strings of a piece share its
+   are cut into pieces of a few such places; all strings of a piece share its
    core, and equal strings lie in pieces of equal cores.  A piece that stands in
    several segments repeats whole; the distinct pieces of a core go through suffix
-   arrays, or, over the bound again, string by string.
+   arrays.  Those of a core over the bound again are cut into smaller pieces, whose
+   cores are longer and so shared by fewer (``BLOCKS``), and only what is over the
+   bound after the last cut goes string by string.
 5. Each document gets its repeated starts back, and loses the bytes they cover.
 
 Null text is empty.  Rows are told apart by key and text, so repeated rows are
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,8 @@ GRAM = 32
 PART, PLACE = 900_000, 20
 #: Symbols that go through one call of suffix_arrays.
 TOGETHER = 2_000_000
-#: Places of a gram that a piece of a segment covers.
-BLOCK = 24
+#: Places of a gram that a piece of a segment covers, cut after cut.
+BLOCKS = (24, 6)
 _CODE = np.random.default_rng(1729).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << PLACE) - 1)
@@ -144,22 +147,31 @@ def _cut(length: int) -> Callable:
     return made
 
 
-def pieces_of(segments: list[bytes], length: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(segment, block, first start, starts, start and end of the core) of each piece of the segments of runs."""
+def places_of(segments: list[bytes], length: int) -> list[int]:
+    """Where the least gram of each segment's first string stands."""
     width = length - GRAM + 1
     heads = gram_hashes(np.frombuffer(b"".join(s[:length] for s in segments), np.uint8)) >> np.uint64(PLACE)
     heads = np.r_[heads, np.zeros(GRAM - 1, np.uint64)].reshape(len(segments), length)[:, :width]
-    out = []
-    for j, (s, at) in enumerate(zip(segments, heads.argmin(1).tolist())):
+    return heads.argmin(1).tolist()
+
+
+def pieces_of(segments: list[bytes], places: list[int], length: int, size: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(segment, block, first start, starts, its place, start and end of the core) of each piece; a segment's strings share the gram at ``places``."""
+    out, width = [], length - GRAM + 1
+    for j, (s, at) in enumerate(zip(segments, places)):
         last = at - (len(s) - length)  # the gram's place in the segment's last string
-        for block in range(last // BLOCK, at // BLOCK + 1):
-            lo, hi = block * BLOCK, min((block + 1) * BLOCK, width) - 1
+        for block in range(last // size, at // size + 1):
+            lo, hi = block * size, min((block + 1) * size, width) - 1
             first = at - min(hi, at)
-            out.append((j, block, first, at - max(lo, last) - first + 1, at - lo, at - hi + length))
+            out.append((j, block, first, at - max(lo, last) - first + 1, at - first, at - lo, at - hi + length))
     return out
 
 
-def _pieces(length: int) -> Callable:
+PIECE = "gram long, seg long, many long, core long, piece long, s int, n int, place int, bytes binary"
+
+
+def _pieces(length: int, size: int) -> Callable:
+    """Pieces of segments (gram, seg, many, place, bytes); a null place is looked for."""
     import xxhash
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +179,16 @@ def _pieces(length: int) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
-                segments = part.column(3).to_pylist()
-                found = pieces_of(segments, length)
-                j, _, s, n, _, _ = (np.array(c, np.int64) for c in zip(*found))
-                cut = [segments[x][a : a + m + length - 1] for x, _, a, m, _, _ in found]
-                core = np.array([digest(segments[x][a:e], seed=block) for x, block, _, _, a, e in found], np.uint64).view(np.int64)
+                segments, places = part.column(4).to_pylist(), part.column(3).to_pylist()
+                if None in places:
+                    places = places_of(segments, length)
+                found = pieces_of(segments, places, length, size)
+                j, _, s, n, place, _, _ = (np.array(c, np.int64) for c in zip(*found))
+                cut = [segments[x][a : a + m + length - 1] for x, _, a, m, _, _, _ in found]
+                core = np.array([digest(segments[x][a:e], seed=block) for x, block, _, _, _, a, e in found], np.uint64).view(np.int64)
                 piece = np.array([digest(c) for c in cut], np.uint64).view(np.int64)
-                cols = [*(part.column(i).take(pa.array(j)) for i in range(3)), core, piece, s.astype(np.int32), n.astype(np.int32), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "seg", "many", "core", "piece", "s", "n", "bytes"])
+                cols = [*(part.column(i).take(pa.array(j)) for i in range(3)), core, piece, s.astype(np.int32), n.astype(np.int32), place.astype(np.int32), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "seg", "many", "core", "piece", "s", "n", "place", "bytes"])
 
     return made
 
@@ -316,27 +330,36 @@ def _whole(n: str) -> Column:
     return F.array(F.struct(F.lit(0).alias("s"), F.col(n).alias("e")))
 
 
-def _by_piece(big: DataFrame, length: int, bound: int) -> DataFrame:
-    """(gram, seg, spans) of the segments of large grams that occur once, piece by piece."""
-    pieces = staged(big.mapInArrow(tidy(_pieces(length)), "gram long, seg long, many long, core long, piece long, s int, n int, bytes binary"), "pieces")
-    kinds = staged(pieces.groupBy("core", "piece").agg(F.sum("many").alias("many"), F.min("n").alias("n"), F.min("bytes").alias("bytes")), "kinds")
+def _by_piece(big: DataFrame, length: int, bound: int, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+    """(gram, seg, spans) of the segments (gram, seg, many, place, bytes) of large grams that occur once, piece by piece."""
+    pieces = staged(big.select("gram", "seg", "many", "place", "bytes").mapInArrow(tidy(_pieces(length, blocks[0])), PIECE), "pieces")
+    # equal pieces have their gram at one place
+    kinds = staged(pieces.groupBy("core", "piece").agg(F.sum("many").alias("many"), F.min("n").alias("n"), F.min("place").alias("place"), F.min("bytes").alias("bytes")), "kinds")
     sizes = staged(kinds.groupBy("core").agg(F.sum(F.length("bytes")).alias("size"), F.count("*").alias("c")).where("c > 1").drop("c"), "sizes")
     sized = kinds.join(sizes, "core")
-    by_array = _by_array(sized.where(F.col("size") <= bound).select("size", F.col("core").alias("gram"), F.col("piece").alias("seg"), "bytes"), length).select(F.col("gram").alias("core"), F.col("seg").alias("piece"), "spans")
-    # cores with more: each string by itself
-    each = F.expr(f"transform(sequence(1, length(bytes) - {length - 1}), i -> xxhash64(substring(bytes, i, {length})))")
-    strings = sized.where(F.col("size") > bound).select("core", "piece", "many", F.posexplode(each).alias("s", "h"))
-    again = staged(strings.groupBy("core", "h").agg(F.count("*").alias("k")).where("k > 1").select("core", "h"), "again")
-    hit = strings.where("many = 1").join(again, ["core", "h"]).groupBy("core", "piece").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    by_string = hit.select("core", "piece", F.transform("s", lambda i: F.struct(i.alias("s"), (i + 1).alias("e"))).alias("spans"))
-    # a piece that occurs more than once repeats all its strings
+    of_core = {"gram": "core", "seg": "piece"}
+    by_array = _by_array(sized.where(F.col("size") <= bound).select("size", F.col("core").alias("gram"), F.col("piece").alias("seg"), "bytes"), length).withColumnsRenamed(of_core)
     once = kinds.where("many = 1").select("core", "piece")
-    several = kinds.where("many > 1").select("core", "piece", _whole("n").alias("spans"))
+    parts = [by_array.join(once, ["core", "piece"])]
+    again = None
+    if sizes.where(F.col("size") > bound).limit(1).count():
+        large = sized.where(F.col("size") > bound)
+        if len(blocks) > 1:
+            again = _by_piece(large.select(F.col("core").alias("gram"), F.col("piece").alias("seg"), "many", "place", "bytes"), length, bound, blocks[1:])
+            parts.append(again.withColumnsRenamed(of_core))
+        else:  # each string by itself
+            each = F.expr(f"transform(sequence(1, length(bytes) - {length - 1}), i -> xxhash64(substring(bytes, i, {length})))")
+            strings = large.select("core", "piece", "many", F.posexplode(each).alias("s", "h"))
+            again = staged(strings.groupBy("core", "h").agg(F.count("*").alias("k")).where("k > 1").select("core", "h"), "again")
+            hit = strings.where("many = 1").join(again, ["core", "h"]).groupBy("core", "piece").agg(F.sort_array(F.collect_list("s")).alias("s"))
+            parts.append(hit.select("core", "piece", F.transform("s", lambda i: F.struct(i.alias("s"), (i + 1).alias("e"))).alias("spans")))
+    # a piece that occurs more than once repeats all its strings
+    parts.append(kinds.where("many > 1").select("core", "piece", _whole("n").alias("spans")))
     # a table of its own, so that the join can split a piece that many segments hold
-    found = staged(by_array.unionByName(by_string).join(once, ["core", "piece"]).unionByName(several), "found")
+    found = staged(reduce(DataFrame.unionByName, parts), "found")
     held = pieces.where("many = 1").select("gram", "seg", "core", "piece", "s").join(found, ["core", "piece"])
     out = staged(held.select("gram", "seg", _moved("spans", "s").alias("spans")).groupBy("gram", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans")), "by_piece")
-    discard(pieces, kinds, sizes, again, found)
+    discard(pieces, kinds, sizes, found, *([again] if again is not None else []))
     return out
 
 
@@ -364,7 +387,7 @@ def _repeats(rows: DataFrame, length: int, bound: int) -> DataFrame:
     cut = texts.join(wanted, ["a", "b"]).select("text", "w").mapInArrow(tidy(_cut(length)), "gram long, seg long, many long, size long, bytes binary")
     cut = staged(cut, "cut")
     by_array = _by_array(cut.where(F.col("size") <= bound), length)
-    by_piece = _by_piece(cut.where(F.col("size") > bound).select("gram", "seg", "many", "bytes"), length, bound)
+    by_piece = _by_piece(cut.where(F.col("size") > bound).withColumn("place", F.lit(None).cast("int")), length, bound)
     # segments that occur more than once repeat all their strings
     several = some.where("many > 1").select("gram", "seg", _whole("n").alias("spans"))
     once = by_array.unionByName(by_piece).join(some.where("many = 1").select("gram", "seg"), ["gram", "seg"])
