@@ -88,6 +88,22 @@ def _in_json(text: Column, rest: list[str | int]) -> Found:
     return _of_variant(F.try_variant_get(v, step, "variant") if step != "$" else v, stored(at))
 
 
+def member_path(key: str) -> str | None:
+    """The VARIANT path of one key, dots included; null for the few keys that no path can name."""
+    quote = next((q for q in "'\"" if q not in key), None)
+    return f"$[{quote}{key}{quote}]" if key and quote else None
+
+
+def member(v: Column, key: str | Column, path: str | Column | None = None) -> Column:
+    """A VARIANT object's value under a key; ``path`` is the key's ``member_path`` where ``key`` is a column."""
+    if isinstance(key, str):
+        path = member_path(key)
+        if path is not None:
+            return F.try_variant_get(v, path, "variant")
+        return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(key))
+    return F.when(path.isNotNull(), F.try_variant_get(v, path, "variant")).otherwise(F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), key))
+
+
 def one_of(v: Column, values: Iterable) -> Column:
     """Whether a VARIANT equals one of some plain values; numbers as numbers, and booleans are none."""
     texts, numbers = comparable(values)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.paths import one_of
+from ..functions.paths import member, one_of
 
 TYPES = ("string", "number", "integer", "boolean", "array", "object", "null")
 #: Keywords that say nothing about a value.
@@ -85,7 +85,7 @@ def problems(schema: dict | bool, v: Column, at: str = "$") -> Column:
         each = rest.pop("items")
         out.append(F.when(is_["array"], F.flatten(F.transform(items, lambda x: problems(each, _value(x), f"{at}[]")))).otherwise(none))
     declared = rest.pop("properties", {})
-    field = lambda name: F.try_variant_get(v, "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
+    field = lambda name: member(v, name)
     for name, inner in declared.items():
         out.append(F.when(is_["object"] & field(name).isNotNull(), problems(inner, field(name), f"{at}.{name}")).otherwise(none))
     for name in rest.pop("required", []):

@@ -14,23 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import version_of
 from ..functions.lookup import Lookup
-from ..functions.paths import calls_at, comparable, one_of, resolve, split_path
+from ..functions.paths import calls_at, comparable, member, member_path, one_of, resolve, split_path
 from ..functions.text import short
 from ..registry import Registry
 from .base import Narrow, helper, outcome
 
 #: Codes that are reported without failing the check.
 ADVISORY = ("duplicate_undeclared",)
-ARGUMENT = "name:string,type:string,required:boolean,texts:array<string>,numbers:array<double>,listed:string"
+ARGUMENT = "name:string,path:string,type:string,required:boolean,texts:array<string>,numbers:array<double>,listed:string"
 TOOL = f"arguments:array<struct<{ARGUMENT}>>,names:array<string>,extra:boolean,side_effecting:boolean,description:string"
 
 
-def key_path(key: Column) -> Column:
-    """The VARIANT path of one key, dots and quotes inside it included."""
-    quoted = F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-    return F.concat(F.lit("$['"), quoted, F.lit("']"))
-
-
 def tools_of(registry: Registry) -> Lookup:
     """What the checks need of each tool, by name."""
     rows = {}
@@ -38,7 +32,7 @@ def tools_of(registry: Registry) -> Lookup:
         arguments = []
         for arg, s in tool.arguments.items():
             texts, numbers = comparable(s.enum) if s.enum is not None else (None, None)
-            arguments.append({"name": arg, "type": s.type, "required": s.required, "texts": texts, "numbers": numbers, "listed": ", ".join(registry.enum_texts(name, arg))})
+            arguments.append({"name": arg, "path": member_path(arg), "type": s.type, "required": s.required, "texts": texts, "numbers": numbers, "listed": ", ".join(registry.enum_texts(name, arg))})
         rows[name] = {"arguments": arguments, "names": list(tool.arguments), "extra": tool.allow_extra_arguments, "side_effecting": tool.side_effecting, "description": tool.description}
     return Lookup(rows, TOOL)
 
@@ -69,7 +63,7 @@ def _problem(a: Column, v: Column) -> Column:
 def _problems(spec: Column, arguments: Column, parsed: Column) -> Column:
     none = F.array().cast("array<string>")
     object_ = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    declared = F.array_compact(F.transform(spec["arguments"], lambda a: _problem(a, F.try_variant_get(parsed, key_path(a["name"]), "variant"))))
+    declared = F.array_compact(F.transform(spec["arguments"], lambda a: _problem(a, member(parsed, a["name"], a["path"]))))
     keys = F.coalesce(F.json_object_keys(F.coalesce(arguments, F.lit("{}"))), none)
     undeclared = F.transform(F.filter(keys, lambda k: ~F.array_contains(spec["names"], k)), lambda k: F.concat(F.lit("argument '"), k, F.lit("' is not declared")))
     found = F.concat(declared, F.when(spec["extra"], none).otherwise(undeclared))
