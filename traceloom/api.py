@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import load_registry
 from .functions.canon import canonical
 from .operators.base import Check
 from .operators.judge import JudgeConfig, Provider, mock
-from .operators.judged import TextMatchesTools, ToolSelection
+from .operators.judged import LlmQuestion, Rubric, RubricQuestion, TextMatchesTools, ToolSelection
 from .operators.tool_calls import ToolCallOutcome, ToolRegistryCheck
 from .plans import feedback, report, suite
 from .registry import Registry
@@ -57,14 +59,87 @@ class Report:
         return report.markdown(self.results, self.kinds())
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """A check that is yet to get the registry, the judge and the provider of the run it is for."""
+
+    kind: type
+    options: dict
+    judge: str = "default"
+
+    def made(self, registry: Registry | None, judges: dict[str, JudgeConfig], provider: Provider) -> Check:
+        takes, options = {f.name for f in fields(self.kind)}, dict(self.options)
+        if "registry" in takes and "registry" not in options:
+            if registry is None and self.kind is not TextMatchesTools:
+                raise ValueError(f"{options['id']} needs a tool registry: give tools")
+            options["registry"] = registry
+        if "judge" in takes:
+            if self.judge not in judges:
+                raise ValueError(f"{options['id']}: {self.judge!r} is no judge; there are {', '.join(judges) or 'none'}")
+            options |= {"judge": judges[self.judge], "provider": provider}
+        return self.kind(**options)
+
+
+def registry_check(id: str = "tool_registry_check", **options) -> Wanted:
+    """Is the call allowed?  No judge."""
+    return Wanted(ToolRegistryCheck, {"id": id, **options})
+
+
+def tool_call_outcome(id: str = "tool_call_outcome", **options) -> Wanted:
+    """Did the call succeed, by what was recorded?  No judge."""
+    return Wanted(ToolCallOutcome, {"id": id, **options})
+
+
+def tool_selection(policy: str | None = None, *, id: str = "tool_selection", judge: str = "default", **options) -> Wanted:
+    """Which tool should have been called?  The judge never sees the call."""
+    return Wanted(ToolSelection, {"id": id, "policy": policy, **options}, judge)
+
+
+def text_matches_tools(*, id: str = "text_matches_tools", judge: str = "default", **options) -> Wanted:
+    """Does the reply say what the calls did?"""
+    return Wanted(TextMatchesTools, {"id": id, **options}, judge)
+
+
+def llm_question(question: str, *, id: str, inputs: dict[str, str], judge: str = "default", **options) -> Wanted:
+    """Any other question."""
+    return Wanted(LlmQuestion, {"id": id, "template": question, "inputs": inputs, **options}, judge)
+
+
+def rubric(questions: Sequence[RubricQuestion], *, id: str, inputs: dict[str, str], judge: str = "default", **options) -> Wanted:
+    """Several questions in one call."""
+    return Wanted(Rubric, {"id": id, "questions": tuple(questions), "inputs": inputs, **options}, judge)
+
+
+def judges_of(judge: str | JudgeConfig | dict[str, JudgeConfig] | None) -> dict[str, JudgeConfig]:
+    """Judges by name, of ``provider:model``, a configuration, or several by name."""
+    if judge is None:
+        return {}
+    if isinstance(judge, dict):
+        return dict(judge)
+    if isinstance(judge, str):
+        provider, colon, model = judge.partition(":")
+        if not colon or not model:
+            raise ValueError(f"judge {judge!r} is not of the form provider:model")
+        judge = JudgeConfig(provider, model)
+    return {"default": judge}
+
+
+def registry_of(tools: Registry | dict | str | Path | None) -> Registry | None:
+    """A registry, or one of a dict or of a file's path."""
+    if isinstance(tools, (str, Path)):
+        return load_registry(str(tools))
+    return Registry.of(tools) if isinstance(tools, dict) else tools
+
+
 class Loom:
     """Evaluate traces, report, and compile failures into preference pairs."""
 
-    def __init__(self, spark: SparkSession, traces, tools: Registry | dict | None = None, checks: Sequence[Check] | None = None, judge: JudgeConfig | None = None, mapping: dict[str, str] | None = None, provider: Provider = mock, policy: str | None = None):
+    def __init__(self, spark: SparkSession, traces, tools: Registry | dict | str | Path | None = None, checks: Sequence[Check | Wanted] | None = None, judge: str | JudgeConfig | dict[str, JudgeConfig] | None = None, mapping: dict[str, str] | None = None, provider: Provider = mock, policy: str | None = None):
         self.spark = spark
-        self.registry = Registry.of(tools) if isinstance(tools, dict) else tools
+        self.registry = registry_of(tools)
+        judges = judges_of(judge)
         self.traces, self.errors = load_traces(spark, traces, mapping)
-        self.checks = list(checks) if checks is not None else default_checks(self.registry, judge, provider, policy)
+        self.checks = [c.made(self.registry, judges, provider) if isinstance(c, Wanted) else c for c in checks] if checks is not None else default_checks(self.registry, next(iter(judges.values()), None), provider, policy)
         if not self.checks:
             raise ValueError("there is no check to run: give tools, a judge, or checks")
 

@@ -4,26 +4,30 @@ from __future__ import annotations
 
 import difflib
 import json
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 from .functions.canon import MatchOptions
 from .functions.paths import split_path
 from .operators.extensions import JsonSchema, NumericTolerance, Regex, SetComparison
 from .operators.judge import JudgeConfig
-from .operators.judged import LlmQuestion, TextMatchesTools, ToolSelection
+from .operators.judged import LlmQuestion, Rubric, RubricQuestion, TextMatchesTools, ToolSelection
 from .operators.matching import ExactMatch, JsonMatch
 from .operators.tool_calls import ToolCallOutcome, ToolRegistryCheck
+from .plans.governance import PATTERNS
+from .plans.splits import Splits
 from .registry import Registry
 
 CHECKS = {
     "exact_match": ExactMatch, "json_match": JsonMatch, "tool_registry_check": ToolRegistryCheck, "tool_call_outcome": ToolCallOutcome, "llm_question": LlmQuestion,
-    "tool_selection": ToolSelection, "text_matches_tools": TextMatchesTools, "regex": Regex, "numeric_tolerance": NumericTolerance, "set_comparison": SetComparison, "json_schema": JsonSchema,
+    "tool_selection": ToolSelection, "text_matches_tools": TextMatchesTools, "regex": Regex, "numeric_tolerance": NumericTolerance, "set_comparison": SetComparison, "json_schema": JsonSchema, "rubric": Rubric,
 }
 #: Keys of a suite file that are named otherwise here.
 KEYS = {"question": "template", "system_prompt": "system"}
 MATCHER_OPTIONS = {"map": "labels", "tolerance": "tolerance", "choices": "choices", "answer_key": "answer_key"}
 NOT_CONFIGURED = {"provider", "cache", "registry", "judge"}
+#: Keys of a project's splits, and what they are called here; field and guard are paths into traces.
+SPLIT_KEYS = {"strategy": "strategy", "field": "field", "ratios": "shares", "seed": "seed", "guard": "guard", "similarity": "similarity"}
 SOURCES = {"jsonl": ("path",), "parquet": ("path",), "csv": ("path",), "jdbc": ("url", "query")}
 
 
@@ -40,6 +44,21 @@ class Project:
     name: str
     source: dict
     mapping: dict[str, str]
+    splits: Splits | None = None
+    #: redaction rules for the texts of traces, applied when they are read
+    redaction: tuple[str, ...] = ()
+    #: name (say, base) to {provider, model}
+    models: dict = field(default_factory=dict)
+    #: of base and judge, those whose providers must differ
+    distinct: tuple[str, ...] = ()
+
+
+def integrity_problems(project: Project, judges: dict[str, JudgeConfig]) -> list[str]:
+    """What is wrong between a project's file and the judges', which neither shows alone: a judge of the base model's family favours it."""
+    base = project.models.get("base") or {}
+    if not {"base", "judge"} <= set(project.distinct) or not base.get("provider"):
+        return []
+    return [f"integrity.require_distinct_providers: judge {name!r} has the base model's provider, {j.provider}" for name, j in sorted(judges.items()) if j.provider == base["provider"]]
 
 
 def hint(word: str, known) -> str:
@@ -81,7 +100,7 @@ def _unknown(data: dict, known, at: str, lines: dict[str, int]) -> list[str]:
 
 def load_project(path: str) -> Project:
     data, lines = load(path)
-    problems = _unknown(data, ("name", "description", "source", "mapping", "models", "integrity"), "", lines)
+    problems = _unknown(data, ("name", "description", "source", "mapping", "models", "integrity", "splits", "redaction"), "", lines)
     if not data.get("name"):
         problems.append("name: is required")
     source = data.get("source") or {}
@@ -96,9 +115,23 @@ def load_project(path: str) -> Project:
             split_path(target)
         except ValueError as e:
             problems.append(f"mapping: {e}")
+    given, splits = data.get("splits"), None
+    if given is not None:
+        problems += (bad := _unknown(given, SPLIT_KEYS, "splits", lines))
+        try:
+            splits = None if bad else Splits(**{SPLIT_KEYS[k]: v for k, v in given.items()})
+            for f in (splits.field, splits.guard) if splits else ():
+                if f is not None:
+                    split_path(f)
+        except (TypeError, ValueError) as e:
+            problems.append(f"splits: {e}")
+    rules = tuple(data.get("redaction") or ())
+    problems += [f"redaction: {r!r} is no rule{hint(str(r), PATTERNS)}" for r in rules if r not in PATTERNS]
+    integrity = data.get("integrity") or {}
+    problems += _unknown(integrity, ("require_distinct_providers",), "integrity", lines)
     if problems:
         raise ConfigError(problems)
-    return Project(data["name"], source, data.get("mapping") or {})
+    return Project(data["name"], source, data.get("mapping") or {}, splits, rules, data.get("models") or {}, tuple(integrity.get("require_distinct_providers") or ()))
 
 
 def load_registry(path: str) -> Registry:
@@ -158,6 +191,8 @@ def build_suite(data: dict, registry: Registry | None = None, judges: dict[str,
                 continue
             args |= {"judge": judges[given]} | {k: v for k, v in extra.items() if k in takes}
         try:
+            if kind is Rubric:
+                args["questions"] = tuple(RubricQuestion(**{k: tuple(v) if isinstance(v, list) else v for k, v in q.items()}) for q in args.get("questions", ()))
             checks.append(kind(**args))
         except (TypeError, ValueError) as e:
             problems.append(f"{at}: {e}")

@@ -25,7 +25,7 @@ from ..session import ship, staged
 PARSER_VERSION = "1"
 PROVIDERS = ("anthropic", "openai_compat", "mock")
 RETRIED = (429, 500, 502, 503, 504)
-ANSWER = "cache_key string, parsed string, error string, latency_ms long, cost_usd double, tokens_in long, tokens_out long"
+ANSWER = "cache_key string, parsed string, raw string, error string, latency_ms long, cost_usd double, tokens_in long, tokens_out long"
 CACHE = "cache_key string, parsed string"
 
 
@@ -118,25 +118,25 @@ def _plus(a, b):
 
 
 def ask_one(provider: Provider, prompt: dict, schema: dict, config: JudgeConfig) -> tuple:
-    """(parsed, error, latency_ms, cost_usd, tokens_in, tokens_out); never raises."""
+    """(parsed, raw, error, latency_ms, cost_usd, tokens_in, tokens_out); never raises.  ``raw`` is the text of a reply that stayed unusable."""
     began = time.monotonic()
     took = lambda: int((time.monotonic() - began) * 1000)
     try:
         reply = _call(provider, prompt, schema, config)
     except Exception as e:
-        return None, f"{type(e).__name__}: {e}", took(), None, None, None
+        return None, None, f"{type(e).__name__}: {e}", took(), None, None, None
     cost, t_in, t_out = reply.cost_usd, reply.tokens_in, reply.tokens_out
-    parsed = parse_reply(reply.text)
+    parsed, raw = parse_reply(reply.text), reply.text
     if parsed is None:
         messages = [*prompt["messages"], {"role": "assistant", "content": reply.text}, {"role": "user", "content": "Reply with one JSON object that fits the schema, and nothing else."}]
         try:
             again = _call(provider, {**prompt, "messages": messages}, schema, config)
-            parsed = parse_reply(again.text)
+            parsed, raw = parse_reply(again.text), again.text
             # both calls are billed, whether the repair worked or not
             cost, t_in, t_out = _plus(cost, again.cost_usd), _plus(t_in, again.tokens_in), _plus(t_out, again.tokens_out)
         except Exception:
             parsed = None
-    return canonical(parsed) if parsed is not None else None, None, took(), cost, t_in, t_out
+    return canonical(parsed) if parsed is not None else None, raw if parsed is None else None, None, took(), cost, t_in, t_out
 
 
 def ask(prompts: DataFrame, schema: Column, version: Column, config: JudgeConfig, provider: Provider, cache: DataFrame | None = None, order: str = "trace_id") -> tuple[DataFrame, DataFrame]:
@@ -164,7 +164,7 @@ def ask(prompts: DataFrame, schema: Column, version: Column, config: JudgeConfig
     fresh = staged(missing.mapInPandas(asked, ANSWER), "answers")
     got = fresh.withColumn("hit", F.lit(False))
     if cache is not None:
-        known = cache.select("cache_key", "parsed", *[F.lit(v).cast(t).alias(n) for n, t, v in (("error", "string", None), ("latency_ms", "long", 0), ("cost_usd", "double", 0.0), ("tokens_in", "long", 0), ("tokens_out", "long", 0))], F.lit(True).alias("hit"))
+        known = cache.select("cache_key", "parsed", *[F.lit(v).cast(t).alias(n) for n, t, v in (("raw", "string", None), ("error", "string", None), ("latency_ms", "long", 0), ("cost_usd", "double", 0.0), ("tokens_in", "long", 0), ("tokens_out", "long", 0))], F.lit(True).alias("hit"))
         got = got.unionByName(known)
     # the row of each prompt that is billed: an aggregate, which is partial ahead of the shuffle
     billed = keyed.where("cache_key is not null").groupBy("cache_key").agg(F.min(F.col(order)).alias("_billed"), F.count("*").alias("_rows"))
@@ -180,5 +180,5 @@ def ask(prompts: DataFrame, schema: Column, version: Column, config: JudgeConfig
     later = ~F.col(order).eqNullSafe(F.col("_billed"))
     hit = F.coalesce(F.col("hit") | (later & F.col("parsed").isNotNull()), F.lit(False))
     zero = lambda c, v: F.when(F.col("cache_hit"), F.lit(v)).otherwise(F.col(c)).alias(c)
-    out = joined.withColumn("cache_hit", hit).select(*prompts.columns, "cache_key", "judge_config_hash", "cache_hit", "parsed", "error", zero("latency_ms", 0), zero("cost_usd", 0.0), zero("tokens_in", 0), zero("tokens_out", 0))
+    out = joined.withColumn("cache_hit", hit).select(*prompts.columns, "cache_key", "judge_config_hash", "cache_hit", "parsed", "raw", "error", zero("latency_ms", 0), zero("cost_usd", 0.0), zero("tokens_in", 0), zero("tokens_out", 0))
     return out, fresh.where("parsed is not null").select("cache_key", "parsed")

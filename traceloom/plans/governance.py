@@ -41,6 +41,24 @@ def redact(text: Column, rules: Sequence[str], salt: str | None = None) -> Colum
     return text
 
 
+def redact_traces(traces: DataFrame, rules: Sequence[str], salt: str | None = None) -> DataFrame:
+    """``traces`` with the rules applied to what people and the model wrote: request, prompt, messages and reply."""
+    if not rules and salt is None:
+        return traces
+    clean = lambda c: redact(c, rules, salt)
+    given, said = F.col("input"), F.col("output")
+    messages = F.transform(given["messages"], lambda m: m.withField("content", clean(m["content"])))
+    given = given.withField("user_request", clean(given["user_request"])).withField("system_prompt", clean(given["system_prompt"])).withField("messages", messages)
+    return traces.withColumns({"input": given, "output": said.withField("text", clean(said["text"]))})
+
+
+def redaction_counts(traces: DataFrame, rules: Sequence[str]) -> DataFrame:
+    """(rule, n): how many texts each rule finds something in; a rule with none may be mistaken."""
+    texts = F.array_compact(F.concat(F.array("input.user_request", "input.system_prompt", "output.text"), F.coalesce(F.transform("input.messages", lambda m: m["content"]), F.array().cast("array<string>"))))
+    found = traces.agg(*[F.sum(F.size(F.filter(texts, lambda t, r=r: t.rlike(PATTERNS[r])))).alias(r) for r in rules])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(r), F.lit(0)).alias("n")) for r in rules])))
+
+
 def judge_metrics(results: DataFrame) -> DataFrame:
     """(evaluator_id, n, tp, fp, fn, tn, accuracy, precision, recall, f1, kappa) of boolean answers against truth."""
     p, t = F.col("normalized_prediction") == "true", F.col("ground_truth") == "true"

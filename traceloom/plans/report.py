@@ -10,7 +10,7 @@ from ..registry import NONE
 
 def called(prediction: Column) -> Column:
     """The calls of a selection row, comma-joined; ``none`` for no call."""
-    listed = F.array_join(F.from_json(prediction, "array<string>"), ", ")
+    listed = F.array_join(F.from_json(prediction, "array<string>"), ",")
     return F.coalesce(F.nullif(F.coalesce(listed, unquoted(prediction)), F.lit("")), F.lit(NONE))
 
 
@@ -41,7 +41,9 @@ def failures(results: DataFrame) -> DataFrame:
 
 
 def contradictions(results: DataFrame) -> DataFrame:
-    return results.where("passed = false and not invalid_output and error is null").select("trace_id", "explanation").orderBy("trace_id")
+    """(trace_id, called, explanation) of replies that contradict their calls."""
+    bad = results.where("passed = false and not invalid_output and error is null")
+    return bad.select("trace_id", called(F.col("normalized_prediction")).alias("called"), "explanation").orderBy("trace_id")
 
 
 def coverage(results: DataFrame) -> DataFrame:
@@ -64,23 +66,47 @@ def cell(value: object) -> str:
     return ("" if value is None else str(value)).replace("|", "\\|").replace("\r", " ").replace("\n", " ")
 
 
-def table(title: str, df: DataFrame, top: int = 50) -> list[str]:
-    """A section over the first rows of an ordered rollup."""
-    rows = df.limit(top).collect()
-    if not rows:
-        return [f"## {title}", "", "Nothing found.", ""]
+def table(df: DataFrame, top: int | None = None) -> list[str]:
+    """The rows of an ordered rollup; with ``top`` its first, and how many are left out."""
     head = df.columns
-    return [f"## {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *["| " + " | ".join(cell(r[c]) for c in head) + " |" for r in rows], ""]
+    rows = [r for r in (df if top is None else df.limit(top + 1)).toLocalIterator()]
+    if not rows:
+        return []
+    said = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *["| " + " | ".join(cell(r[c]) for c in head) + " |" for r in rows[:top]], ""]
+    if top is not None and len(rows) > top:
+        said += [f"{df.count() - top} more rows are not shown.", ""]
+    return said
+
+
+#: kind: (title, rollup, what there is to say if nothing was found, the coverage line)
+SECTIONS = {
+    "selection": ("Tool selection", selection, "Nothing found. The judge agreed on {passed} trace(s).", "agreed {passed} · not applicable {skipped} · invalid answers {invalid} · errored {errored}"),
+    "registry": ("Registry violations", violations, "Nothing found. {passed} trace(s) checked against the registry.", "clean {passed} · no tool calls {skipped} · errored {errored}"),
+    "consistency": ("Contradictions", contradictions, "Nothing found. {passed} trace(s) checked.", "consistent {passed} · no reply {skipped} · invalid answers {invalid} · errored {errored}"),
+    "outcome": ("Failed calls", failures, "Nothing found. {passed} trace(s) recorded an outcome.", "succeeded {passed} · no outcome recorded {skipped} · errored {errored}"),
+}
+
+
+def evaluated(results: DataFrame, kinds: dict[str, str]) -> dict[str, str]:
+    """Those of ``kinds`` whose check has rows: nothing found differs from not looked for."""
+    there = {r[0] for r in results.where(F.col("evaluator_id").isin(list(kinds.values()))).select("evaluator_id").distinct().collect()}
+    return {k: v for k, v in kinds.items() if v in there}
 
 
-def markdown(results: DataFrame, kinds: dict[str, str]) -> str:
-    """A report without timestamps; ``kinds`` names the check of each section.
+def markdown(results: DataFrame, kinds: dict[str, str], run_id: str | None = None, top: int | None = None) -> str:
+    """A report without timestamps; ``kinds`` names the check of each section (SECTIONS).
 
-    A section stands only if its check was run: nothing found differs from not looked for.
+    Sections stand in a fixed order, and only if their check was run; each says
+    what it counted.  All rows are given unless ``top`` says how many.
     """
-    of = {"selection": ("Tool selection", selection), "registry": ("Registry violations", violations), "outcome": ("Failed calls", failures), "consistency": ("Contradictions", contradictions)}
-    out = ["# Tool-call report", ""]
-    for kind, evaluator in kinds.items():
-        title, rollup = of[kind]
-        out += table(title, rollup(results.where(F.col("evaluator_id") == evaluator)))
-    return "\n".join([*out, "Judge answers are not calibrated against people.", ""])
+    if unknown := set(kinds) - set(SECTIONS):
+        raise ValueError(f"unknown sections: {', '.join(sorted(unknown))}; there are {', '.join(SECTIONS)}")
+    there = evaluated(results, kinds)
+    rows = {k: results.where(F.col("evaluator_id") == v) for k, v in there.items()}
+    n = trace_count(*rows.values()).first()["traces"] if rows else 0
+    out = ["# Tool-call report", "", (f"Run `{run_id}` · " if run_id else "") + f"{n} traces · **0 labels**", ""]
+    for kind, (title, rollup, none, line) in SECTIONS.items():
+        if kind in rows:
+            counts = coverage(rows[kind]).first().asDict()
+            out += [f"## {title}", "", *(table(rollup(rows[kind]), top) or [none.format(**counts), ""]), f"_{line.format(**counts)}_", ""]
+    return "\n".join([*out, "---", "", "Judge answers are not calibrated against people; registry and outcome checks involve no model.", ""])

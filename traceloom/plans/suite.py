@@ -17,6 +17,11 @@ def suite_hash(name: str, checks: Sequence[Check]) -> str:
     return version_of([name, [[c.id, c.version_hash()] for c in checks]])
 
 
+def ids_of(check: Check) -> list[str]:
+    """The evaluator ids of a check's rows: its own, or those of its questions."""
+    return check.ids() if hasattr(check, "ids") else [check.id]
+
+
 PLANNED = (AnalysisException, ArithmeticError, LookupError, TypeError, ValueError)
 
 
@@ -57,7 +62,7 @@ def run_suite(traces: DataFrame, checks: Sequence[Check]) -> DataFrame:
     All checks that are projections share one pass; each of the others, which
     ask a judge, is a plan of its own.
     """
-    ids = [c.id for c in checks]
+    ids = [x for c in checks for x in ids_of(c)]
     if len(set(ids)) < len(ids):
         raise ValueError("two checks share an id")
     if not checks:
@@ -87,7 +92,7 @@ def summarize(results: DataFrame, checks: Sequence[Check] | None = None) -> Data
         F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
     )
     if checks is not None:
-        names = results.sparkSession.createDataFrame([(c.id,) for c in checks], "evaluator_id string")
+        names = results.sparkSession.createDataFrame([(x,) for c in checks for x in ids_of(c)], "evaluator_id string")
         out = F.broadcast(names).join(out, "evaluator_id", "left").fillna(0)
     return out.withColumn("pass_rate", F.try_divide(F.col("passed").cast("double"), F.col("passed") + F.col("failed")))
 

@@ -11,7 +11,7 @@ from . import derived as d
 from .functions.canon import MatchOptions, canonical_json, content_hash
 from .functions.paths import resolve
 from .operators.judge import JudgeConfig
-from .operators.judged import LlmQuestion, TextMatchesTools, ToolSelection
+from .operators.judged import LlmQuestion, Rubric, RubricQuestion, TextMatchesTools, ToolSelection
 from .operators.extensions import JsonSchema, PythonCheck
 from .operators.matching import ExactMatch, JsonMatch
 from .operators.tool_calls import ToolCallOutcome, ToolRegistryCheck
@@ -309,7 +309,7 @@ def selection_mock(spark, sf):
 
 
 _ORDERED = f"""{WITH}, u AS (SELECT trace_id, node, name, min(pos) AS pos FROM calls GROUP BY ALL),
-s AS (SELECT trace_id, any_value(node) AS node, string_agg(name, ', ' ORDER BY pos) AS called FROM u GROUP BY trace_id)"""
+s AS (SELECT trace_id, any_value(node) AS node, string_agg(name, ',' ORDER BY pos) AS called FROM u GROUP BY trace_id)"""
 
 
 @query(f"{_ORDERED} SELECT called, 'click' AS judge_says, count(*) AS n, min(trace_id) AS example FROM s WHERE node IS DISTINCT FROM 'nowhere' AND called <> 'click' GROUP BY called")
@@ -411,9 +411,32 @@ def report_coverage(spark, sf):
     return report.coverage(_selection().apply(d.traces(spark, sf))).withColumn("evaluator_id", F.lit("selection"))
 
 
-@query(f"{_CHATS} SELECT trace_id, '' AS explanation FROM chats WHERE false")
+def _contradicting(prompt: dict, schema: dict, config) -> "Reply":
+    """A judge that finds every third reply inconsistent, by its length."""
+    import json
+
+    from .operators.judge import Reply
+
+    reply = prompt["messages"][0]["content"].rpartition("\n\nCalls:\n")[0].removeprefix("Reply:\n")
+    return Reply(json.dumps({"consistent": len(reply) % 3 > 0, "contradiction": "it trails off", "reason": "too round"}), 1, 1, 0.001)
+
+
+@query(f"""{_CHATS} SELECT trace_id, 'none' AS called, 'reply says ''it trails off'' - too round' AS explanation FROM chats WHERE regexp_replace(coalesce(reply, ''), '\\s', '', 'g') <> '' AND length(reply) % 3 = 0""")
 def report_contradictions(spark, sf):
-    return report.contradictions(TextMatchesTools("consistent", JUDGE).apply(d.chats(spark, sf)))
+    """Replies against their calls, by a judge that contradicts some."""
+    return report.contradictions(TextMatchesTools("consistent", JUDGE, provider=_contradicting).apply(d.chats(spark, sf)))
+
+
+_RUBRIC = (RubricQuestion("clean", "Is it clean?", ground_truth="ground_truth.clean"), RubricQuestion("quality", "How good is it?", "integer", low=0, high=1, ground_truth="ground_truth.quality"), RubricQuestion("tone", "Which tone?", "enum", ("calm", "rude")), RubricQuestion("kind", "Is it kind?"))
+
+
+@query(f"""{_CHATS}, q(name, n) AS (VALUES ('clean', 0), ('quality', 1), ('tone', 2), ('kind', 3)), x AS (SELECT trace_id, 'rubric.' || name AS evaluator_id, n, CASE name WHEN 'clean' THEN toxic = 0 WHEN 'quality' THEN quality = 0 WHEN 'kind' THEN true END AS passed, CASE name WHEN 'quality' THEN '0' WHEN 'tone' THEN '"calm"' ELSE 'true' END AS answer,
+row_number() OVER (PARTITION BY coalesce(user_request, 'None'), n ORDER BY trace_id) AS k FROM chats, q)
+SELECT evaluator_id, passed, answer, count(*) AS rows, count(*) FILTER (n = 0 AND k = 1) AS billed FROM x GROUP BY 1, 2, 3""")
+def rubric_rows(spark, sf):
+    """Four questions in one call: four rows a trace, and one bill a prompt."""
+    done = Rubric("rubric", _RUBRIC, {"request": "input.user_request"}, JUDGE).apply(d.chats(spark, sf))
+    return done.groupBy("evaluator_id", "passed", F.col("normalized_prediction").alias("answer")).agg(F.count("*").alias("rows"), F.count(F.when(F.col("cost_usd") > 0, 1)).alias("billed"))
 
 
 # feedback

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonical, version_of
 
-SPLITS = ("train", "validation", "test")
+SPLITS = ("train", "dev", "validation", "test")
 
 
 def duplicate_ids(traces: DataFrame) -> DataFrame:
@@ -53,11 +53,12 @@ class Store:
         twice = [r["trace_id"] for r in duplicate_ids(traces).orderBy("trace_id").limit(5).collect()]
         if twice:
             raise ValueError(f"duplicate trace ids: {', '.join(twice)}")
-        print_ = fingerprint(traces, source)
+        print_ = fingerprint(traces, source)  # over contents, whatever the splits are
         path = self._path("snapshots", f"project={project}", f"fingerprint={print_}")
         if self.exists(path):
             return print_, False
-        body = traces.withColumn("row_hash", row_hash(traces)).withColumn("split", F.lit("train") if split is None else split)
+        plain = traces.drop("__split")
+        body = traces.withColumn("split", F.lit("train") if split is None else split).withColumn("row_hash", row_hash(plain)).select(*plain.columns, "row_hash", "split")
         if body.where(~F.col("split").isin(*SPLITS) | F.col("split").isNull()).limit(1).count():
             raise ValueError(f"a split must be one of {', '.join(SPLITS)}")
         body.write.mode("errorifexists").option("compression", "zstd").partitionBy("split").parquet(path)
@@ -87,11 +88,54 @@ class Store:
     def split_counts(self, project: str, print_: str) -> DataFrame:
         return self.read_snapshot(project, print_).groupBy("split").agg(F.count("*").alias("n"))
 
-    def record(self, run_id: str, results: DataFrame) -> DataFrame:
-        """Write a run's results once; a run id can't be written twice."""
+    def _log(self, table: str, row: dict) -> None:
+        """Append a row to a log; the last row of a key is what holds."""
+        kinds = ", ".join(f"{k} {'bigint' if isinstance(v, int) else 'string'}" for k, v in row.items())
+        self.spark.createDataFrame([tuple(row.values())], kinds).withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(self._path(table))
+
+    def _logged(self, table: str, key: str) -> DataFrame | None:
+        """The last row of each key of a log; null if nothing was ever logged."""
+        path = self._path(table)
+        if not self.exists(path):
+            return None
+        rows = self.spark.read.option("mergeSchema", "true").parquet(path)
+        return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "created_at").alias("x")).select(key, "x.*")
+
+    def upsert_project(self, name: str, config: dict) -> None:
+        """Keep a project's configuration; the latest replaces those before it."""
+        self._log("projects", {"name": name, "config": canonical(config)})
+
+    def projects(self) -> DataFrame | None:
+        return self._logged("projects", "name")
+
+    def register_judge(self, hash: str, identity: dict, system: str | None, schema: object) -> bool:
+        """Keep a judge under its version hash; False if it is there already: a changed judge has another hash."""
+        known = self.judges()
+        if known is not None and known.where(F.col("hash") == hash).limit(1).count():
+            return False
+        self._log("judges", {"hash": hash, "identity": canonical(identity), "system": system, "schema": canonical(schema)})
+        return True
+
+    def judges(self) -> DataFrame | None:
+        return self._logged("judges", "hash")
+
+    def runs(self, project: str | None = None) -> DataFrame | None:
+        """(run_id, project, fingerprint, suite_hash, split, rows, created_at) of recorded runs."""
+        rows = self._logged("runs", "run_id")
+        return rows if rows is None or project is None else rows.where(F.col("project") == project)
+
+    def latest_run(self, project: str | None = None) -> str | None:
+        rows = self.runs(project)
+        row = rows.orderBy(F.desc("created_at"), "run_id").limit(1).first() if rows is not None else None
+        return row["run_id"] if row else None
+
+    def record(self, run_id: str, results: DataFrame, project: str | None = None, fingerprint: str | None = None, suite_hash: str | None = None, split: str | None = None) -> DataFrame:
+        """Write a run's results once; a run id can't be written twice.  The run is logged when they are whole."""
         path = self._path("results", f"run_id={run_id}")
         results.write.mode("errorifexists").parquet(path)
-        return self.results(run_id)
+        written = self.results(run_id)
+        self._log("runs", {"run_id": run_id, "project": project, "fingerprint": fingerprint, "suite_hash": suite_hash, "split": split, "rows": written.count()})
+        return written
 
     def results(self, run_id: str) -> DataFrame:
         return self.spark.read.parquet(self._path("results", f"run_id={run_id}"))
