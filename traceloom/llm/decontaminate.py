@@ -235,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, stride
     has(docs, key, text)
     has(benchmark, item_key, item_text)
     ship(docs.sparkSession)
-    parts = benchmark.select(F.col(item_key).alias("item"), text_of(item_text).alias("text"))
+    parts = benchmark.select(F.col(f"`{item_key}`").alias("item"), text_of(f"`{item_text}`").alias("text"))
     # at most one word for two bytes
     size = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))
@@ -263,7 +263,7 @@ def _leaks(docs: DataFrame, rows: list[tuple], item_kind: str, similarity: float
                 names=[key, item_key, "item_words", "distance", "similarity"],
             )
 
-    return docs.select(F.col(key), text_of(text).alias("text")).mapInArrow(tidy(searched), f"`{key}` {kind}, `{item_key}` {item_kind}, item_words int, distance int, similarity double")
+    return docs.select(F.col(f"`{key}`"), text_of(f"`{text}`").alias("text")).mapInArrow(tidy(searched), f"`{key}` {kind}, `{item_key}` {item_kind}, item_words int, distance int, similarity double")
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -193,4 +193,4 @@ def pack(docs: DataFrame, path: str, size: int = 1024, separator: int = 0, key:
                     window = []
         yield flush()
 
-    return docs.select(F.col(key), text_of(text).alias("text")).mapInArrow(tidy(packed), f"`{key}` {kind.simpleString()}, {PIECES}")
+    return docs.select(F.col(f"`{key}`"), text_of(f"`{text}`").alias("text")).mapInArrow(tidy(packed), f"`{key}` {kind.simpleString()}, {PIECES}")

@@ -36,6 +36,14 @@ def has(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(lacking)}; there are {', '.join(df.columns)}")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def text_of(name: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

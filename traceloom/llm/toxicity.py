@@ -13,7 +13,8 @@ only the telling n-grams that it holds reach the driver: at most ``sample`` time
 one narrow pass.
 
 Null and empty texts hold no n-grams and get the model's score for nothing.
-Without labels of both kinds every score is 0.  Repeated rows are scored each;
+Without labels of both kinds no n-gram tells anything, and every score is the
+same small number (0.000123).  Repeated rows are scored each;
 of rows that share a labelled key one is learnt from.
 """
 
@@ -135,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     found = rows.select(kept("x").alias("x"), "y").toPandas()
     discard(rows)
-    rate = labels.where(~held_out(key)).agg(F.avg(F.col(f"`{label}`").cast("double"))).first()[0]
+    y = F.col(f"`{label}`").cast("int")
+    rate = labels.where(~held_out(key) & y.isin(0, 1)).agg(F.avg(y.cast("double"))).first()[0]
     x = [np.asarray(v, np.int64) for v in found["x"]]
     return NaiveBayesLinear().fit(ids, ratio, x, found["y"].to_numpy(np.int64), min(max(rate or 0.0, 1e-3), 0.999))
 

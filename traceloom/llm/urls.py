@@ -8,7 +8,10 @@ Each rule is indexed under the one of its tokens that the fewest URLs hold; a
 URL's own tokens fetch candidate rules, and only those run their regular
 expressions.  Rules without such a token are always candidates.  Site rules (host and
 path prefix) decide first: the longest that fits wins; of equally long ones that
-with the greatest host, then path, in order of characters.
+with the greatest host, then path, in order of characters, then the last listed.
+They lie in a table by host, which a URL's host and its parent domains probe, no
+more of them than the rules' hosts have labels; so a plan has one size for five
+rules and for ten thousand.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no site
 rule, and are judged by the pattern rules alone.  An empty table gives no rows.
@@ -25,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookup import Lookup
 from .shared import has, ship
 
 TOKEN = "[a-z0-9]+"
@@ -49,11 +53,18 @@ def path_of(url: Column) -> Column:
 
 def site_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest site rule that fits, or null."""
-    out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1], r[2])):
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
-    return out
+    if not rules:
+        return F.lit(None).cast("struct<rule:string,verdict:string>")
+    by_host: dict[str, dict] = {}
+    for n, (verdict, h, p) in enumerate(rules):
+        by_host.setdefault(h, {"rules": []})["rules"].append({"size": len(h + p), "host": h, "path": p, "n": n, "verdict": verdict})
+    table = Lookup(by_host, "rules:array<struct<size:int,host:string,path:string,n:int,verdict:string>>")
+    labels = 1 + max(h.count(".") for h in by_host)
+    # the host itself and its last labels; one of fewer labels gives itself again
+    domains = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda k: F.call_function("substring_index", host, F.lit("."), -k)))
+    found = F.flatten(F.transform(F.array_union(domains, F.array(host)), lambda d: F.coalesce(table.find(d)["rules"], F.array().cast("array<struct<size:int,host:string,path:string,n:int,verdict:string>>"))))
+    best = F.array_max(F.filter(found, lambda r: path.startswith(r["path"])))
+    return F.when(best.isNotNull(), F.struct(F.concat(best["host"], best["path"]).alias("rule"), best["verdict"].alias("verdict")))
 
 
 def pattern_regex(pattern: str) -> str:
@@ -133,10 +144,10 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
 
     col = F.col(f"`{url}`").cast("string")
     keep = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    host, path = host_of(col), path_of(col)
-    fits = site_rule(host, path, rules)
     row = F.struct(*keep).alias("row") if keep else F.lit(None).alias("row")
-    judged = pages.select(row, host.alias("host"), path.alias("path"), fits.alias("fits"), blocked(F.when(fits.isNull(), col)).alias("blocked"))
+    parts = pages.select(row, col.alias("url"), host_of(col).alias("host"), path_of(col).alias("path"))
+    ruled = parts.withColumn("fits", site_rule(F.col("host"), F.col("path"), rules))
+    judged = ruled.withColumn("blocked", blocked(F.when(F.col("fits").isNull(), F.col("url"))))
     verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return judged.select(*(["row.*"] if keep else []), "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"))
 
