@@ -177,6 +177,26 @@ def jaccard(a, b, words=5):
     return len(x & y) / max(len(x | y), 1)
 
 
+@pytest.mark.parametrize("chunk", [4096, 40])
+def test_long_lists_are_cut_and_keep_their_components(spark, chunk):
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(300)}
+    for _ in range(6):  # families under common bytes, near and not
+        head = rng.getrandbits(40) << 24
+        fps |= {head | rng.getrandbits(24) for _ in range(150)}
+        at = rng.getrandbits(64)
+        fps |= {at ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(100)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = {r["node"]: r["component"] for r in components.components(simhash.links(table, 4, chunk=chunk)).collect()}
+    parts = brute_components(list(range(len(fps))), list(fps), 4)
+    mine, theirs = {}, {}
+    for i, f in enumerate(signed):
+        mine.setdefault(got.get(f, f), set()).add(f)
+        theirs.setdefault(parts[i], set()).add(f)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values())) and len(mine) < len(signed)
+
+
 def test_similar_texts_match_brute_force(spark):
     """Components by similarity 0.8 of five-word shingles: never a link below it, and nearly all at it."""
     rng = random.Random(5)
@@ -306,6 +326,25 @@ def test_urls_match_every_rule_tried(spark):
     assert [got[i]["verdict"] for i in (10, 11, 12, 13, 17, 18)] == ["block"] * 5 + ["allow"]
 
 
+def test_ten_thousand_site_rules(spark):
+    import time
+
+    rng = random.Random(3)
+    host = lambda: ".".join(rng.choice(["a", "b", "org", "com", "x-y"]) for _ in range(rng.randrange(1, 5)))
+    rules = [(rng.choice(["allow", "block"]), host(), rng.choice(["/", "/p", "/p/q", "/é", ""])) for _ in range(9_500)] + [("block", f"h{i}.net", "/") for i in range(500)] + [("allow", "", "/p")]
+    url = [f"http://{host()}{rng.choice(['', '.', '.h7.net', '.h7.net.'])}{rng.choice(['', '/', '/p/q/r', '/é?', '/z'])}" for _ in range(300)] + ["http://h7.net/", "http://xh7.net/", "http:///p", None]
+    rows = spark.createDataFrame(list(enumerate(url)), "page_id long, url string")
+    began = time.time()
+    done = urls.filter_urls(rows, rules=rules, patterns=[])
+    done._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 20
+    last = {(h, p): v for v, h, p in rules}
+    for r in done.collect():
+        fits = [(len(h + p), h, p) for h, p in last if (r["host"] == h or r["host"].endswith(f".{h}")) and r["path"].startswith(p)]
+        best = max(fits, default=None)
+        assert (r["rule"], r["verdict"]) == ((best[1] + best[2], last[best[1:]]) if best else (None, "allow")), r
+
+
 def test_pattern_index_runs_few_rules_of_many():
     import re
 

@@ -44,3 +44,17 @@ def test_rows_that_share_a_doc_id(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, one), (1, two), (7, leak), (0, leak)])
     kept = cp.drop_leaks(spark, docs, SF).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(rows[:5])
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like the stages' own, with dots, and without n_chars stay as they are."""
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "keep1", 7, "x"), (2, text, "keep2", 8, "y"), (3, leak, "keep3", 9, None), (4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ROW string, `a.b` int, component_id string")
+    kept = cp.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], *rows[2:]]
+    kept = cp.drop_leaks(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[1], rows[3]]
+    cut = cp.cut_repeated_passages(spark, docs, SF)
+    assert cut.columns == docs.columns and sorted(tuple(r)[2:] for r in cut.collect() if r["doc_id"] < 4) == [tuple(r)[2:] for r in rows[:3]]

@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import discard, has, ship, staged, text_of, tidy
 from .suffixes import ranges, suffix_arrays
@@ -422,8 +423,9 @@ def without_repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", te
     whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]))
     k, t = F.col(f"`{key}`"), text_of(text)
     marked = whole.select("_row", t.alias("text"), F.xxhash64(k).alias("a"), F.xxhash64(t, k).alias("b")).join(found, ["a", "b"], "left")
-    kind = marked.schema["_row"].dataType.simpleString()
-    cut = marked.select(F.col("_row").alias("row"), "text", "spans").mapInArrow(tidy(_finish(length, True)), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    kinds = {"row": marked.schema["_row"].dataType, "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.StringType()}
+    form = T.StructType([T.StructField(n, kind) for n, kind in kinds.items()])  # not as text: names may hold anything
+    cut = marked.select(F.col("_row").alias("row"), "text", "spans").mapInArrow(tidy(_finish(length, True)), form)
     return cut.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
