@@ -182,6 +182,13 @@ def resolve(path: str, root: Column | None = None, schema: T.StructType | None =
     return Found(present, cur.isNull(), F.to_json(cur.cast("variant")), cur.cast("string"))
 
 
+def may_hold_calls(path: str) -> None:
+    """Refuse a path that can lead to no calls: neither recorded ones nor into free-form values."""
+    segments = split_path(path)
+    if segments != ["output", "tool_calls"] and not any(s in JSON_FIELDS for s in segments):
+        raise ValueError(f"{path!r} is no array of calls")
+
+
 def calls_at(path: str) -> tuple[Column, Column]:
     """(calls, why not applicable) at a path: recorded calls, or a JSON array of objects elsewhere in the trace."""
     if split_path(path) == ["output", "tool_calls"]:

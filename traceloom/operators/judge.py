@@ -25,7 +25,7 @@ from ..session import ship, staged
 PARSER_VERSION = "1"
 PROVIDERS = ("anthropic", "openai_compat", "mock")
 RETRIED = (429, 500, 502, 503, 504)
-ANSWER = "cache_key string, parsed string, raw string, error string, latency_ms long, cost_usd double, tokens_in long, tokens_out long"
+ANSWER = "cache_key string, parsed string, error string, latency_ms long, cost_usd double, tokens_in long, tokens_out long, raw string"
 CACHE = "cache_key string, parsed string"
 
 
@@ -118,13 +118,13 @@ def _plus(a, b):
 
 
 def ask_one(provider: Provider, prompt: dict, schema: dict, config: JudgeConfig) -> tuple:
-    """(parsed, raw, error, latency_ms, cost_usd, tokens_in, tokens_out); never raises.  ``raw`` is the text of a reply that stayed unusable."""
+    """(parsed, error, latency_ms, cost_usd, tokens_in, tokens_out, raw); never raises.  ``raw`` is the text of a reply that stayed unusable."""
     began = time.monotonic()
     took = lambda: int((time.monotonic() - began) * 1000)
     try:
         reply = _call(provider, prompt, schema, config)
     except Exception as e:
-        return None, None, f"{type(e).__name__}: {e}", took(), None, None, None
+        return None, f"{type(e).__name__}: {e}", took(), None, None, None, None
     cost, t_in, t_out = reply.cost_usd, reply.tokens_in, reply.tokens_out
     parsed, raw = parse_reply(reply.text), reply.text
     if parsed is None:
@@ -136,7 +136,7 @@ def ask_one(provider: Provider, prompt: dict, schema: dict, config: JudgeConfig)
             cost, t_in, t_out = _plus(cost, again.cost_usd), _plus(t_in, again.tokens_in), _plus(t_out, again.tokens_out)
         except Exception:
             parsed = None
-    return canonical(parsed) if parsed is not None else None, raw if parsed is None else None, None, took(), cost, t_in, t_out
+    return canonical(parsed) if parsed is not None else None, None, took(), cost, t_in, t_out, raw if parsed is None else None
 
 
 def ask(prompts: DataFrame, schema: Column, version: Column, config: JudgeConfig, provider: Provider, cache: DataFrame | None = None, order: str = "trace_id") -> tuple[DataFrame, DataFrame]:

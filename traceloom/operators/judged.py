@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonical, version_of
 from ..functions.lookup import Lookup
-from ..functions.paths import calls_at, member, resolve, split_path
+from ..functions.paths import calls_at, may_hold_calls, member, resolve, split_path
 from ..functions.text import as_bool, render
 from ..registry import NONE, Registry
 from .base import results, row
@@ -296,6 +296,7 @@ class ToolSelection:
     def __post_init__(self):
         if self.samples != 1:
             raise ValueError("only one sample is taken")
+        may_hold_calls(self.actual)
         hidden = [["output", "text"], ["output", "tool_calls"], split_path(self.actual)]
         for p in self.shown():
             if any(split_path(p)[: len(h)] == h for h in hidden):
@@ -364,7 +365,7 @@ class TextMatchesTools:
         return version_of(["text_matches_tools", self.id, told, self.text, self.system, self.judge.identity(), *([self.actual] if self.actual != "output.tool_calls" else [])])
 
     def __post_init__(self):
-        split_path(self.actual)
+        may_hold_calls(self.actual)
         split_path(self.text)
 
     def described(self, calls: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import version_of
 from ..functions.lookup import Lookup
-from ..functions.paths import calls_at, comparable, member, member_path, one_of, resolve, split_path
+from ..functions.paths import calls_at, comparable, may_hold_calls, member, member_path, one_of, resolve, split_path
 from ..functions.text import short
 from ..registry import Registry
 from .base import Narrow, helper, outcome
@@ -160,7 +160,7 @@ class ToolRegistryCheck(Narrow):
     def __post_init__(self):
         if self.expected is not None:
             raise ValueError("a registry check compares with the registry and takes no expected path")
-        split_path(self.actual)
+        may_hold_calls(self.actual)
 
     def version_hash(self) -> str:
         return version_of(["tool_registry_check", self.id, self.registry.hash(), self.actual, self.node_path, self.check_arguments, self.check_duplicates])
@@ -195,7 +195,7 @@ class ToolCallOutcome(Narrow):
         if self.expected is not None:
             raise ValueError("an outcome check reads what was recorded and takes no expected path")
         split_path(self.error_field)
-        split_path(self.actual)
+        may_hold_calls(self.actual)
 
     def version_hash(self) -> str:
         return version_of(["tool_call_outcome", self.id, self.actual, self.error_field, list(self.failure_values)])

@@ -16,6 +16,7 @@ from .operators.extensions import JsonSchema, PythonCheck
 from .operators.matching import ExactMatch, JsonMatch
 from .operators.tool_calls import ToolCallOutcome, ToolRegistryCheck
 from .plans import feedback, governance, near, promotion, report, splits, suite
+from .session import shared_path
 from .sources import store
 from .streaming import evaluate
 
@@ -486,7 +487,9 @@ def feedback_argument_check(spark, sf):
 @query(f"{WITH}, t AS (SELECT DISTINCT trace_id, user_id FROM calls) SELECT CASE WHEN user_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM t GROUP BY 1")
 def split_counts(spark, sf):
     split = F.when(F.split("trace_id", "-")[1].cast("long") % 10 == 0, "test").otherwise("train")
-    return d.traces(spark, sf).groupBy(split.alias("split")).agg(F.count("*").alias("n"))
+    kept = store.Store(spark, shared_path(spark, "store"))
+    print_, _ = kept.write_snapshot("p", d.traces(spark, sf), {"type": "events"}, split)
+    return kept.split_counts("p", print_)
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS trace_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1")
@@ -545,8 +548,8 @@ def ingest_problems(spark, sf):
 @query("SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
 def latest_of_each(spark, sf):
     """The latest row of each group: an aggregate, not a sort."""
-    c = spark.read.parquet(f"{sf}/conversations.parquet")
-    return c.groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), "turn").alias("m")).select("conv_id", "m.role", "m.text")
+    c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return store.last_of_each(c, "conv_id", "turn").select("conv_id", "role", "text")
 
 
 # splits, intervals and gates

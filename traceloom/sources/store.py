@@ -32,6 +32,12 @@ def row_hash(traces: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(traces.columns))), 256)
 
 
+def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each key with the greatest ``order``: an aggregate that is partial ahead of the shuffle, not a sort."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__last")).select(key, "__last.*")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -98,8 +104,7 @@ class Store:
         path = self._path(table)
         if not self.exists(path):
             return None
-        rows = self.spark.read.option("mergeSchema", "true").parquet(path)
-        return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "created_at").alias("x")).select(key, "x.*")
+        return last_of_each(self.spark.read.option("mergeSchema", "true").parquet(path), key, "created_at")
 
     def upsert_project(self, name: str, config: dict) -> None:
         """Keep a project's configuration; the latest replaces those before it."""
