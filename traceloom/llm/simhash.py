@@ -22,6 +22,7 @@ with a null key take part in links but can't name a component.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, has, ship, staged, text_of, tidy
+from .shared import discard, has, over_cells, ship, staged, text_of, tidy
 
 BYTES = 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -46,6 +47,9 @@ ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 TOGETHER = 24
 #: A fingerprint is hot if it has at least this share of the rows; so there are at most 1 / HOT of them.
 HOT = 0.001
+#: Bits of a text's sketch, and the orders of hashes that they come from.
+SKETCH = 1024
+_ORDERS = np.random.default_rng(97).integers(1, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def bit_count(x: np.ndarray) -> np.ndarray:
@@ -188,11 +192,13 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def links(fps: DataFrame, limit: int = 4) -> DataFrame:
+def links(fps: DataFrame, limit: int = 4, chunk: int = 4096) -> DataFrame:
     """(a, b): links between the distinct fingerprints of column ``fp`` (longs).
 
     All links of short lists; of long ones those that keep its parts connected.
-    A list holds distinct fingerprints only, so copies don't lengthen it.
+    A list holds distinct fingerprints only, so copies don't lengthen it; one of
+    more than two chunks is cut into chunks, each pair of which is a piece of
+    work of its own, so that no task gets a whole list however long.
     """
     if not 0 <= limit < BYTES:
         raise ValueError("limit must be under 8: else no positional byte need be shared")
@@ -200,14 +206,31 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     ship(fps.sparkSession)
     sets = cover(shared)
     index = fps.select("fp").distinct().select("fp", F.explode(F.array(*_entries(sets))).alias("k"))
+    # lists over two chunks; no more than entries / chunk
+    long_ = staged(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > 2 * chunk).select("k", F.ceil(F.col("n") / chunk).alias("chunks")), "long")
+    form = "a long, b long"
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_lists(batches):
-            found = _links(t["k"].to_numpy(), t["fp"].to_numpy().view(np.uint64), sets, shared, limit)
-            both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            yield batch_of(_links(t["k"].to_numpy(), t["fp"].to_numpy().view(np.uint64), sets, shared, limit))
 
-    return index.repartition("k").sortWithinPartitions("k").select("k", "fp").mapInArrow(tidy(met), "a long, b long")
+    def met_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_lists(batches):
+            k, found = t["k"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+            edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
+            yield batch_of([x for a, b in zip(edge[:-1], edge[1:]) for x in _spread(np.unique(found[a:b]), shared, limit)])
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    in_lists = lambda t, f: t.repartition("k").sortWithinPartitions("k").select("k", "fp").mapInArrow(tidy(f), form)
+    if not long_.limit(1).count():
+        return in_lists(index, met)
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
+    cut = over_cells(index.join(long_, "k").withColumn("own", own), F.col("chunks"), "other")
+    cells = cut.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "fp")
+    return in_lists(index.join(long_, "k", "left_anti"), met).unionByName(in_lists(cells, met_in_cells))
 
 
 def _named(rows: DataFrame, least: DataFrame, parts: DataFrame, node: str) -> DataFrame:
@@ -256,7 +279,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     A list's pairs are tried in rounds: neighbours in the order of fingerprints
     first, then those further apart, sixteen times as far each round, and only
     pairs that no links connect yet.  So every pair is tried or connected, but a group
-    of many copies of one text doesn't become all its pairs.
+    of many copies of one text doesn't become all its pairs.  Pairs leave a list only
+    if sketches of their sets (``SKETCH`` one-bit minima) agree as pairs at the
+    threshold do but for one in some 10^7; those are verified on the whole sets.
     """
     has(docs, key, text)
     ship(docs.sparkSession)
@@ -270,8 +295,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     need = lists.select("t").distinct()
     one = least.join(need, "t", "left_semi").select("t", "id")
     texts = rows.withColumn("t", F.xxhash64("text")).join(one.withColumnRenamed("id", "one"), "t").where(F.col("id").eqNullSafe(F.col("one"))).select("t", "text")
-    shingles = texts.mapInArrow(tidy(_shingle_sets(words)), "t long, h array<long>")
-    shingles = staged(shingles.groupBy("t").agg(F.any_value("h").alias("h")), "shingles")
+    bits = ", ".join(f"s{n} long" for n in range(SKETCH // 64))
+    shingles = texts.mapInArrow(tidy(_shingle_sets(words)), f"t long, h array<long>, {bits}")
+    shingles = staged(shingles.groupBy("t").agg(*[F.any_value(c).alias(c) for c in shingles.columns[1:]]), "shingles")
+    plain, lists = lists, staged(lists.join(shingles.drop("h"), "t"), "sketched")
+    discard(plain)
+    sketch = shingles.columns[2:]
 
     found, parts, step = None, None, 1
     while step < longest:
@@ -286,7 +315,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
             if at.isEmpty():
                 discard(at)
                 break
-        tried = at.select("k", "fp", "t", "i", "c").repartition("k").sortWithinPartitions("k", "i").mapInArrow(tidy(_pairs(sets, step, 16 * step, limit)), "a long, b long")
+        tried = at.select("k", "fp", "t", "i", "c", *sketch).repartition("k").sortWithinPartitions("k", "i").mapInArrow(tidy(_pairs(sets, step, 16 * step, limit, similarity)), "a long, b long")
         pairs = staged(tried.distinct(), "pairs")
         linked = pairs.join(shingles.select(F.col("t").alias("a"), F.col("h").alias("x")), "a").join(shingles.select(F.col("t").alias("b"), F.col("h").alias("y")), "b")
         fresh = linked.mapInArrow(tidy(_alike(similarity)), "a long, b long")
@@ -313,19 +342,40 @@ def _long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "fp", "t", "i", "n"])
 
 
-def _pairs(sets: list[tuple[int, ...]], least: int, below: int, limit: int):
-    """Pairs of each list at distances from ``least`` up, below ``below``, of different components."""
-    first, shared = _first(sets), len(sets[0])
+def agreeing(similarity: float) -> int:
+    """Bits of a sketch that sets of a similarity agree in, less five and a half standard errors."""
+    p = (1 + similarity) / 2
+    return math.floor(SKETCH * p - 5.5 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def sketches(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(set, word): a bit of the least hash under each of SKETCH orders; a set without elements has none set."""
+    out = np.zeros((len(size), SKETCH // 64), np.uint64)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return out
+    at, flat = (np.cumsum(size) - size)[some], (flat >> np.uint64(32)).astype(np.uint32)
+    for n, step in enumerate(_ORDERS):
+        bit = (np.minimum.reduceat(flat * step, at) >> np.uint32(9)) & np.uint32(1)
+        out[some, n // 64] |= bit.astype(np.uint64) << np.uint64(n % 64)
+    return out
+
+
+def _pairs(sets: list[tuple[int, ...]], least: int, below: int, limit: int, similarity: float):
+    """Pairs of each list at distances from ``least`` up, below ``below``, of different components and sketches that may be similar."""
+    first, shared, most = _first(sets), len(sets[0]), SKETCH - agreeing(similarity)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_lists(batches):
             k, c, t, f = (table[x].to_numpy() for x in ("k", "c", "t", "fp"))
             f = f.view(np.uint64)
+            words = [table[f"s{n}"].to_numpy().view(np.uint64) for n in range(SKETCH // 64)]
             for lag in range(least, min(below, len(k))):
                 same = np.flatnonzero((k[lag:] == k[:-lag]) & (c[lag:] != c[:-lag]))
                 mask = shared_bytes(f[same] ^ f[same + lag])
                 same = same[(ONES[mask] >= shared) & (first[mask] == k[same] >> 32)]
                 same = same[bit_count(f[same] ^ f[same + lag]) <= limit]
+                same = same[sum(bit_count(w[same] ^ w[same + lag]).astype(np.int64) for w in words) <= most]
                 if len(same):
                     a, b = t[same], t[same + lag]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -336,8 +386,11 @@ def _pairs(sets: list[tuple[int, ...]], least: int, below: int, limit: int):
 def _shingle_sets(words: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in b.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "h"])
+            sets = [np.unique(shingle_hashes(x, words)) for x in b.column(1).cast(pa.large_binary()).to_pylist()]
+            if sets:
+                found = sketches(np.concatenate(sets), np.array([len(x) for x in sets])).view(np.int64)
+                columns = [b.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), *(pa.array(found[:, n]) for n in range(found.shape[1]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "h", *(f"s{n}" for n in range(found.shape[1]))])
 
     return made
 
