@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 
 from traceloom.llm import decontaminate, packing, simhash, substrings, toxicity
 from traceloom.llm.queries import vocabulary
-from traceloom.llm.shared import read, ship, staged, text_of
+from traceloom.llm.shared import read, ship, staged, text_of, unused
+
+
+def named(docs: DataFrame) -> list:
+    """The columns of ``docs``, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,26 +42,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: of those with the smallest doc_id that with the least text hash."""
     # a doc_id may stand on rows with different texts, which are in groups of their own
-    rows = docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(text_of("text")).alias("text"))))
-    found = simhash.similar(rows, key="row", words=5, similarity=0.8)
-    gone = found.where(F.col("row") != F.col("component_id")).select("row").distinct()
+    row = unused(docs, "row")
+    rows = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(text_of("text")).alias("text"))))
+    found = simhash.similar(rows.select(row, "text"), key=row, words=5, similarity=0.8)
+    gone = found.where(F.col(row) != F.col("component_id")).select(row).distinct()
     # rows that repeat a doc_id and text are rare; only they are brought together to keep one
-    again = staged(found.where(F.col("row") == F.col("component_id")).groupBy("row").count().where("count > 1").select("row"), "again")
-    single = rows.join(staged(gone.unionByName(again), "gone"), "row", "left_anti")
-    first = rows.join(again, "row", "left_semi").dropDuplicates(["row"])
-    return single.unionByName(first).select(*docs.columns)
+    again = staged(found.where(F.col(row) == F.col("component_id")).groupBy(row).count().where("count > 1").select(row), "again")
+    single = rows.join(staged(gone.unionByName(again), "gone"), row, "left_anti")
+    first = rows.join(again, row, "left_semi").dropDuplicates([row])
+    return single.unionByName(first).select(*named(docs))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what other texts, or they themselves, repeat; n_chars follows."""
-    return substrings.without_repeated(docs, length=200).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    cut = substrings.without_repeated(docs, length=200)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item."""
-    rows = docs.withColumn("row", F.sha2(text_of("text").cast("binary"), 256))
-    leaked = staged(decontaminate.leaks(rows, read(spark, sf_dir, "benchmark"), key="row").select("row").distinct(), "leaked")
-    return rows.join(leaked, "row", "left_anti").select(*docs.columns)
+    row = unused(docs, "row")
+    rows = docs.withColumn(row, F.sha2(text_of("text").cast("binary"), 256))
+    leaked = staged(decontaminate.leaks(rows.select(row, "text"), read(spark, sf_dir, "benchmark"), key=row).select(row).distinct(), "leaked")
+    return rows.join(leaked, row, "left_anti").select(*named(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
