@@ -208,6 +208,21 @@ def test_rank_matches_brute_force(spark, options):
     assert by_row(got) == by_row(brute_rank(docs, items, 10, options.get("once", True)))
 
 
+def test_rank_matches_brute_force_over_many_tasks(spark):
+    """Blocks of documents meet all items also where cells lie in tasks of their own."""
+    rng = random.Random(31)
+    docs = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 20)))) for i in range(120)]
+    items = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(5))) for i in range(20)]
+    d, i = (spark.createDataFrame(rows, f"{key} long, text string").repartition(3) for rows, key in ((docs, "doc_id"), (items, "item_id")))
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")
+    try:
+        got = [tuple(r) for r in search.rank(d, i, rows=10, item_block=4).collect()]
+    finally:
+        spark.conf.unset(merged)
+    assert by_row(got) == by_row(brute_rank(docs, items, 10))
+
+
 def test_rank_edges(spark):
     d = spark.createDataFrame([("b", "one two"), ("a", "one two"), (None, "one")], "`a.id` string, `a.text` string")
     i = spark.createDataFrame([(1, "two ONE")], "`a.id` int, `q.text` string")

@@ -208,8 +208,9 @@ def rank(docs: DataFrame, items: DataFrame, top: int = 10, key: str = "doc_id",
     weighed = staged(asked.join(df.select("term", weight.alias("w")), "term").where("w > 0"), "weighed")  # a term of no document finds nothing
 
     parts, cells = max(1, -(-weighed.select("item").distinct().count() // item_block)), max(1, n_blocks)
-    part = F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int")
-    left = over_cells(blocks.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")), parts, "part")
+    # cells and parts are long on both sides: Spark hashes an int and a long of one value to different tasks
+    part = F.pmod(F.xxhash64("item"), F.lit(parts)).cast("long")
+    left = over_cells(blocks.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("long")), parts, "part")
     right = over_cells(weighed.withColumn("part", part), cells, "cell")
     form = T.StructType([T.StructField("item", T.LongType()), T.StructField("id", items.schema[item_key].dataType), T.StructField("doc", docs.schema[key].dataType), T.StructField("score", T.LongType())])
     found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(_product(total, terms, top, form), form)
