@@ -466,6 +466,28 @@ def test_neighbours_reach_brute_force(spark):
     assert neighbours.search(table.limit(0)).count() == 0
 
 
+def test_neighbours_that_codes_tell_apart_badly(spark):
+    """Vectors that differ by less than codes leave of them, a few far longer ones, and ids with several vectors."""
+    rng = np.random.default_rng(16)
+    x = (5 + 0.02 * rng.normal(size=(2400, 16))).astype(np.float32)
+    x[::200] = 1e4 * rng.normal(size=(12, 16))
+    ids = [*range(2390), *range(10)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.search(table, books=4, words=16, sample=800, pool=100, block=1024, query_block=64).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    y = x.astype(np.float64)
+    score = {}
+    for at in (k for k in range(len(ids)) if ids[k] % 20 == 0):
+        best = score.setdefault(ids[at], {})
+        for j, s in zip(ids, (y * y[at]).cumsum(axis=1)[:, -1].tolist()):
+            if j != ids[at]:
+                best[j] = max(s, best.get(j, s))
+    assert set(got) == set(score)
+    for q, best in score.items():
+        assert [got[q][k] for k in range(1, 21)] == sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]
+
+
 # 1: decontamination
 
 

@@ -3,16 +3,17 @@
 A vector is coded as a sum of full-dimensional codewords, one of each codebook.
 The books are fitted to residuals on a bounded sample of rows (``sample``); the
 codes of every row come from a beam search over the books, which keeps the best
-partial sums, and are stored with the norm of the sum.  A query makes one table
-of inner products with all codewords; a row's score is the sum of its codes'
-entries (for distances the stored norm completes it).  The ``pool`` rows of the
-whole table that score best are reranked by the exact measure on the original
-vectors.
-
-Queries go against all rows, block by block, but only codes meet queries there;
-vectors are joined for the pool alone.  Blocks are of rows by hash, so a block's
-share of the pool is even but for chance; it sends that and four standard errors
-more, as one row a query, and the pool is chosen where a query's rows meet.
+partial sums.  A query makes one table of inner products with all codewords; the
+guess of a row's score is the sum of its codes' entries.  About ``pool`` rows of
+the whole table that are guessed best are scored first by the exact measure on
+the original vectors, then all that the codes can't rule out.
+
+Queries go against all rows, block by block.  A block's rows of best guess give a
+query a score that ``top`` of its answers reach; a code's error, kept as the norm
+of what it leaves of its vector, bounds how far a score may lie above its guess.
+Every row that may reach that score is rescored from its original vector, so no
+neighbour is lost however the vectors lie; rows that can't are never rescored.
+Each block sends one row a query, with its ``top`` best.
 
 Equal vectors are coded once: a distinct vector carries its ``top + 1`` smallest
 ids, which is all that any answer can need.  Vectors that are null, zero, hold
@@ -97,6 +98,18 @@ class Books:
             norms[a : a + n] = ((y - left[:, 0]) ** 2).sum(1)
         return codes, norms
 
+    def left(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Norms of what the coded sums leave of x, in double precision."""
+        total = np.zeros(x.shape)
+        for c, at in zip(self.book, codes.T):
+            total += c[at]
+        return np.linalg.norm(x - total, axis=1)
+
+    def slack(self) -> float:
+        """How far single precision may move a guess, for a query of norm 1."""
+        m, _, d = self.book.shape
+        return 4 * (m + d) * 2.0**-23 * float(np.linalg.norm(self.book.astype(np.float64), axis=2).max(1).sum())
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(query, book, word): inner products with all codewords."""
         return np.einsum("qd,mkd->qmk", q.astype(np.float32), self.book)
@@ -147,68 +160,93 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_i
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, norms = fitted.encode(_matrix(b.column("v")).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["h", "code", "norm"])
+            x = _matrix(b.column("v"))
+            codes = fitted.encode(x.astype(np.float32))[0]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("v"), b.column("ids"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(fitted.left(x, codes))], names=["h", "v", "ids", "code", "left"])
 
+    block = min(block, max(256, (1 << 21) // len(picked[0])))  # a task holds its block's vectors
     n_blocks, n_query = -(-distinct.count() // block), max(1, -(-asked.count() // query_block))
     share = pool / n_blocks
     keep = min(pool, int(share + 4 * share**0.5) + 8)
-    index = staged(distinct.select("h", "v").mapInArrow(tidy(coded), "h long, code binary, norm float"), "index")
+    kind = distinct.schema["v"].dataType.simpleString()
+    index = staged(distinct.mapInArrow(tidy(coded), f"h long, v {kind}, ids array<long>, code binary, left double"), "index")
     # each block of codes meets each block of queries in one task
-    left = index.select("h", "code", F.pmod("h", F.lit(n_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"))
-    right = asked.select("ask", "v", F.pmod("ask", F.lit(n_query)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-    found_form = pa.schema([("ask", pa.int64()), ("h", pa.list_(pa.int64())), ("guess", pa.list_(pa.float32()))])
+    left = index.select("v", "ids", "code", "left", F.pmod("h", F.lit(n_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"))
+    right = asked.select("query_id", "v", F.pmod("ask", F.lit(n_query)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
+    found_form = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
-    def scanned(codes: pa.Table, asks: pa.Table) -> pa.Table:
-        if not codes.num_rows or not asks.num_rows:
+    def scanned(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        if not rows.num_rows or not asks.num_rows:
             return found_form.empty_table()
-        h, ask = codes["h"].to_numpy(), asks["ask"].to_numpy()
-        c = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(h), -1).T.copy()
-        q, n = _matrix(asks["v"].combine_chunks()), min(keep, len(h))
-        out = []
-        for a in range(0, len(q), 64):
-            t = fitted.tables(q[a : a + 64])
-            s = np.zeros((len(t), len(h)), np.float32)
-            for m in range(len(c)):
-                s += t[:, m, :][:, c[m]]
-            best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            out.append((ask[a : a + 64], h[best], np.take_along_axis(s, best, 1)))
-        asked, held, guess = (np.concatenate(x) for x in zip(*out))
-        at = pa.array(np.arange(0, held.size + 1, n, dtype=np.int32))
-        return pa.table([pa.array(asked), pa.ListArray.from_arrays(at, held.ravel()), pa.ListArray.from_arrays(at, guess.ravel())], schema=found_form)
-
-    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            asks, held = [], []
-            for one, h, guess in zip(b.column("ask").to_pylist(), b.column("h"), b.column("guess")):
-                h, guess = h.values.to_numpy(), guess.values.to_numpy()
-                top_ones = h[np.lexsort((h, -guess))[:pool]]
-                asks.append(np.full(len(top_ones), one))
-                held.append(top_ones)
-            if asks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(asks)), pa.array(np.concatenate(held))], names=["ask", "h"])
-
-    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(scanned, "ask long, h array<long>, guess array<float>")
-    each = found.groupBy("ask").agg(F.collect_list(F.struct("h", "guess")).alias("x")).select("ask", F.flatten(F.col("x.h")).alias("h"), F.flatten(F.col("x.guess")).alias("guess"))
-    best = staged(each.mapInArrow(tidy(pooled), "ask long, h long"), "pool")
-    # the original vectors, for the pool alone
-    met = best.join(distinct, "h").join(asked.select("ask", "query_id", F.col("v").alias("q")), "ask").select("query_id", "q", "v", "ids")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(rows.num_rows, -1).T.copy()
+        held = Block(_matrix(rows["v"].combine_chunks()), c, rows["left"].to_numpy(), rows["ids"].combine_chunks())
+        q, who = _matrix(asks["v"].combine_chunks()), asks["query_id"].to_numpy()
+        found = [x for a in range(0, len(q), 64) for x in held.nearest(fitted, q[a : a + 64], who[a : a + 64], top, keep)]
+        return pa.table([asks["query_id"].combine_chunks(), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float64()))], schema=found_form)
+
+    def merged_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # added up in order, as a plain loop would
-            score = (_matrix(b.column("q")) * _matrix(b.column("v"))).cumsum(axis=1)[:, -1]
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("ids"), pa.array(score)], names=["query_id", "ids", "score"])
-
-    scored = met.mapInArrow(tidy(exact), "query_id long, ids array<long>, score double").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    # more than ``top`` scores of a query may be those of one id with several vectors, so ids are made distinct first
-    each = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
+            best = [best_of(ids.values.to_numpy(), s.values.to_numpy(), top) for ids, s in zip(b.column("ids"), b.column("scores"))]
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array([x[0] for x in best], pa.list_(pa.int64())), pa.array([x[1] for x in best], pa.list_(pa.float64()))], schema=found_form)
+
+    form_of = "query_id long, ids array<long>, scores array<double>"
+    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(scanned, form_of)
+    each = found.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("x")).select("query_id", F.flatten(F.col("x.ids")).alias("ids"), F.flatten(F.col("x.scores")).alias("scores"))
+    best = each.mapInArrow(tidy(merged_blocks), form_of).select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "x"))
+    ranked = best.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     out = staged(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
-    discard(index, best, distinct, asked)
+    discard(index, distinct, asked)
     return out
 
 
+class Block:
+    """A block's vectors with their codes (book, row), what these leave of them, and their ids."""
+
+    def __init__(self, x: np.ndarray, codes: np.ndarray, left: np.ndarray, ids: pa.ListArray):
+        self.x, self.codes, self.left = x, codes, left
+        self.ids, size = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        # so many vectors of the block at most hold one id
+        self.shared = int(np.unique(self.ids, return_counts=True)[1].max())
+        self.norm = float(np.linalg.norm(x, axis=1).max())
+
+    def nearest(self, books: Books, q: np.ndarray, who: np.ndarray, top: int, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the ``top`` best ids of the block for each query, but its own."""
+        n = len(self.x)
+        need = min(n, (top + 1) * self.shared)  # vectors that hold ``top`` ids besides the query's
+        keep = min(n, max(keep, need))
+        with np.errstate(all="ignore"):
+            t, size = books.tables(q), np.linalg.norm(q, axis=1)[:, None]
+            guess = np.zeros((len(q), n), np.float32)
+            for m in range(len(self.codes)):
+                guess += t[:, m, :][:, self.codes[m]]
+            first = np.argpartition(-guess, keep - 1, axis=1)[:, :keep]
+            reached = np.array([np.partition(self.x[at] @ y, keep - need)[keep - need] for at, y in zip(first, q)])[:, None]
+            # the bound, and what rounding may add to either side; what compares with nothing stays in
+            close = 8 * self.x.shape[1] * 2.0**-52 * size * self.norm
+            may = ~(guess + size * (self.left + books.slack()) < reached - close)
+            rows = np.flatnonzero(may.any(0))
+            score = np.where(may[:, rows], q @ self.x[rows].T, -np.inf)
+            low = np.partition(score, len(rows) - need, axis=1)[:, len(rows) - need, None] - close
+            some = ~(score < low) & may[:, rows]
+        for i, y in enumerate(q):
+            at = rows[some[i]]
+            exact = (self.x[at] * y).cumsum(axis=1)[:, -1]  # added up in order, as a plain loop would
+            size = self.ends[at] - self.starts[at]
+            ids = self.ids[np.repeat(self.starts[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+            others = ids != who[i]
+            yield best_of(ids[others], np.repeat(exact, size)[others], top)
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``top`` best distinct ids, ties by the smaller one, each with its best score."""
+    order = np.lexsort((ids, -scores))
+    ids, scores = ids[order], scores[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:top]
+    return ids[first], scores[first]
+
+
 def _matrix(lists: pa.Array) -> np.ndarray:
     """Lists of one length as a matrix in double precision."""
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
