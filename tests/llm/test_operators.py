@@ -623,6 +623,30 @@ def test_learning_rows_are_bounded_by_rows(spark):
     assert learning_rows(rows, labels, "toxic", 4).count() <= 4
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Means and the cut are those of all labelled rows outside the held-out part, however many; pairs are in cells."""
+    made = []
+    monkeypatch.setattr(quality, "train", lambda *a, f=quality.train: made.append(f(*a)) or made[-1])
+    rng = np.random.default_rng(8)
+    y = (rng.random(14_000) < 0.9).astype(int)
+    rows = [(i, "ab " * int(rng.integers(1, 9)) + ("." * int(rng.integers(0, 5)) if v else "|" * int(rng.integers(0, 9)))) for i, v in enumerate(y.tolist())]
+    got = quality.score_quality(docs_of(spark, rows), spark.createDataFrame([(i, v) for i, v in enumerate(y.tolist())], "doc_id long, quality int")).collect()
+    learnt = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in rows])
+    x = np.array([quality.features(t) for _, t in rows], np.float64)
+    model = made[0]
+    assert model.mean == pytest.approx(x[learnt].mean(0), abs=1e-6) and model.scale == pytest.approx(x[learnt].std(0) + 1e-3, abs=1e-6)
+    score = np.array([r["score"] for r in sorted(got, key=lambda r: r["doc_id"])])
+    assert score == pytest.approx(model.score(x), abs=1e-9)
+    k = int(learnt.sum() - y[learnt].sum())
+    assert np.sort(model.strength(x[learnt]))[k] == pytest.approx((np.log(0.7 / 0.3) - model.b) / model.a, abs=1e-6)
+    values = spark.createDataFrame([(float(v),) for v in rng.normal(size=500).round(1)], "s double")
+    held = sorted(r["s"] for r in values.collect())
+    assert [quality.ranked(values, k, bins=8) for k in (0, 250, 499)] == [held[0], held[250], held[499]]
+    rare = spark.createDataFrame([(i, int(i % 200 == 0), [float(i)]) for i in range(2000)], "k long, y int, x array<float>")
+    cells = quality.dealt(rare, 10, 1990, 100).collect()
+    assert sorted(v for c in cells for v in c["bad"]) == [i for i in range(2000) if i % 200] and all(len(c["good"]) == 10 for c in cells)
+
+
 def test_classifiers_without_labels(spark):
     rows = docs_of(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -12,15 +12,20 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """(k, y): the labelled keys outside the held-out part, but those whose labels are null or of two minds."""
+    y = F.col(f"`{label}`").cast("int")
+    known = labels.where(F.col(f"`{key}`").isNotNull() & y.isin(0, 1)).groupBy(F.col(f"`{key}`").alias("k")).agg(F.min(y).alias("y"), F.max(y).alias("top")).where("y = top").select("k", "y")
+    return known.where(~held_out("k"))
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, y): at most ``sample`` labelled rows outside the held-out part.
 
     Keys are chosen by a hash, half of each label where there are enough, and of
     the rows of a key that with the least text hash.  Labels that are null or of two minds about a key are left out.
     """
-    y = F.col(f"`{label}`").cast("int")
-    known = labels.where(F.col(f"`{key}`").isNotNull() & y.isin(0, 1)).groupBy(F.col(f"`{key}`").alias("k")).agg(F.min(y).alias("y"), F.max(y).alias("top")).where("y = top").select("k", "y")
-    known = known.where(~held_out("k"))
+    known = known_labels(labels, label, key)
     order = F.xxhash64(F.col("k"), F.lit(17))
     some = known.where("y = 1").orderBy(order).limit(sample // 2).union(known.where("y = 0").orderBy(order).limit(sample // 2))
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
