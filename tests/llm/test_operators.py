@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -81,6 +83,23 @@ def test_repeated_strings_edges(spark):
     assert sorted(r["text"] for r in kept) == ["", "", "", "short"]
 
 
+def test_suffix_arrays_take_bounded_memory():
+    """However many grams a task has, few enough are worked on at once for a small executor."""
+    rng = random.Random(21)
+    rows = []
+    for gram in range(900):
+        text = bytes(rng.choices(b"abcdefgh", k=280))
+        rows += [(gram, i, text[:i] + b"XY" + text[i:]) for i in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["gram", "seg", "bytes"])
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in substrings._arrays(200)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == len(rows) and peak < 120e6
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_suffix_arrays(seed):
     rng = np.random.default_rng(seed)
@@ -237,6 +256,24 @@ def test_similar_texts_match_brute_force(spark):
     assert got[n - 1] == got[n - 2] == n - 2
 
 
+def test_sets_of_shingles_are_made_once_and_not_shuffled(spark, monkeypatch):
+    plans, made = {}, {}
+
+    def kept(df, tag, f=simhash.staged):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        out = f(df, tag)
+        made[tag] = [r["t"] for r in out.collect()] if tag == "shingles" else None
+        return out
+
+    monkeypatch.setattr(simhash, "staged", kept)
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = docs_of(spark, [(1, text), (1, text), (2, text + " more"), (2, text + " more"), (3, text), (4, "other words here")])
+    got = sorted(tuple(r) for r in simhash.similar(rows).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+    assert len(made["shingles"]) == len(set(made["shingles"])) == 2
+    assert "Exchange" not in plans["shingles"].partition("MapInArrow")[0]
+
+
 def test_similar_edges(spark):
     assert simhash.similar(docs_of(spark, [])).count() == 0
     rows = docs_of(spark, [(3, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")]).withColumnRenamed("lang", "component")

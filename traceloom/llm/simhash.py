@@ -295,9 +295,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     need = lists.select("t").distinct()
     one = least.join(need, "t", "left_semi").select("t", "id")
     texts = rows.withColumn("t", F.xxhash64("text")).join(one.withColumnRenamed("id", "one"), "t").where(F.col("id").eqNullSafe(F.col("one"))).select("t", "text")
+    # rows that repeat id and text are made one while the join still has them together; sets aren't shuffled for it
+    texts = texts.groupBy("t").agg(F.any_value("text").alias("text"))
     bits = ", ".join(f"s{n} long" for n in range(SKETCH // 64))
-    shingles = texts.mapInArrow(tidy(_shingle_sets(words)), f"t long, h array<long>, {bits}")
-    shingles = staged(shingles.groupBy("t").agg(*[F.any_value(c).alias(c) for c in shingles.columns[1:]]), "shingles")
+    shingles = staged(texts.mapInArrow(tidy(_shingle_sets(words)), f"t long, h array<long>, {bits}"), "shingles")
     plain, lists = lists, staged(lists.join(shingles.drop("h"), "t"), "sketched")
     discard(plain)
     sketch = shingles.columns[2:]

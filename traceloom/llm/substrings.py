@@ -46,8 +46,8 @@ from .suffixes import ranges, suffix_arrays
 GRAM = 32
 #: Bytes of text worked on at a time; places in it fit into PLACE bits.
 PART, PLACE = 900_000, 20
-#: Symbols that go through one call of suffix_arrays.
-TOGETHER = 2_000_000
+#: Symbols that go through one call of suffix_arrays; it takes about 80 bytes each.
+TOGETHER = 750_000
 #: Places of a gram that a piece of a segment covers, cut after cut.
 BLOCKS = (24, 6)
 _CODE = np.random.default_rng(1729).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -259,7 +259,7 @@ def _arrays(length: int) -> Callable:
         for batch in batches:
             for gram, seg, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if not groups or groups[-1][0] != gram:
-                    if total > TOGETHER:
+                    if total + len(text) > TOGETHER:
                         yield work(groups)
                         groups, total = [], 0
                     groups.append((gram, {}))
