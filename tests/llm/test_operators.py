@@ -274,6 +274,36 @@ def test_sets_of_shingles_are_made_once_and_not_shuffled(spark, monkeypatch):
     assert "Exchange" not in plans["shingles"].partition("MapInArrow")[0]
 
 
+def test_pairs_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """Many copies of one text, all different, become about as many pairs as there are copies, and one component."""
+    made = {}
+
+    def kept(df, tag, f=simhash.staged):
+        out = f(df, tag)
+        made[tag] = made.get(tag, 0) + (out.count() if tag in ("pairs", "near") else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "staged", kept)
+    family, n = [f"f{i}" for i in range(200)], 150
+    rows = docs_of(spark, [(i, " ".join([*family[:i], f"x{i}", *family[i + 1 :]])) for i in range(n)])
+    assert {r["component_id"] for r in simhash.similar(rows).collect()} == {0}
+    assert n - 1 <= made["near"] <= made["pairs"] < 8 * n
+
+
+def test_forest_spans_what_its_pairs_connect():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (2, 1), (30, 25), (60, 400)):
+        a, b, far = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        part = np.arange(n)
+        x, y = simhash._forest(a, b, far, part)
+        want = list(range(n))
+        for i, j in zip(a.tolist(), b.tolist()):
+            p, q = want[i], want[j]
+            want = [p if w == q else w for w in want]
+        assert len(x) == n - len(set(want))  # no pair too many
+        assert len(set(zip(want, part.tolist()))) == len(set(want)) == len(set(part.tolist()))
+
+
 def test_similar_edges(spark):
     assert simhash.similar(docs_of(spark, [])).count() == 0
     rows = docs_of(spark, [(3, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")]).withColumnRenamed("lang", "component")

@@ -47,9 +47,9 @@ ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 TOGETHER = 24
 #: A fingerprint is hot if it has at least this share of the rows; so there are at most 1 / HOT of them.
 HOT = 0.001
-#: Bits of a text's sketch, and the orders of hashes that they come from.
-SKETCH = 1024
-_ORDERS = np.random.default_rng(97).integers(1, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Bits of a text's sketch and of the wide one, and the orders of hashes that they come from.
+SKETCH, WIDE = 1024, 4096
+_ORDERS = np.random.default_rng(97).integers(1, 1 << 31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def bit_count(x: np.ndarray) -> np.ndarray:
@@ -276,128 +276,236 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     at most five bits, and differ in at most ``limit`` bits.  Equal texts are one text
     (by 64 bits of hash); texts without words are linked only to their equals.
 
-    A list's pairs are tried in rounds: neighbours in the order of fingerprints
-    first, then those further apart, sixteen times as far each round, and only
-    pairs that no links connect yet.  So every pair is tried or connected, but a group
-    of many copies of one text doesn't become all its pairs.  Pairs leave a list only
-    if sketches of their sets (``SKETCH`` one-bit minima) agree as pairs at the
-    threshold do but for one in some 10^7; those are verified on the whole sets.
+    Lists keep only rows with a candidate.  Pairs leave a list only if sketches of
+    their sets (one-bit minima) agree as pairs at the threshold do but for one in some
+    10^7; those are verified on the whole sets.  There are three rounds: pairs that
+    span what is connected in each list, nearest sketches first; the same again
+    between the components of the links that were found, by wide sketches; then all
+    pairs of different components.  So every pair is tried or connected, but many
+    copies of one text don't become all their pairs.
     """
     has(docs, key, text)
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").alias("id"), text_of(f"`{text}`").alias("text"))
-    prints = staged(with_fingerprint(rows, "text", coarse).select("id", F.xxhash64("text").alias("t"), "fp"), "prints")
-    least = staged(prints.groupBy("t").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("n")), "least")
+    made = rows.select("id", F.xxhash64("text").alias("t"), _prints(coarse, words)(F.col("text")).alias("p"))
+    prints = staged(made.select("id", "t", "p.fp", "p.s"), "prints")
+    least = staged(prints.groupBy("t").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.any_value("s").alias("s"), F.count("*").alias("n")), "least")
     sets = cover(3)
     index = least.where("fp <> 0").select("t", "fp", F.explode(F.array(*_entries(sets))).alias("k"))
-    lists = staged(index.repartition("k").sortWithinPartitions("k", "fp", "t").select("k", "fp", "t").mapInArrow(tidy(_long_lists), "k long, fp long, t long, i int, n int"), "lists")
-    longest = lists.agg(F.max("n")).first()[0] or 0
-    need = lists.select("t").distinct()
-    one = least.join(need, "t", "left_semi").select("t", "id")
-    texts = rows.withColumn("t", F.xxhash64("text")).join(one.withColumnRenamed("id", "one"), "t").where(F.col("id").eqNullSafe(F.col("one"))).select("t", "text")
+    in_lists = lambda t, f, form: t.repartition("k").sortWithinPartitions("k", "fp", "t").mapInArrow(tidy(f), form)
+    lists = staged(in_lists(index.select("k", "fp", "t"), _with_candidates(limit), "k long, fp long, t long"), "lists")
+    form = "a long, b long, ca long, cb long"
+    pairs = staged(in_lists(lists.join(least.select("t", "s"), "t").withColumn("c", F.col("t")), _spanning(limit, similarity, SKETCH), form).distinct(), "pairs")
+    # each list's first pairs have all its texts that are in any
+    of = staged(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().withColumn("c", F.col("t")), "of")
+
+    one = least.join(of, "t", "left_semi").select("t", F.col("id").alias("one"))
+    texts = rows.withColumn("t", F.xxhash64("text")).join(one, "t").where(F.col("id").eqNullSafe(F.col("one"))).select("t", "text")
     # rows that repeat id and text are made one while the join still has them together; sets aren't shuffled for it
     texts = texts.groupBy("t").agg(F.any_value("text").alias("text"))
-    bits = ", ".join(f"s{n} long" for n in range(SKETCH // 64))
-    shingles = staged(texts.mapInArrow(tidy(_shingle_sets(words)), f"t long, h array<long>, {bits}"), "shingles")
-    plain, lists = lists, staged(lists.join(shingles.drop("h"), "t"), "sketched")
-    discard(plain)
-    sketch = shingles.columns[2:]
-
-    found, parts, step = None, None, 1
-    while step < longest:
-        at = lists.where(F.col("n") > step)
-        if parts is None:
-            at = at.withColumn("c", F.col("t"))
-        else:
-            opened = staged(at.join(parts.withColumnRenamed("node", "t"), "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component"), "open")
+    shingles = staged(texts.mapInArrow(tidy(_shingle_sets(words)), "t long, h array<long>, s binary"), "shingles")
+
+    for round_ in (None, _spanning(limit, similarity, WIDE), _unconnected(sets, limit, similarity, WIDE)):
+        if round_:
+            opened = staged(lists.join(of, "t"), "open")
             mixed = opened.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("k")
-            at = staged(opened.join(mixed, "k", "left_semi"), "mixed")
+            at = opened.join(mixed, "k", "left_semi").join(shingles.select("t", "s"), "t")
+            pairs = staged(in_lists(at, round_, form).distinct(), "pairs")
             discard(opened)
-            if at.isEmpty():
-                discard(at)
-                break
-        tried = at.select("k", "fp", "t", "i", "c", *sketch).repartition("k").sortWithinPartitions("k", "i").mapInArrow(tidy(_pairs(sets, step, 16 * step, limit, similarity)), "a long, b long")
-        pairs = staged(tried.distinct(), "pairs")
-        linked = pairs.join(shingles.select(F.col("t").alias("a"), F.col("h").alias("x")), "a").join(shingles.select(F.col("t").alias("b"), F.col("h").alias("y")), "b")
-        fresh = linked.mapInArrow(tidy(_alike(similarity)), "a long, b long")
-        both = staged(fresh if found is None else found.unionByName(fresh), "near")
-        discard(at, pairs, *(x for x in (found, parts) if x is not None))
-        found, step = both, 16 * step
-        parts = components(found)
-    if parts is None:
-        parts = docs.sparkSession.createDataFrame([], "node long, component long")
-    discard(lists, shingles, *([found] if found is not None else []))
-    return _named(prints.select("id", "t"), least.select("t", "id", "n"), parts, "t").select(F.col("id").alias(key), "component_id")
-
-
-def _long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists of two and more, with their place and the list's length."""
-    for t in _whole_lists(batches):
-        k = t["k"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[edge, len(k)])
-        n, i = np.repeat(size, size), np.arange(len(k)) - np.repeat(edge, size)
-        keep = n > 1
-        if keep.any():
-            cols = [c.to_numpy()[keep] for c in (t["k"], t["fp"], t["t"])] + [i[keep].astype(np.int32), n[keep].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "fp", "t", "i", "n"])
+        if pairs.isEmpty():
+            break
+        each = pairs.join(shingles.select(F.col("t").alias("a"), F.col("h").alias("x")), "a").join(shingles.select(F.col("t").alias("b"), F.col("h").alias("y")), "b")
+        found = staged(each.select("ca", "cb", "x", "y").mapInArrow(tidy(_alike(similarity)), "a long, b long").distinct(), "near")
+        joined = components(found)
+        before, of = of, staged(of.join(joined.withColumnRenamed("node", "c"), "c", "left").select("t", F.coalesce("component", "c").alias("c")), "of")
+        discard(pairs, found, joined, before)
+    discard(lists, shingles)
+    out = _named(prints.select("id", "t"), least.select("t", "id", "n"), of.select(F.col("t").alias("node"), F.col("c").alias("component")), "t")
+    discard(prints, least, of)
+    return out.select(F.col("id").alias(key), "component_id")
+
+
+def _prints(coarse: int, words: int, together: int = 256):
+    """The fingerprint of ``coarse``-word shingles and the sketch of the set of ``words``-word ones; one narrow pass."""
+
+    @F.pandas_udf("fp long, s binary")
+    @tidy
+    def made(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            fps, bits = [], []
+            for n in range(0, len(part), together):
+                texts = [x.encode("utf-8", "surrogatepass") for x in part.iloc[n : n + together]]
+                fps += [fingerprint(shingle_hashes(x, coarse)) for x in texts]
+                sets = [np.unique(shingle_hashes(x, words)) for x in texts]
+                bits += [x.tobytes() for x in sketches(np.concatenate(sets), np.array([len(x) for x in sets]), SKETCH)]
+            yield pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "s": pd.Series(bits, dtype=object)})
+
+    return made
 
 
-def agreeing(similarity: float) -> int:
-    """Bits of a sketch that sets of a similarity agree in, less five and a half standard errors."""
-    p = (1 + similarity) / 2
-    return math.floor(SKETCH * p - 5.5 * math.sqrt(SKETCH * p * (1 - p)))
+def differing(similarity: float, bits: int, errors: float = 5.5) -> int:
+    """Bits of a sketch that sets of a similarity differ in on average, and so many standard errors more."""
+    p = (1 - similarity) / 2
+    return math.ceil(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
-def sketches(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """(set, word): a bit of the least hash under each of SKETCH orders; a set without elements has none set."""
-    out = np.zeros((len(size), SKETCH // 64), np.uint64)
+def sketches(flat: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+    """(set, word): a bit of the least hash under each of so many orders; a set without elements has none set."""
+    out = np.zeros((len(size), bits // 64), np.uint64)
     some = np.flatnonzero(size)
     if not len(some):
         return out
     at, flat = (np.cumsum(size) - size)[some], (flat >> np.uint64(32)).astype(np.uint32)
-    for n, step in enumerate(_ORDERS):
+    for n, step in enumerate(_ORDERS[:bits]):
         bit = (np.minimum.reduceat(flat * step, at) >> np.uint32(9)) & np.uint32(1)
         out[some, n // 64] |= bit.astype(np.uint64) << np.uint64(n % 64)
     return out
 
 
-def _pairs(sets: list[tuple[int, ...]], least: int, below: int, limit: int, similarity: float):
-    """Pairs of each list at distances from ``least`` up, below ``below``, of different components and sketches that may be similar."""
-    first, shared, most = _first(sets), len(sets[0]), SKETCH - agreeing(similarity)
+def _met(k: np.ndarray, fps: np.ndarray, part: np.ndarray, limit: int, words: np.ndarray | None = None, most: int = 0, pool: int = 1 << 19) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, far): places of pairs within lists, of different parts and near fingerprints and sketches (``words``, if any).
+
+    ``far`` is by sketches, or else fingerprints.  Pairs come in the order of their
+    distance in the list; those of parts that are made one meanwhile don't come.
+    """
+    live, lag, held, size = np.arange(len(k)), 1, [], 0
+
+    def out():
+        return tuple(np.concatenate(x) for x in zip(*held))
+
+    while True:
+        if lag & (lag - 1) == 0:  # at each power of two lists that are short or one part drop out
+            if held:
+                yield out()
+                held, size = [], 0
+            edge = np.flatnonzero(np.r_[True, k[live][1:] != k[live][:-1]]) if len(live) else live
+            long = np.diff(np.r_[edge, len(live)])
+            go = (long > lag) & (np.minimum.reduceat(part[live], edge) != np.maximum.reduceat(part[live], edge)) if len(live) else np.empty(0, bool)
+            live = live[np.repeat(go, long)]
+            if not len(live):
+                return
+            keys = k[live]
+        same = np.flatnonzero(keys[lag:] == keys[:-lag])
+        a, b = live[same], live[same + lag]
+        open_ = part[a] != part[b]
+        a, b = a[open_], b[open_]
+        far = bit_count(fps[a] ^ fps[b]).astype(np.int64)
+        near = far <= limit
+        a, b, far = a[near], b[near], far[near]
+        if words is not None:
+            far = bit_count((words[a] ^ words[b]).reshape(-1)).reshape(len(a), words.shape[1]).sum(1, dtype=np.int64)
+            near = far <= most
+            a, b, far = a[near], b[near], far[near]
+        if len(a):
+            held.append((a, b, far))
+            size += len(a)
+        if size >= pool:
+            yield out()
+            held, size = [], 0
+        lag += 1
+
+
+def _forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of places those that span what they connect, nearest first; ``part`` (numbers of places) follows."""
+    order = np.argsort(far, kind="stable")
+    a, b = a[order], b[order]
+    own, kept = np.arange(len(part)), []
+    while True:
+        x, y = part[a], part[b]
+        go = x != y
+        if not go.any():
+            break
+        a, b, x, y = a[go], b[go], x[go], y[go]
+        first, rank = np.full(len(part), len(a)), np.arange(len(a))  # each part's nearest pair
+        np.minimum.at(first, x, rank)
+        np.minimum.at(first, y, rank)
+        at = np.flatnonzero(first < len(a))
+        e = first[at]
+        to = own.copy()
+        to[at] = np.where(x[e] == at, y[e], x[e])
+        to = np.where((to[to] == own) & (own < to), own, to)  # of two that share their nearest pair the smaller is the root
+        while (to[to] != to).any():
+            to = to[to]
+        part[:] = to[part]
+        e = np.unique(e)
+        kept.append((a[e], b[e]))
+    return tuple(np.concatenate(x) for x in zip(*kept)) if kept else (a[:0], b[:0])
+
+
+def _sketches_of(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["s"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+
+
+def _with_candidates(limit: int):
+    """Rows of lists with another one in the list that differs in at most ``limit`` bits."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_lists(batches):
+            k, f = t["k"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+            part, keep = np.arange(len(k)), np.zeros(len(k), bool)
+            for found in _met(k, f, part, limit):
+                for ends in _forest(*found, part):
+                    keep[ends] = True
+            if keep.any():
+                yield from t.filter(pa.array(keep)).to_batches()
+
+    return made
+
+
+def _of_parts(a: np.ndarray, b: np.ndarray, t: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """Pairs of places as texts, the smaller first, and their components."""
+    a, b = np.where(t[a] < t[b], a, b), np.where(t[a] < t[b], b, a)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (t[a], t[b], c[a], c[b])], names=["a", "b", "ca", "cb"])
+
+
+def _spanning(limit: int, similarity: float, bits: int):
+    """Pairs that span what sketches connect of components (c) in each list: those that are similar but for chance, and then any that may be."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_lists(batches):
-            k, c, t, f = (table[x].to_numpy() for x in ("k", "c", "t", "fp"))
-            f = f.view(np.uint64)
-            words = [table[f"s{n}"].to_numpy().view(np.uint64) for n in range(SKETCH // 64)]
-            for lag in range(least, min(below, len(k))):
-                same = np.flatnonzero((k[lag:] == k[:-lag]) & (c[lag:] != c[:-lag]))
-                mask = shared_bytes(f[same] ^ f[same + lag])
-                same = same[(ONES[mask] >= shared) & (first[mask] == k[same] >> 32)]
-                same = same[bit_count(f[same] ^ f[same + lag]) <= limit]
-                same = same[sum(bit_count(w[same] ^ w[same + lag]).astype(np.int64) for w in words) <= most]
-                if len(same):
-                    a, b = t[same], t[same + lag]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            k, t, c, f = (table[x].to_numpy() for x in ("k", "t", "c", "fp"))
+            words = _sketches_of(table)
+            # components by list, so that no list's pairs count in another
+            part = np.unique(np.stack([k, c], 1), axis=0, return_inverse=True)[1].reshape(-1)
+            for errors in (-2, 5.5):
+                for found in _met(k, f.view(np.uint64), part, limit, words, differing(similarity, bits, errors)):
+                    yield _of_parts(*_forest(*found, part), t, c)
 
     return made
 
 
-def _shingle_sets(words: int):
+def _unconnected(sets: list[tuple[int, ...]], limit: int, similarity: float, bits: int):
+    """All pairs of different components (c) whose sketches may be similar, each in the first list in which it meets."""
+    first, most = _first(sets), differing(similarity, bits)
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(x, words)) for x in b.column(1).cast(pa.large_binary()).to_pylist()]
-            if sets:
-                found = sketches(np.concatenate(sets), np.array([len(x) for x in sets])).view(np.int64)
-                columns = [b.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), *(pa.array(found[:, n]) for n in range(found.shape[1]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["t", "h", *(f"s{n}" for n in range(found.shape[1]))])
+        for table in _whole_lists(batches):
+            k, t, c, f = (table[x].to_numpy() for x in ("k", "t", "c", "fp"))
+            f, part = f.view(np.uint64), np.unique(c, return_inverse=True)[1]
+            for a, b, _ in _met(k, f, part, limit, _sketches_of(table), most):
+                own = first[shared_bytes(f[a] ^ f[b])] == k[a] >> 32
+                yield _of_parts(a[own], b[own], t, c)
+
+    return made
+
+
+def _shingle_sets(words: int, together: int = 256):
+    """Of each text the set of shingles and its wide sketch."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for n in range(0, whole.num_rows, together):
+                b = whole.slice(n, together)
+                sets = [np.unique(shingle_hashes(x, words)) for x in b.column(1).cast(pa.large_binary()).to_pylist()]
+                bits = [x.tobytes() for x in sketches(np.concatenate(sets), np.array([len(x) for x in sets]), WIDE)]
+                columns = [b.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "h", "s"])
 
     return made
 
 
 def _alike(similarity: float):
-    """Pairs whose sets of shingles are as similar as they need be."""
+    """Components (ca, cb) of pairs whose sets of shingles are as similar as they need be."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -410,7 +518,7 @@ def _alike(similarity: float):
                     ok = both >= similarity * (len(x) + len(y) - both)
                 keep.append(ok)
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("ca").filter(keep), b.column("cb").filter(keep)], names=["a", "b"])
 
     return made
 
