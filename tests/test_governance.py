@@ -107,6 +107,35 @@ def test_gate_of_a_promotion_file(spark):
             promotion.Promotion.of(bad)
 
 
+def test_metrics_of_a_run_without_a_digest_a_trace(spark):
+    form = "trace_id string, evaluator_id string, passed boolean, invalid_output boolean, cost_usd double, latency_ms long"
+    rows = [(f"t{i}" if i % 7 else None, e, True, i % 4 == 0 if i % 5 else None, 0.25 if i % 3 else None, i if i % 11 else None) for i in range(400) for e in ("c", "d")]
+    found = promotion._run_metrics(spark.createDataFrame(rows, form).repartition(3), "base")
+    known, late = [r[3] for r in rows if r[3] is not None], sorted(r[5] for r in rows if r[5] is not None)
+    want = {"invalid_output_rate": sum(known) / len(known), "cost_per_trace": sum(r[4] or 0 for r in rows) / len({r[0] for r in rows if r[0]}), "p95_latency_ms": late[math.ceil(0.95 * len(late)) - 1]}
+    assert {r["metric"]: r["base"] for r in found.collect()} == pytest.approx(want)
+    none = promotion._run_metrics(spark.createDataFrame([], form), "base").collect()
+    assert [(r["metric"], r["base"]) for r in none] == [(m, None) for m in promotion.RUN_METRICS]
+    # percentiles that are grouped by trace are merged one by one in one task
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("percentile_approx" in line for line in plan) and not [line for line in plan if "percentile_approx" in line and "keys=[]" not in line]
+
+
+def test_gate_compares_the_runs_once(spark):
+    base, candidate, slices = runs(spark, [True] * 20 + [False] * 20, [True] * 10 + [False] * 10 + [True] * 20, lang=["en", "de"] * 20, tier=["a"] * 20 + ["b"] * 18 + [None] * 2)
+    conditions = [{"metric": "c", "absolute": 0.5}, {"metric": "c", "op": "<=", "baseline_factor": 2}, {"metric": "p95_latency_ms", "op": "<=", "absolute": 4}, {"metric": "none", "absolute": 0}]
+    rules = [{"field": "lang"}, {"field": "lang", "min_n": 5, "tolerance": 0}, {"field": "tier", "min_n": 5, "on_insufficient": "ignore"}]
+    rows = promotion.gate(promotion.Promotion.of({"all": conditions[:3], "any": conditions[3:], "slices": rules}), base, candidate, slices)
+    got = sorted((r["part"], r["rule"], r["evaluator_id"], r["slice"], r["decided"], r["base"], r["candidate"], r["verdict"]) for r in rows.fillna(-1).collect())
+    assert got == sorted([
+        ("all", "c >= 0.5", "c", "{}", 40, 0.5, 0.75, "pass"), ("all", "c <= base * 2", "c", "{}", 40, 0.5, 0.75, "pass"),
+        ("all", "p95_latency_ms <= 4", "p95_latency_ms", "{}", -1, 5.0, 5.0, "fail"), ("any", "none >= 0", "none", "{}", -1, -1.0, -1.0, "fail"),
+        *[("slices", "no regression by lang", "c", f'{{"lang":"{x}"}}', 20, 0.5, 0.75, v) for x in ("de", "en") for v in ("insufficient", "pass")],
+        ("slices", "no regression by tier", "c", '{"tier":"a"}', 20, 1.0, 0.5, "fail"), ("slices", "no regression by tier", "c", '{"tier":"b"}', 18, 0.0, 1.0, "pass"),
+    ])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Expand [[") == 1
+
+
 def test_bootstrap_is_fixed_and_covers(spark):
     rng = random.Random(1)
     rows = [(f"t{i}", "c", rng.random() < 0.7, rng.choice(["true", "false"]), rng.choice(["true", "false"]), False, None) for i in range(400)]

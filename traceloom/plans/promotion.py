@@ -138,11 +138,12 @@ def compare(base: DataFrame, candidate: DataFrame, slices: DataFrame | None = No
 
 def _run_metrics(results: DataFrame, name: str) -> DataFrame:
     """(metric, name) of a whole run."""
+    # traces are counted apart: beside a distinct count, each trace would have a digest of latencies, all merged by one task
+    traces = results.agg(F.countDistinct("trace_id").alias("traces"))
     row = results.agg(
-        F.avg(F.col("invalid_output").cast("double")).alias("invalid_output_rate"),
-        F.try_divide(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), F.countDistinct("trace_id")).alias("cost_per_trace"),
+        F.avg(F.col("invalid_output").cast("double")).alias("invalid_output_rate"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost"),
         F.percentile_approx("latency_ms", 0.95, 10_000).cast("double").alias("p95_latency_ms"),
-    )
+    ).crossJoin(traces).withColumn("cost_per_trace", F.try_divide("cost", "traces"))
     return row.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(name)) for m in RUN_METRICS])))
 
 
@@ -158,28 +159,38 @@ def gate(promotion: Promotion, base: DataFrame, candidate: DataFrame, slices: Da
         raise ValueError("the gate has slice rules but no slices were given")
     sets = list(dict.fromkeys([(), *[r.fields() for r in rules]]))
     pairs = compare(base, candidate, slices, sets)
-    whole = pairs.where("fields = ''").select(F.col("evaluator_id").alias("metric"), "decided", F.col("base_rate").alias("base"), F.col("candidate_rate").alias("candidate"), "p_value", "regressed", "improved")
-    run = _run_metrics(base, "base").join(_run_metrics(candidate, "candidate"), "metric")
-    null = lambda c, t: F.lit(None).cast(t).alias(c)
-    known = whole.unionByName(run.select("metric", null("decided", "bigint"), "base", "candidate", null("p_value", "double"), null("regressed", "bigint"), null("improved", "bigint")))
-    number = lambda x: None if x is None else float(x)
-    listed = [(part, n, c.metric, c.op, number(c.baseline_delta), number(c.absolute), number(c.baseline_factor), c.significant, c.said()) for part, cs in (("all", promotion.all), ("any", promotion.any)) for n, c in enumerate(cs)]
-    conditions = F.broadcast(base.sparkSession.createDataFrame(listed, "part string, n int, metric string, op string, delta double, absolute double, factor double, significant boolean, rule string"))
-    met = conditions.join(known, "metric", "left")
-    target = F.coalesce(F.col("absolute"), F.col("base") + F.col("delta"), F.col("base") * F.col("factor"))
+    run = _run_metrics(base, "base_rate").join(_run_metrics(candidate, "candidate_rate"), "metric")
+    known = pairs.unionByName(run.select(F.col("metric").alias("evaluator_id"), F.lit("").alias("fields"), F.lit("{}").alias("slice"), "base_rate", "candidate_rate"), allowMissingColumns=True)
+    number = lambda x: F.lit(None if x is None else float(x)).cast("double")
+    listed = [
+        F.struct(
+            F.lit(part).alias("part"), F.lit(c.metric).alias("metric"), F.lit("{}").alias("whole"), F.lit(c.op).alias("op"), number(c.baseline_delta).alias("delta"), number(c.absolute).alias("absolute"),
+            number(c.baseline_factor).alias("factor"), F.lit(c.significant).alias("significant"), F.lit(c.said()).alias("rule"),
+        )
+        for part, cs in (("all", promotion.all), ("any", promotion.any)) for c in cs
+    ]
+    conditions = base.sparkSession.range(1).select(F.inline(F.array(*listed)))
+    # one join keeps conditions that nothing meets and slices alike, so that runs are compared once for both
+    met = known.join(conditions, (F.col("evaluator_id") == F.col("metric")) & (F.col("slice") == F.col("whole")), "full")
+    base_rate, candidate_rate = F.col("base_rate"), F.col("candidate_rate")
+    target = F.coalesce(F.col("absolute"), base_rate + F.col("delta"), base_rate * F.col("factor"))
     # a millionth of a millionth, so that 0.1 + 0.2 reaches 0.3
-    holds = F.when(F.col("op") == ">=", F.col("candidate") >= target - 1e-12).otherwise(F.col("candidate") <= target + 1e-12)
+    holds = F.when(F.col("op") == ">=", candidate_rate >= target - 1e-12).otherwise(candidate_rate <= target + 1e-12)
     way = F.when(F.col("op") == ">=", F.col("improved") > F.col("regressed")).otherwise(F.col("regressed") > F.col("improved"))
     passes = F.coalesce(holds & (~F.col("significant") | ((F.col("p_value") < alpha) & way)), F.lit(False))
-    out = met.select("part", "rule", F.col("metric").alias("evaluator_id"), F.lit("{}").alias("slice"), "decided", "base", "candidate", "p_value", F.when(passes, "pass").otherwise("fail").alias("verdict"))
+
+    def row(part, rule, evaluator_id, slice_, verdict) -> Column:
+        return F.struct(part.alias("part"), rule.alias("rule"), evaluator_id.alias("evaluator_id"), slice_.alias("slice"), "decided", base_rate.alias("base"), candidate_rate.alias("candidate"), "p_value", verdict.alias("verdict"))
+
+    out = [F.when(F.col("metric").isNotNull(), row(F.col("part"), F.col("rule"), F.col("metric"), F.lit("{}"), F.when(passes, "pass").otherwise("fail")))]
     for r in rules:
         fields = ",".join(sorted(r.fields()))
-        enough, kept = F.col("decided") >= r.min_n, F.col("candidate_rate") >= F.col("base_rate") - r.tolerance - 1e-12
+        enough, kept = F.col("decided") >= r.min_n, candidate_rate >= base_rate - r.tolerance - 1e-12
         small = {"warn": "insufficient", "ignore": "insufficient", "fail": "fail"}[r.on_insufficient]
         verdict = F.when(~enough, small).when(kept, "pass").otherwise("fail")
-        rows = pairs.where(F.col("fields") == fields).select(F.lit("slices").alias("part"), F.lit(f"no regression by {fields}").alias("rule"), "evaluator_id", "slice", "decided", F.col("base_rate").alias("base"), F.col("candidate_rate").alias("candidate"), "p_value", verdict.alias("verdict"))
-        out = out.unionByName(rows if r.on_insufficient != "ignore" else rows.where("verdict <> 'insufficient'"))
-    return out
+        there = F.col("fields") == fields
+        out.append(F.when(there if r.on_insufficient != "ignore" else there & enough, row(F.lit("slices"), F.lit(f"no regression by {fields}"), F.col("evaluator_id"), F.col("slice"), verdict)))
+    return met.select(F.inline(F.array_compact(F.array(*out))))
 
 
 def promotes(verdicts: DataFrame) -> bool:
